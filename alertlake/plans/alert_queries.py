@@ -125,7 +125,7 @@ def alerts_custom(spark, folder):
 
 @query("parse_responses", r"""
     SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE
-               substring(COALESCE(list_filter(string_split(trim(text), chr(10)), x -> regexp_matches(x, '\S'))[1], 'Alert Generated'), 1, 100) END AS title,
+               substring(COALESCE(list_filter(string_split(trim(text), chr(10)), lambda x: regexp_matches(x, '\S'))[1], 'Alert Generated'), 1, 100) END AS title,
            text AS description,
            CASE WHEN lang = 'en' THEN lang ELSE
                'Review the alert details|Investigate related transactions|Consider updating monitoring rules' END AS actions

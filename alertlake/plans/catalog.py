@@ -30,7 +30,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     return add
 
 
-MODULES = ("cleaning_queries", "detector_queries", "pattern_queries", "trend_queries", "alert_queries")
+MODULES = ("cleaning_queries", "detector_queries", "pattern_queries", "trend_queries", "alert_queries",
+           "source_queries", "retrieval_queries", "drift_queries")
 
 
 def load_all() -> dict[str, Query]:

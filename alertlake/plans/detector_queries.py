@@ -73,10 +73,10 @@ def det_large_q99(spark, folder):
 
 
 @query("det_velocity", f"""
-    SELECT TransactionID, CustomerID, TransactionDate, round(gap, 6) AS gap_minutes FROM {GAPS} WHERE gap < 5""")
+    SELECT TransactionID, CustomerID, TransactionDate, CAST(round(gap * 6e7) AS BIGINT) AS gap_micros FROM {GAPS} WHERE gap < 5""")
 def det_velocity(spark, folder):
     df = txn_events(spark, folder).select("TransactionID", "CustomerID", "TransactionDate")
-    return D.rapid_rows(df).withColumn("gap_minutes", F.round("gap_minutes", 6))
+    return D.rapid_rows(df).withColumn("gap_micros", F.round(F.col("gap_minutes") * 6e7).cast("bigint")).drop("gap_minutes")
 
 
 @query("det_branch_large_ratio", f"""

@@ -39,14 +39,15 @@ def pat_round(spark, folder):
 
 
 @query("pat_location_jump", f"""
-    SELECT TransactionID, CustomerID, previous_location, Location, round(h, 6) AS hours_since FROM (
+    SELECT TransactionID, CustomerID, previous_location, Location, CAST(round(h * 3.6e9) AS BIGINT) AS gap_micros FROM (
         SELECT *, LAG(Location) OVER w AS previous_location,
                date_diff('microsecond', LAG(TransactionDate) OVER w, TransactionDate) / 3.6e9 AS h
         FROM {TXN_EVENTS} WINDOW w AS (PARTITION BY CustomerID ORDER BY TransactionDate, TransactionID))
     WHERE previous_location <> Location AND h <= 6""")
 def pat_location_jump(spark, folder):
     found = P.location_jumps(txn_events(spark, folder))
-    return found.select("TransactionID", "CustomerID", "previous_location", "Location", F.round("hours_since", 6).alias("hours_since"))
+    return found.select("TransactionID", "CustomerID", "previous_location", "Location",
+                        F.round(F.col("hours_since") * 3.6e9).cast("bigint").alias("gap_micros"))
 
 
 @query("pat_new_account", f"""

@@ -9,7 +9,7 @@ from alertlake.functions.scalars import elapsed_minutes
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
 from alertlake.operators import summary as S
-from alertlake.operators.skew import with_previous
+from alertlake.operators.skew import DAY, with_previous
 from alertlake.plans.catalog import query
 from alertlake.plans.views import (DAILY_ALERT_COUNTS, TXN_EVENTS, TXN_ORDERS, daily_alert_counts, order_amounts, table,
                                    txn_events, txn_orders)
@@ -67,14 +67,14 @@ def timeline_sorted(spark, folder):
 
 @query("branch_trend", " UNION ALL ".join(f"""
     SELECT '{p}' AS period, Location AS branch, CAST(date_trunc('{p}', TransactionDate) AS DATE) AS period_start,
-           COUNT(*) AS transactions, round(SUM(TransactionAmount), 2) AS total_amount, round(AVG(TransactionAmount), 5) AS average_amount
+           COUNT(*) AS transactions, round(SUM(TransactionAmount), 2) AS total_amount, round(AVG(TransactionAmount), 7) AS average_amount
     FROM {TXN_ORDERS} GROUP BY 2, 3""" for p in S.PERIODS))
 def branch_trend(spark, folder):
     """All five periods."""
     df = txn_orders(spark, folder)
     frames = [S.branch_trend(df, p).select(F.lit(p).alias("period"), "*") for p in S.PERIODS]
     return D.union_all(frames).withColumns({
-        "total_amount": F.round("total_amount", 2), "average_amount": F.round("average_amount", 5)})
+        "total_amount": F.round("total_amount", 2), "average_amount": F.round("average_amount", 7)})
 
 
 @query("branch_compare", f"""
@@ -153,12 +153,13 @@ def merge_union(spark, folder):
     return both.select("TransactionID", "CustomerID", "TransactionAmount", "AccountBalance", "LoginAttempts")
 
 
-@query("win_lag_gap", f"SELECT TransactionID, round(gap, 6) AS gap_minutes FROM {GAP_ROWS}")
+@query("win_lag_gap", f"SELECT TransactionID, CAST(round(gap * 6e7) AS BIGINT) AS gap_micros FROM {GAP_ROWS}")
 def win_lag_gap(spark, folder):
     """Minutes since the customer's previous row, however long ago."""
     df = txn_events(spark, folder).select("TransactionID", "CustomerID", "TransactionDate")
-    chained = with_previous(df, "CustomerID", "TransactionDate", "TransactionID", {"previous": "TransactionDate"}, 86_400_000_000)
-    return chained.select("TransactionID", F.round(elapsed_minutes(F.col("previous"), F.col("TransactionDate")), 6).alias("gap_minutes"))
+    chained = with_previous(df, "CustomerID", "TransactionDate", "TransactionID", {"previous": "TransactionDate"}, DAY)
+    gap = elapsed_minutes(F.col("previous"), F.col("TransactionDate"))
+    return chained.select("TransactionID", F.round(gap * 6e7).cast("bigint").alias("gap_micros"))
 
 
 @query("topk_per_group", f"""
