@@ -31,7 +31,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 
 MODULES = ("cleaning_queries", "detector_queries", "pattern_queries", "trend_queries", "alert_queries",
-           "source_queries", "retrieval_queries", "drift_queries")
+           "source_queries", "retrieval_queries", "drift_queries",
+           "version_queries", "stream_queries")
 
 
 def load_all() -> dict[str, Query]:

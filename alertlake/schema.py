@@ -106,6 +106,7 @@ LINEAGE_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("operation", T.StringType()),
     T.StructField("notes", T.StringType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 VERSION_DOCUMENT_SCHEMA = T.StructType([
