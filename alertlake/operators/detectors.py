@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlake.functions.scalars import elapsed_minutes, flag_to_boolean, format_fixed, hour_in, is_true, no_nan, parse_time
+from alertlake.functions.scalars import elapsed_minutes, format_fixed, hour_in, is_true, no_nan, parse_time
 from alertlake.operators.quantiles import quantiles
 from alertlake.operators.skew import MINUTE, NATIVE, slice_window, sliced_with_reach
 from alertlake.schema import (DATE_COLUMNS, SAMPLE_BRANCH_COLUMNS, SUMMARY_BRANCH_COLUMNS, existing, numeric_columns, pick,
@@ -336,15 +336,16 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def detect_upload(df: DataFrame, limits: Limits = UPLOAD, amounts: DataFrame | None = None) -> DataFrame:
-    """All detectors for one new file, with the overview when nothing else fires."""
+    """All detectors for one new file, with the overview when nothing else fires.
+
+    Any row with a location gives a location insight, so one look for such a row (a job that stops at the first) settles that
+    no overview is needed and spares its scans.
+    """
     found = [count_rules(df, row_rules(df, limits, amounts=amounts)), velocity(df, limits), location_insights(df)]
     found += [to_anomaly(detector(df)) for detector in _REGISTRY.values()]
-    if "Location" in df.columns:
-        # Any row with a location gives a location insight, so the overview can only be needed for rows without one.
-        found.append(overview(df.where(~df.where(F.col("Location").isNotNull()).limit(1).exists())))
-    else:
-        found.append(overview(df))
-    everything = union_all(found)
+    if "Location" in df.columns and not df.where(F.col("Location").isNotNull()).select("Location").limit(1).isEmpty():
+        return union_all(found)
+    everything = union_all([*found, overview(df)])
     # A row per rule, so one task holds them all.
     others = F.count_if(F.col("type") != "transactions_overview").over(Window.partitionBy())
     return everything.withColumn("_others", others).where(

@@ -43,7 +43,7 @@ def stream_upload_alerts(spark, folder):
     """Alerts of each uploaded file."""
     root = new_folder(spark, "upload-stream")
     schema = in_time_order(txn_events(spark, folder).drop("FraudFlag"), "TransactionDate", f"{root}/in")
-    S.upload_alert_stream(S.file_stream(spark, f"{root}/in", schema, "parquet", 8), f"{root}/out", f"{root}/checkpoint", "20240131").awaitTermination()
+    S.upload_alert_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint", "20240131").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("id", "type", "severity", F.col("anomaly.count").alias("count"))
 
 

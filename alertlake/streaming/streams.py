@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -95,42 +95,49 @@ def sliding_count_stream(rows: DataFrame, out: str, checkpoint: str, size: str =
 
 
 VELOCITY_OUTPUT = "CustomerID string, TransactionID string, TransactionDate timestamp, gap_micros bigint"
+VELOCITY_STATE = "customers array<string>, slices array<bigint>, lasts array<bigint>"
 
 
-def velocity_stream(rows: DataFrame, out: str, checkpoint: str, minutes: float = 5, late: str = "10 minutes") -> StreamingQuery:
+def velocity_stream(rows: DataFrame, out: str, checkpoint: str, minutes: float = 5, late: str = "10 minutes",
+                    groups: int | None = None) -> StreamingQuery:
     """Rows less than ``minutes`` after the customer's previous row, across batches.
 
-    State is kept per customer and time slice, so a very busy customer is spread over many tasks, and it is dropped once the
-    watermark has left the slice. Rows near a slice's end are also handed to the next slice, as in the batch operator. Rows
-    that arrive out of order across batches are compared with the newest row seen, so files are expected in time order.
+    Customers and time slices are hashed to ``groups``; a group's state is the newest time of each of its customers, without
+    those the watermark has left behind. A very busy customer is spread over groups by slice, and rows near a slice's end are
+    also handed to the next slice, as in the batch operator. Rows that arrive out of order across batches are compared with the
+    newest row seen, so files are expected in time order.
     """
     reach = int(minutes * MINUTE)
     width = 12 * reach
+    groups = groups or 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     us = F.unix_micros("TransactionDate")
     keyed = (
         rows.select("CustomerID", "TransactionID", "TransactionDate").where(F.col("CustomerID").isNotNull())
         .withWatermark("TransactionDate", late)
-        .withColumn("_us", us).withColumn("_own", F.floor(us / F.lit(width)))
-        .withColumn("_slice", F.explode(F.sequence(F.col("_own"), F.floor((F.col("_us") + reach) / F.lit(width)))))
-        .withColumn("_native", F.col("_slice") == F.col("_own"))
+        .withColumn("us", us).withColumn("own", F.floor(us / F.lit(width)))
+        .withColumn("slice", F.explode(F.sequence(F.col("own"), F.floor((F.col("us") + reach) / F.lit(width)))))
+        .withColumn("native", F.col("slice") == F.col("own"))
+        .withColumn("group", F.pmod(F.xxhash64("CustomerID", "slice"), F.lit(groups)))
     )
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        part = pd.concat(list(frames), ignore_index=True).sort_values(["_us", "TransactionID"])
-        before = state.get[0] if state.exists else None
-        part["gap_micros"] = part["_us"].diff()
-        if before is not None:
-            part.loc[part.index[0], "gap_micros"] = part["_us"].iloc[0] - before
-        newest = int(part["_us"].iloc[-1])
-        state.update((newest if before is None else max(before, newest),))
-        state.setTimeoutTimestamp(max((int(key[1]) + 1) * width // 1000, state.getCurrentWatermarkMs() + 1))
-        found = part[part["_native"] & (part["gap_micros"] < reach)]
+        part = pd.concat(list(frames), ignore_index=True).sort_values(["CustomerID", "slice", "us", "TransactionID"], ignore_index=True)
+        known = pd.DataFrame(dict(zip(("CustomerID", "slice", "last"), state.get if state.exists else ([], [], []))))
+        known = known.astype({"CustomerID": object, "slice": "int64", "last": "int64"})
+        keys = ["CustomerID", "slice"]
+        before = part[keys].merge(known, on=keys, how="left")["last"]
+        gaps = part.groupby(keys)["us"].diff().fillna(part["us"] - before)
+        found = part.assign(gap_micros=gaps)[part["native"] & (gaps < reach)]
+        newest = pd.concat([known, part[[*keys, "us"]].rename(columns={"us": "last"})]).groupby(keys, as_index=False)["last"].max()
+        newest = newest[newest["last"] >= state.getCurrentWatermarkMs() * 1000 - reach]
+        state.update(tuple(newest[c].tolist() for c in ("CustomerID", "slice", "last")))
+        state.setTimeoutTimestamp(max(int(part["us"].max()) // 1000 + 2 * width // 1000, state.getCurrentWatermarkMs() + 1))
         if len(found):
             yield found[["CustomerID", "TransactionID", "TransactionDate", "gap_micros"]].astype({"gap_micros": "int64"})
 
-    flagged = keyed.groupBy("CustomerID", "_slice").applyInPandasWithState(
-        follow, VELOCITY_OUTPUT, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    flagged = keyed.groupBy("group").applyInPandasWithState(
+        follow, VELOCITY_OUTPUT, VELOCITY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return _append(flagged, out, checkpoint)
