@@ -165,11 +165,18 @@ class VersionStore:
         return found
 
     def create(self, notes: str, at: str, rows: DataFrame | None = None, merged: bool = False) -> str:
-        """Add a version after the current one, with a snapshot of ``rows`` when given."""
+        """Add a version after the current one, with a snapshot of ``rows`` when given.
+
+        After a rollback the next number may be taken already; the version then follows the highest one.
+        """
         current = self.current()
         stamp = "".join(c for c in at if c.isdigit())[:14]
-        row = self.spark.createDataFrame([(current,)], "c string").select(next_version(F.col("c"), F.lit(stamp)).alias("v"))
-        version = row.first()["v"]
+        taken = self.versions().select("version").distinct()
+        after = taken.select("version").unionByName(self.spark.createDataFrame([(current,)], "version string")).select(
+            (F.col("version") == current).alias("wanted"), next_version(F.col("version"), F.lit(stamp)).alias("next"))
+        free = after.distinct().join(taken, F.col("next") == F.col("version"), "left_anti")
+        number = F.regexp_extract("next", r"(\d+)", 1).cast("decimal(38,0)")
+        version = free.orderBy(F.desc("wanted"), F.desc(number)).first()["next"]
         records = None
         files: list[str] = []
         if rows is not None:
