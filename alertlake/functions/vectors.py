@@ -29,8 +29,10 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(seeds: pd.Series) -> pd.Series:
         drawn: dict[int, np.ndarray] = {}
+        generator = np.random.RandomState(0)
         for seed in seeds.dropna().unique():
-            vector = np.random.RandomState(int(seed) % 2**32).rand(dimensions)
+            generator.seed(int(seed) % 2**32)
+            vector = generator.rand(dimensions)
             drawn[seed] = (vector / np.sqrt((vector * vector).sum())).astype(np.float32)
         return seeds.map(drawn)
 

@@ -37,18 +37,14 @@ def gate(anomalies: DataFrame, alert_threshold: float = 0.7) -> DataFrame:
 
 
 def basic_alerts(anomalies: DataFrame, run_id: str, alert_threshold: float = 0.7) -> DataFrame:
-    """Alert records with the fixed texts. Numbers run over severity, type and entity.
+    """Alert records with the fixed texts, numbered over severity, type and entity.
 
-    Anomalies are aggregates: a row per rule plus at most one per branch. Numbers are counted per (severity, type) and shifted
-    by the sizes of the groups before it.
+    Anomalies are aggregates, a row per rule plus at most one per branch, so one task can number them. One window also keeps
+    the detectors from running twice, as counting groups beforehand would.
     """
-    gated = gate(anomalies, alert_threshold).withColumn("_rank", severity_rank(F.col("severity")))
-    keys = ["_rank", "type"]
-    sizes = gated.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(*keys, (F.sum("_n").over(Window.orderBy(*keys)) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("entity").asc_nulls_first()))
-    numbered = gated.withColumn("_place", place).join(before, keys)
-    number = (F.col("_before") + F.col("_place")).cast("string")
+    order = [severity_rank(F.col("severity")), F.col("type"), F.col("entity").asc_nulls_first()]
+    numbered = gate(anomalies, alert_threshold).withColumn("_number", F.row_number().over(Window.orderBy(*order)))
+    number = F.col("_number").cast("string")
     stamp = F.to_timestamp(F.lit(run_id), "yyyyMMddHHmmss").cast("timestamp_ntz")
     return numbered.select(
         F.concat(F.lit("alert_"), number, F.lit("_" + run_id)).alias("id"),
@@ -118,10 +114,10 @@ def ranked(alerts: DataFrame) -> DataFrame:
 def headlines(alerts: DataFrame) -> DataFrame:
     """First alert of the fraud class and of the general class; an alert may head both."""
     order = [severity_rank(F.col("severity")), F.col("timestamp"), F.col("id")]
-    fraud = alerts.where(F.col("type").isin(FRAUD_KINDS)).withColumn("headline", F.lit("fraud"))
-    general = alerts.where(~F.col("type").isin(NOT_GENERAL)).withColumn("headline", F.lit("general"))
+    fraud, general = F.col("type").isin(FRAUD_KINDS), ~F.col("type").isin(NOT_GENERAL)
+    heads = F.array_compact(F.array(F.when(fraud, F.lit("fraud")), F.when(general, F.lit("general"))))
     rank = F.row_number().over(Window.partitionBy("headline").orderBy(*order))
-    return fraud.unionByName(general).withColumn("_r", rank).where(F.col("_r") == 1).drop("_r")
+    return alerts.withColumn("headline", F.explode(heads)).withColumn("_r", rank).where(F.col("_r") == 1).drop("_r")
 
 
 RESPONSE_TYPE = T.StructType([

@@ -23,11 +23,20 @@ NARROWING_PASSES = 2
 def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], exact_small: bool | None = None) -> DataFrame:
     """One row with a column per entry of ``wanted`` = {alias: (column, probability)}; NULL and NaN are skipped."""
     small = is_small(df) if exact_small is None else exact_small
-    if small:
-        return df.agg(*[
-            F.percentile(_number(column), F.lit(p)).alias(alias) for alias, (column, p) in wanted.items()
-        ])
-    return _narrowed(df, wanted)
+    return _by_values(df, wanted) if small else _narrowed(df, wanted)
+
+
+def _by_values(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One built-in aggregate per column for all of its probabilities."""
+    asked: dict[str, list[float]] = {}
+    for column, p in wanted.values():
+        asked.setdefault(column, []).append(float(p))
+    row = df.agg(*[
+        F.percentile(_number(column), F.array(*[F.lit(p) for p in ps])).alias(f"c{i}") for i, (column, ps) in enumerate(asked.items())
+    ])
+    places = {column: f"c{i}" for i, column in enumerate(asked)}
+    return row.select(*[
+        F.col(places[column])[asked[column].index(float(p))].alias(alias) for alias, (column, p) in wanted.items()])
 
 
 def approximate_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accuracy: int = 10000) -> DataFrame:

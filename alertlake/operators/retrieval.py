@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import prompt_text, usable_text
+from alertlake.operators.sizing import spread_small
 
 FEW_QUERIES = 4096
 DISTANCE_DIGITS = 9
@@ -183,10 +184,11 @@ def _scan(local: pd.DataFrame, scanned: DataFrame, k: int, metric: str, filters:
     if "location" in filters and all(p is not None for p in questions.locations):
         scanned = scanned.where(F.col("location").isin(sorted(set(questions.locations))))
     dimensions = questions.vectors.shape[1]
-    shared = scanned.sparkSession.sparkContext.broadcast(questions)
+    # Plain values: a broadcast of the class itself would need this package on the executors.
+    shared = scanned.sparkSession.sparkContext.broadcast(asdict(questions))
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        asked = Questions(**shared.value)
         best: dict[str, _Best] = {}
         for batch in batches:
             if batch.num_rows:
@@ -237,12 +239,12 @@ def embed_with(df: DataFrame, embed: Callable[[list[str]], list], text: str = "t
             vectors = embed(frame[text].fillna("").tolist()) if len(frame) else []
             yield frame.assign(**{name: [np.asarray(v, dtype=np.float32) for v in vectors]})
 
-    return df.drop(name).mapInPandas(run, f"{schema}, `{name}` array<float>")
+    return spread_small(df.drop(name)).mapInPandas(run, f"{schema}, `{name}` array<float>")
 
 
 def tfidf(df: DataFrame, text: str = "text", features: int = 1 << 12, name: str = "features") -> DataFrame:
     """Unit vectors of term weights: words hashed to ``features`` places, weighted by inverse document frequency."""
-    words = Tokenizer(inputCol="_t", outputCol="_w").transform(df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))))
+    words = Tokenizer(inputCol="_t", outputCol="_w").transform(spread_small(df).withColumn("_t", F.coalesce(F.col(text), F.lit(""))))
     counts = HashingTF(inputCol="_w", outputCol="_c", numFeatures=features).transform(words)
     weights = IDF(inputCol="_c", outputCol="_i").fit(counts).transform(counts)
     return Normalizer(inputCol="_i", outputCol=name, p=2.0).transform(weights).drop("_t", "_w", "_c", "_i")

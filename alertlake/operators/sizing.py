@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 # Below this many bytes of scanned input a single task may hold every distinct value of a column.
@@ -20,3 +22,15 @@ def input_bytes(df: DataFrame) -> int | None:
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     size = input_bytes(df)
     return size is not None and size <= limit
+
+
+def spread_small(df: DataFrame, smallest: int = 1 << 20, largest: int = 1 << 28, piece: int = 1 << 20) -> DataFrame:
+    """Use all cores for a small table that a few row groups would otherwise give to one or two tasks.
+
+    For work that costs much more per row than moving the row. Tables beyond ``largest`` have many splits of their own and are
+    left alone, as are those of unknown size.
+    """
+    size = input_bytes(df)
+    if size is None or not smallest <= size <= largest:
+        return df
+    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / piece))))

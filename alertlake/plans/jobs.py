@@ -17,14 +17,19 @@ from alertlake.operators.summary import daily_summaries
 from alertlake.schema import DATE_COLUMNS, pick
 from alertlake.sources.readers import read_datasets
 from alertlake.sources.sinks import new_only, save_alerts, save_embeddings, save_processed
+from alertlake.workspace import store
 
 
 def process_datasets(raw: dict[str, DataFrame], folder: str, credit: str = "Credit") -> dict[str, DataFrame]:
-    """Clean every dataset, add features, write it, and write branch summaries of the transactions. Returns what was written."""
+    """Clean every dataset, add features, write it, and write branch summaries of the transactions. Returns what was written.
+
+    Cleaning shuffles whole rows. Its result is written once, so that the quantile behind the large-amount feature reads one
+    column of it instead of cleaning again.
+    """
     spark = next(iter(raw.values())).sparkSession
     for name, df in raw.items():
-        processed = create_features(clean(df), credit=credit)
-        save_processed(processed, folder, name)
+        cleaned = store(clean(df), f"cleaned-{name}") if "TransactionAmount" in df.columns else clean(df)
+        save_processed(create_features(cleaned, credit=credit), folder, name)
     if "transactions" in raw:
         # Summaries are taken from the written table, so cleaning runs once.
         written = spark.read.parquet(f"{folder}/processed_transactions.parquet")
@@ -46,11 +51,14 @@ def ingest(existing: DataFrame | None, new: DataFrame, folder: str, version: str
            order: str | None = None, limits: D.Limits = D.UPLOAD) -> Ingest:
     """Merge new rows with the existing raw rows, process them as ``version``, and judge the new rows alone.
 
-    Rows are merged before cleaning and features, so standardised values never mix with raw ones.
+    Rows are merged before cleaning and features, so standardised values never mix with raw ones. The new rows are written to
+    the version first; the detectors then read only the columns they need, whatever format the rows came in.
     """
     spark = new.sparkSession
-    merged = existing.unionByName(new, allowMissingColumns=True) if existing is not None else new
     target = f"{folder.rstrip('/')}/version={version}"
+    new.write.parquet(f"{target}/raw.parquet")
+    new = spark.read.schema(new.schema).parquet(f"{target}/raw.parquet")
+    merged = existing.unionByName(new, allowMissingColumns=True) if existing is not None else new
     written = process_datasets({"transactions": merged}, target, credit)
     judged = backfill_fraud_flag(backfill_ids(new, order) if order else new)
     alerts = A.basic_alerts(D.union_all([D.general_insight(judged), D.detect_upload(judged, limits)]), run_id, 0.0)

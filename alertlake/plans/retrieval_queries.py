@@ -12,9 +12,10 @@ from alertlake.operators import retrieval as R
 from alertlake.plans import jobs
 from alertlake.plans.catalog import query
 from alertlake.plans.views import order_summaries, table, txn_events
+from alertlake.operators.sizing import spread_small
 from alertlake.operators.summary import daily_summaries
 from alertlake.sources import sinks
-from alertlake.workspace import new_folder, store
+from alertlake.workspace import new_folder
 
 DIMENSIONS = 64
 
@@ -90,7 +91,8 @@ def emb_hash_seed(spark, folder):
 
 @query("emb_hash")
 def emb_hash(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", hash_embedding(F.col("text")).alias("embedding"))
+    texts = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
+    return texts.select("doc_id", hash_embedding(F.col("text")).alias("embedding"))
 
 
 @query("emb_tfidf")

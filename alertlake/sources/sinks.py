@@ -47,6 +47,7 @@ def save_embeddings(df: DataFrame, path: str) -> None:
 def new_only(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows whose id the collection does not hold yet; the first of repeated incoming ids is kept."""
     keys = ["collection", "id"]
-    order = F.xxhash64(*[F.col(c) for c in incoming.columns])
-    first = incoming.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in incoming.columns]), order).alias("row")).select("row.*")
-    return first.join(existing.select(*keys), keys, "left_anti")
+    unseen = incoming.join(existing.select(*keys), keys, "left_anti").select(*incoming.columns)
+    row = F.struct(*[F.col(c) for c in incoming.columns])
+    # Only unseen rows are grouped; the choice among repeats follows their content, so it is the same on every run.
+    return unseen.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*incoming.columns)).alias("row")).select("row.*")
