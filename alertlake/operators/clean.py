@@ -25,6 +25,8 @@ def clean(df: DataFrame, time_columns: list[str] | None = None) -> DataFrame:
 
 def standardise(df: DataFrame, columns: list[str], suffix: str = "") -> DataFrame:
     """(x - mean) / population standard deviation; a constant column becomes zero."""
+    if not columns:
+        return df
     moments = df.agg(F.struct(
         *[F.avg(no_nan(quoted(c))).alias(f"m{i}") for i, c in enumerate(columns)],
         *[F.stddev_pop(no_nan(quoted(c))).alias(f"s{i}") for i, c in enumerate(columns)],

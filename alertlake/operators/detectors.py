@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertlake.functions.scalars import elapsed_minutes, format_fixed, hour_in, is_true, no_nan, parse_time
+from alertlake.operators.clean import standardise
 from alertlake.operators.quantiles import quantiles
 from alertlake.operators.skew import MINUTE, NATIVE, slice_window, sliced_with_reach
 from alertlake.schema import (DATE_COLUMNS, SAMPLE_BRANCH_COLUMNS, SUMMARY_BRANCH_COLUMNS, existing, numeric_columns, pick,
@@ -339,7 +340,7 @@ def detect_upload(df: DataFrame, limits: Limits = UPLOAD, amounts: DataFrame | N
     """All detectors for one new file, with the overview when nothing else fires.
 
     Any row with a location gives a location insight, so one look for such a row (a job that stops at the first) settles that
-    no overview is needed and spares its scans.
+    no overview is needed and spares its scans. Give it a table, not an unwritten aggregate, so that this job stays short.
     """
     found = [count_rules(df, row_rules(df, limits, amounts=amounts)), velocity(df, limits), location_insights(df)]
     found += [to_anomaly(detector(df)) for detector in _REGISTRY.values()]
@@ -352,11 +353,19 @@ def detect_upload(df: DataFrame, limits: Limits = UPLOAD, amounts: DataFrame | N
         (F.col("type") != "transactions_overview") | (F.col("_others") == 0)).drop("_others")
 
 
-def detect_datasets(datasets: dict[str, DataFrame], limits: Limits = BATCH) -> DataFrame:
-    """Batch detection over processed datasets: transactions, branch summaries, and any other table."""
+def detect_datasets(datasets: dict[str, DataFrame], limits: Limits = BATCH, on: str = "raw") -> DataFrame:
+    """Batch detection over processed datasets: transactions, branch summaries, and any other table.
+
+    With ``on="zscore"`` amounts and login attempts are standardised before the transaction rules judge them.
+    """
+    if on not in ("raw", "zscore"):
+        raise ValueError("on must be raw or zscore")
     found: list[DataFrame] = []
+    # Names under which the transactions may be stored.
     known = ("transactions", "bank_transactions_data_2", "branch_summaries")
     transactions = datasets.get("transactions", datasets.get("bank_transactions_data_2"))
+    if transactions is not None and on == "zscore":
+        transactions = standardise(transactions, existing(transactions, ["TransactionAmount", "LoginAttempts"]))
     if transactions is not None:
         rules = row_rules(transactions, limits)
         counted = count_rules(transactions, rules)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertlake.functions.scalars import no_nan
@@ -92,6 +92,17 @@ def sample(df: DataFrame, size: int = SAMPLE_LIMIT, seed: int = 0, key: str = "i
     return df.orderBy(F.xxhash64(quoted(key), F.lit(seed)), quoted(key)).limit(size)
 
 
+def save_sample(df: DataFrame, path: str, taken: str, size: int = SAMPLE_LIMIT, key: str = "id") -> None:
+    """Keep a sample under the time it was taken."""
+    sample(df, size, key=key).withColumn("taken", F.lit(taken)).write.mode("append").partitionBy("taken").parquet(path)
+
+
+def load_sample(spark: SparkSession, path: str) -> DataFrame:
+    """The newest sample. ``taken`` is the partition column, so only its folder is read."""
+    saved = spark.read.parquet(path).withColumn("taken", F.col("taken").cast("string"))
+    return saved.where(F.col("taken") == saved.agg(F.max("taken")).scalar())
+
+
 def plane(baseline: DataFrame, current: DataFrame, vector: str = "embedding", key: str = "id", size: int = SAMPLE_LIMIT) -> DataFrame:
     """Both samples on their two main axes, with each axis's share of the variance. Axes have no fixed sign."""
     both = sample(baseline, size, key=key).withColumn("side", F.lit("baseline")).unionByName(

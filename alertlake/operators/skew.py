@@ -57,12 +57,18 @@ def with_previous(df: DataFrame, key: str, ts: str, tie: str, take: dict[str, st
     base = df.withColumn(SLICE, F.floor(micros(ts) / F.lit(width)))
     usable = quoted(key).isNotNull() & quoted(ts).isNotNull()
     keyed = base.where(usable)
-    fields = list(dict.fromkeys([ts, tie, key, *take.values()]))
-    lasts = keyed.groupBy(quoted(key).alias("_key"), SLICE).agg(
-        F.max(F.struct(*[quoted(c) for c in [ts, tie, *[f for f in fields if f not in (ts, tie)]]])).alias("_last"))
-    following = F.lead(SLICE).over(Window.partitionBy("_key").orderBy(SLICE))
-    carried = lasts.withColumn(SLICE, following).where(F.col(SLICE).isNotNull()).select(
-        SLICE, *[F.col("_last").getField(f).alias(f) for f in fields], F.lit(False).alias(NATIVE))
+    fields = list(dict.fromkeys([ts, key, *take.values()]))
+    by_slice = keyed.groupBy(quoted(key).alias("_key"), SLICE)
+    if set(fields) == {ts, key}:
+        # Only the time is wanted: its maximum needs no whole rows, so it aggregates by hash.
+        last = by_slice.agg(F.max(quoted(ts)).alias(ts)).withColumnRenamed("_key", key)
+    else:
+        row = F.struct(*[quoted(c) for c in dict.fromkeys([ts, tie, *fields])])
+        last = by_slice.agg(F.max(row).alias("_last")).select(
+            "_key", SLICE, *[F.col("_last").getField(f).alias(f) for f in fields])
+        last = last.drop(key).withColumnRenamed("_key", key)
+    following = F.lead(SLICE).over(Window.partitionBy(quoted(key)).orderBy(SLICE))
+    carried = last.withColumn(SLICE, following).where(F.col(SLICE).isNotNull()).withColumn(NATIVE, F.lit(False))
     rows = keyed.withColumn(NATIVE, F.lit(True)).unionByName(carried, allowMissingColumns=True)
     order = slice_window(key).orderBy(F.col(NATIVE), quoted(ts), quoted(tie))
     result = (
@@ -88,14 +94,14 @@ def number_rows(df: DataFrame, order: str, name: str, ranges: int = 1000, exact_
     cuts = sorted(set(df.select(order).approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     ranged = df.withColumn("_range", _cuts_below(quoted(order).cast("double"), bounds))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``ranges`` rows, so one task and a broadcast are safe here.
-    offsets = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    # At most ``ranges`` counts come to the driver.
+    sizes = {r["_range"]: r["_n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    before = [0]
+    for i in range(len(cuts)):
+        before.append(before[-1] + sizes.get(i, 0))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(quoted(order)))
-    return (
-        ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range")
-        .withColumn(name, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_range", "_place", "_before")
-    )
+    offset = F.array(*[F.lit(b).cast("bigint") for b in before])[F.col("_range")]
+    return ranged.withColumn("_place", place).withColumn(name, offset + F.col("_place")).drop("_range", "_place")
 
 
 def _cuts_below(value: Column, bounds: Column) -> Column:

@@ -11,25 +11,28 @@ from alertlake.functions.text import summary_metadata, summary_text, transaction
 from alertlake.functions.vectors import hash_embedding
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
-from alertlake.operators.clean import backfill_fraud_flag, backfill_ids, clean
+from alertlake.operators.clean import backfill_fraud_flag, backfill_ids, clean, standardise
 from alertlake.operators.features import create_features
 from alertlake.operators.summary import daily_summaries
-from alertlake.schema import DATE_COLUMNS, pick
-from alertlake.sources.readers import read_datasets
+from alertlake.schema import DATE_COLUMNS, existing, pick
+from alertlake.sources.readers import read_datasets, read_transactions_csv
 from alertlake.sources.sinks import new_only, save_alerts, save_embeddings, save_processed
 from alertlake.workspace import store
 
 
-def process_datasets(raw: dict[str, DataFrame], folder: str, credit: str = "Credit") -> dict[str, DataFrame]:
+def process_datasets(raw: dict[str, DataFrame], folder: str, credit: str = "Credit", scaled: bool = False) -> dict[str, DataFrame]:
     """Clean every dataset, add features, write it, and write branch summaries of the transactions. Returns what was written.
 
     Cleaning shuffles whole rows. Its result is written once, so that the quantile behind the large-amount feature reads one
-    column of it instead of cleaning again.
+    column of it instead of cleaning again. ``scaled`` adds ``_z`` columns with the standardised amounts and login attempts.
     """
     spark = next(iter(raw.values())).sparkSession
     for name, df in raw.items():
         cleaned = store(clean(df), f"cleaned-{name}") if "TransactionAmount" in df.columns else clean(df)
-        save_processed(create_features(cleaned, credit=credit), folder, name)
+        featured = create_features(cleaned, credit=credit)
+        if scaled:
+            featured = standardise(featured, existing(featured, ["TransactionAmount", "LoginAttempts"]), "_z")
+        save_processed(featured, folder, name)
     if "transactions" in raw:
         # Summaries are taken from the written table, so cleaning runs once.
         written = spark.read.parquet(f"{folder}/processed_transactions.parquet")
@@ -38,6 +41,25 @@ def process_datasets(raw: dict[str, DataFrame], folder: str, credit: str = "Cred
     return read_datasets(spark, folder, ".parquet")
 
 
+def upload_alerts(rows: DataFrame, run_id: str, limits: D.Limits = D.UPLOAD) -> DataFrame:
+    """Alerts of one upload: the general insight and one alert per anomaly, low severity included."""
+    judged = backfill_fraud_flag(rows)
+    return A.basic_alerts(D.union_all([D.general_insight(judged), D.detect_upload(judged, limits)]), run_id, 0.0)
+
+
+def analyze_csv(spark: SparkSession, path: str, run_id: str, limits: D.Limits = D.UPLOAD) -> DataFrame:
+    """Alerts of a CSV file. The file is parsed once and kept as a table, since every detector reads it."""
+    return upload_alerts(store(read_transactions_csv(spark, path), "upload"), run_id, limits)
+
+
+def alert_run(spark: SparkSession, folder: str, alerts_path: str, run_id: str, suffix: str = ".parquet", threshold: float = 0.7) -> DataFrame:
+    """Detect over every processed dataset of a folder, append the alerts as a run, and return what was written."""
+    alerts = A.basic_alerts(D.detect_datasets(read_datasets(spark, folder, suffix)), run_id, threshold)
+    save_alerts(alerts, alerts_path)
+    saved = spark.read.schema(alerts.schema).json(alerts_path)
+    return saved.where(F.col("run_id") == run_id)
+
+
 @dataclass(frozen=True)
 class Ingest:
     """What an ingest wrote: the snapshot of all rows, its summaries, and the alerts of the new rows."""
@@ -60,8 +82,7 @@ def ingest(existing: DataFrame | None, new: DataFrame, folder: str, version: str
     new = spark.read.schema(new.schema).parquet(f"{target}/raw.parquet")
     merged = existing.unionByName(new, allowMissingColumns=True) if existing is not None else new
     written = process_datasets({"transactions": merged}, target, credit)
-    judged = backfill_fraud_flag(backfill_ids(new, order) if order else new)
-    alerts = A.basic_alerts(D.union_all([D.general_insight(judged), D.detect_upload(judged, limits)]), run_id, 0.0)
+    alerts = upload_alerts(backfill_ids(new, order) if order else new, run_id, limits)
     save_alerts(alerts, f"{folder.rstrip('/')}/alerts")
     saved = spark.read.schema(alerts.schema).json(f"{folder.rstrip('/')}/alerts")
     return Ingest(written["transactions"], written["branch_summaries"], saved)

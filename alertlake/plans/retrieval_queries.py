@@ -126,9 +126,8 @@ def emb_sample(spark, folder):
     path = new_folder(spark, "samples")
     vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "id")
     for day in ("2024-01-30", "2024-01-31"):
-        drift.sample(vectors).withColumn("taken", F.lit(day)).write.mode("append").partitionBy("taken").parquet(path)
-    saved = spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("taken", F.col("taken").cast("string"))
-    latest = saved.where(F.col("taken") == saved.agg(F.max("taken")).scalar())
+        drift.save_sample(vectors, path, day)
+    latest = drift.load_sample(spark, path)
     return latest.groupBy("taken").agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("id").alias("ids"))
 
 

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alertlake.operators.sizing import input_bytes
 from alertlake.plans.catalog import query
 from alertlake.plans.detector_queries import GAPS
-from alertlake.plans.views import DAILY_ALERT_COUNTS, METRIC_LOGS, daily_alert_counts, metric_logs, txn_events
-from alertlake.schema import TRANSACTION_SCHEMA
+from alertlake.plans.views import DAILY_ALERT_COUNTS, METRIC_LOGS, daily_alert_counts, metric_logs, table, txn_events
 from alertlake.streaming import streams as S
 from alertlake.workspace import new_folder
 
 FILES = 3
 
 
+def finish(spark, folder, start):
+    """Run a stream to its end, with one state partition per 4 MB of events but at least two."""
+    events = input_bytes(table(spark, folder, "events")) or 0
+    fewer = min(int(spark.conf.get(S.PARTITIONS_KEY)), max(2, events >> 22))
+    with S.state_partitions(spark, fewer):
+        started = start()
+    started.awaitTermination()
+
+
 def in_time_order(df, ts, path, kind="parquet"):
     """One write per third of the time range, so that files arrive in order."""
     low, high = df.agg(F.min(ts), F.max(ts)).first()
@@ -34,7 +43,7 @@ def stream_breaches(spark, folder):
     days = daily_alert_counts(spark, folder).withColumn("file", F.date_format("date", "M-yy"))
     days.repartition(FILES, "date").write.partitionBy("file").option("header", True).csv(f"{root}/in")
     counts = S.file_stream(spark, f"{root}/in", "date date, alert_count bigint")
-    S.breach_stream(counts, f"{root}/out", f"{root}/checkpoint", 60).awaitTermination()
+    finish(spark, folder, lambda: S.breach_stream(counts, f"{root}/out", f"{root}/checkpoint", 60))
     return spark.read.parquet(f"{root}/out")
 
 
@@ -43,7 +52,7 @@ def stream_upload_alerts(spark, folder):
     """Alerts of each uploaded file."""
     root = new_folder(spark, "upload-stream")
     schema = in_time_order(txn_events(spark, folder).drop("FraudFlag"), "TransactionDate", f"{root}/in")
-    S.upload_alert_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint", "20240131").awaitTermination()
+    finish(spark, folder, lambda: S.upload_alert_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint", "20240131"))
     return spark.read.parquet(f"{root}/out").select("id", "type", "severity", F.col("anomaly.count").alias("count"))
 
 
@@ -53,7 +62,7 @@ def stream_daily_avg(spark, folder):
     root = new_folder(spark, "log-stream")
     logs = metric_logs(spark, folder).select("timestamp", "query_id", "response_time_seconds")
     schema = in_time_order(logs, "timestamp", f"{root}/in", "json")
-    S.daily_average_stream(S.file_stream(spark, f"{root}/in", schema, "json"), "response_time_seconds", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    finish(spark, folder, lambda: S.daily_average_stream(S.file_stream(spark, f"{root}/in", schema, "json"), "response_time_seconds", f"{root}/out", f"{root}/checkpoint"))
     days = S.latest(spark, f"{root}/out", ["date"])
     return days.withColumn("average_response_time_seconds", F.round("average_response_time_seconds", 7))
 
@@ -63,7 +72,7 @@ def stream_velocity(spark, folder):
     root = new_folder(spark, "velocity-stream")
     rows = txn_events(spark, folder).select("CustomerID", "TransactionID", "TransactionDate")
     schema = in_time_order(rows, "TransactionDate", f"{root}/in")
-    S.velocity_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    finish(spark, folder, lambda: S.velocity_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/out").select("TransactionID", "CustomerID", "gap_micros")
 
 
@@ -74,6 +83,6 @@ def stream_velocity(spark, folder):
 def stream_sliding_counts(spark, folder):
     root = new_folder(spark, "sliding-stream")
     schema = in_time_order(metric_logs(spark, folder).select("timestamp", "query_id"), "timestamp", f"{root}/in")
-    S.sliding_count_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    finish(spark, folder, lambda: S.sliding_count_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint"))
     counts = S.latest(spark, f"{root}/out", ["window_start"]).where(F.col("alert_count") > 340)
     return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "alert_count")

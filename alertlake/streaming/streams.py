@@ -7,6 +7,7 @@ scheduler may start it again with the same checkpoint folder to go on. Results a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
-from alertlake.operators.clean import backfill_fraud_flag
 from alertlake.operators.skew import MINUTE
 from alertlake.operators.summary import breaches
+from alertlake.plans.jobs import upload_alerts
 from alertlake.sources.readers import month_label
 
 BATCH = "batch_id"
+PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "csv", files_per_batch: int = 1) -> DataFrame:
@@ -33,6 +34,20 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, kind
     return reader.format(kind).load(path)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Start streams with this many state partitions. The number is fixed by a stream's first start, so choose it for the data
+    expected; a stream keeps a copy of the settings it was started with.
+    """
+    before = spark.conf.get(PARTITIONS_KEY)
+    if partitions:
+        spark.conf.set(PARTITIONS_KEY, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS_KEY, before)
+
+
 def _append(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return (df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -47,10 +62,10 @@ def breach_stream(counts: DataFrame, out: str, checkpoint: str, threshold: int =
 def upload_alert_stream(rows: DataFrame, out: str, checkpoint: str, run_prefix: str, limits: D.Limits = D.UPLOAD) -> StreamingQuery:
     """Judge each batch of uploaded rows by itself. A batch that is run again replaces its own folder."""
     def judge(batch: DataFrame, batch_id: int) -> None:
-        rows_once = backfill_fraud_flag(batch).persist()
+        rows_once = batch.persist()
         try:
-            found = D.union_all([D.general_insight(rows_once), D.detect_upload(rows_once, limits)])
-            A.basic_alerts(found, f"{run_prefix}{batch_id:06d}", 0.0).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+            alerts = upload_alerts(rows_once, f"{run_prefix}{batch_id:06d}", limits)
+            alerts.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
         finally:
             rows_once.unpersist()
 
@@ -109,7 +124,7 @@ def velocity_stream(rows: DataFrame, out: str, checkpoint: str, minutes: float =
     """
     reach = int(minutes * MINUTE)
     width = 12 * reach
-    groups = groups or 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups or 2 * int(rows.sparkSession.conf.get(PARTITIONS_KEY))
     us = F.unix_micros("TransactionDate")
     keyed = (
         rows.select("CustomerID", "TransactionID", "TransactionDate").where(F.col("CustomerID").isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertlake.operators import detectors as D
 from alertlake.operators.clean import clean
-from alertlake.plans.jobs import ingest, process_datasets, refresh
+from alertlake.plans.jobs import alert_run, analyze_csv, ingest, process_datasets, refresh
 from alertlake.sources import readers as R
 from alertlake.sources import sinks
 from alertlake.streaming import streams as S
@@ -60,7 +60,12 @@ def test_catalog_and_jobs(spark):
     put(spark, folder, "other.csv", "x\n1")
     found = R.read_datasets(spark, folder)
     assert sorted(found) == ["cases", "transactions"]
-    written = process_datasets(found, f"{folder}/out")
+    written = process_datasets(found, f"{folder}/out", scaled=True)
+    assert "TransactionAmount_z" in written["transactions"].columns
+    alerts = alert_run(spark, f"{folder}/out", f"{folder}/alerts", "20250101000000")
+    assert {r["type"] for r in alerts.collect()} >= {"cases_b_flag"}
+    direct = {r["type"]: r["query"] for r in analyze_csv(spark, f"{folder}/processed_transactions.csv", "20250101000000").collect()}
+    assert direct["overnight_transactions"] == "Generate an alert for 2 transactions occurring during overnight hours (12am-5am)"
     assert sorted(written) == ["branch_summaries", "cases", "transactions"] and written["branch_summaries"].count() == 2
 
 

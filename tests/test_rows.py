@@ -222,3 +222,14 @@ def test_responses(spark):
     assert rows[3]["title"] == "Alert Generated" and rows[4]["title"].startswith('{"broken"')
     assert len(rows[4]["recommended_actions"]) == 3 and rows[5]["title"] == "only" and rows[5]["description"] is None
     assert len(rows[6]["title"]) == 100
+
+
+def test_batch_rules_on_standardised_values(spark):
+    df = spark.createDataFrame([(f"t{i:03d}", float(i), 1) for i in range(99)] + [("odd", 5.0, 9)],
+                               "TransactionID string, TransactionAmount double, LoginAttempts int")
+    raw = found(D.detect_datasets({"transactions": df}))
+    scaled = found(D.detect_datasets({"transactions": df}, on="zscore"))
+    assert raw["high_login_attempts"]["count"] == scaled["high_login_attempts"]["count"] == 1
+    assert scaled["large_transactions"]["threshold"] < 3 < raw["large_transactions"]["threshold"]
+    with pytest.raises(ValueError):
+        D.detect_datasets({"transactions": df}, on="other")
