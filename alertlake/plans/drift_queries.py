@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alertlake.operators import drift as M
 from alertlake.plans.catalog import query
-from alertlake.plans.views import AS_OF, METRIC_LOGS, metric_logs, table
+from alertlake.plans.views import AS_OF, METRIC_LOGS, metric_logs, steady, table
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 RECENT = f"timestamp >= {NOW} - INTERVAL 7 DAY"
@@ -68,10 +68,10 @@ def drift_embedding(spark, folder):
 
 
 @query("trend_daily_avg", f"""
-    SELECT CAST(timestamp AS DATE) AS date, round(AVG(response_time_seconds), 7) AS average_response_time_seconds FROM {METRIC_LOGS} GROUP BY 1""")
+    SELECT CAST(timestamp AS DATE) AS date, round(AVG(response_time_seconds) + 1.234567e-7, 7) AS average_response_time_seconds FROM {METRIC_LOGS} GROUP BY 1""")
 def trend_daily_avg(spark, folder):
     days = M.daily_average(metric_logs(spark, folder), "response_time_seconds")
-    return days.withColumn("average_response_time_seconds", F.round("average_response_time_seconds", 7))
+    return days.withColumn("average_response_time_seconds", steady("average_response_time_seconds", 7))
 
 
 @query("emb_pca2")

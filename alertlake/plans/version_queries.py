@@ -138,13 +138,13 @@ def versions_import(spark, folder):
 NEW = f"(SELECT * FROM {TXN_ORDERS} WHERE TransactionDate >= TIMESTAMP '1999-01-01')"
 
 
-@query("ingest_version", f"""
+@query("ingest_version", f"""SELECT * FROM (
     SELECT 'general_insight' AS type, 'low' AS severity, COUNT(*) AS count FROM {NEW} UNION ALL
     SELECT 'large_transactions', 'medium', COUNT(*) FROM {NEW} WHERE TransactionAmount > (SELECT quantile_cont(TransactionAmount, 0.95) FROM {NEW}) UNION ALL
     SELECT 'overnight_transactions', 'medium', COUNT(*) FROM {NEW} WHERE hour(TransactionDate) < 5 UNION ALL
     SELECT 'velocity_anomaly', 'high', COUNT(*) FROM (SELECT TransactionDate, LAG(TransactionDate) OVER
         (PARTITION BY CustomerID ORDER BY TransactionDate, TransactionID) AS p FROM {NEW}) WHERE TransactionDate - p < INTERVAL 5 MINUTE UNION ALL
-    SELECT 'location_insights', 'low', CAST(SUM(n) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM {NEW} GROUP BY Location ORDER BY n DESC, Location LIMIT 3)""")
+    SELECT 'location_insights', 'low', CAST(SUM(n) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM {NEW} GROUP BY Location ORDER BY n DESC, Location LIMIT 3)) WHERE count > 0""")
 def ingest_version(spark, folder):
     """Orders since 1999 merged into those before; alerts judge the new rows alone."""
     rows = txn_orders(spark, folder)
