@@ -169,13 +169,13 @@ SUMMARY_COLUMNS = ["TransactionCount", "TotalAmount", "AverageAmount", "AmountSt
 
 
 def rounded(df, *keys):
-    shown = {"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": steady("AverageAmount", 5), "AmountStdDev": F.round("AmountStdDev", 4)}
+    shown = {"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": steady("AverageAmount", 3), "AmountStdDev": F.round("AmountStdDev", 3)}
     return df.select(*keys, *[shown[c].alias(c) if c in shown else c for c in SUMMARY_COLUMNS])
 
 
 @query("branch_summary_daily", f"""
-    SELECT Location, Date, TransactionCount, round(TotalAmount, 2) AS TotalAmount, round(AverageAmount + 1.234567e-7, 5) AS AverageAmount,
-           round(AmountStdDev, 4) AS AmountStdDev, CreditTransactionCount, LargeTransactionCount FROM {ORDER_SUMMARIES}""")
+    SELECT Location, Date, TransactionCount, round(TotalAmount, 2) AS TotalAmount, round(AverageAmount + 1.234567e-7, 3) AS AverageAmount,
+           round(AmountStdDev, 3) AS AmountStdDev, CreditTransactionCount, LargeTransactionCount FROM {ORDER_SUMMARIES}""")
 def branch_summary_daily(spark, folder):
     return rounded(order_summaries(spark, folder), "Location", "Date")
 
@@ -183,7 +183,7 @@ def branch_summary_daily(spark, folder):
 @query("branch_summary_rollup", f"""
     SELECT CASE WHEN GROUPING(Location) = 1 THEN 'all' WHEN GROUPING(Date) = 1 THEN 'branch' ELSE 'branch_date' END AS Level,
            Location, Date, COUNT(*) AS TransactionCount, round(SUM(TransactionAmount), 2) AS TotalAmount,
-           round(AVG(TransactionAmount) + 1.234567e-7, 5) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 4) AS AmountStdDev,
+           round(AVG(TransactionAmount) + 1.234567e-7, 3) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 3) AS AmountStdDev,
            CAST(SUM(c) AS BIGINT) AS CreditTransactionCount, CAST(SUM(l) AS BIGINT) AS LargeTransactionCount
     FROM (SELECT Location, CAST(TransactionDate AS DATE) AS Date, TransactionAmount,
                  CASE WHEN TransactionType = 'F' THEN 1 ELSE 0 END AS c,

@@ -22,7 +22,7 @@ MIS = f"""(
 MIS_CHANGE = f"""(
     SELECT *, LAG(revenue) OVER (PARTITION BY branch ORDER BY week) AS previous_revenue,
            round((revenue - LAG(revenue) OVER (PARTITION BY branch ORDER BY week))
-                 / LAG(revenue) OVER (PARTITION BY branch ORDER BY week) * 100, 2) AS revenue_change_pct FROM {MIS})"""
+                 / LAG(revenue) OVER (PARTITION BY branch ORDER BY week) * 100, 2) + 0.0 AS revenue_change_pct FROM {MIS})"""
 
 
 def weekly(spark, folder):
@@ -67,14 +67,14 @@ def timeline_sorted(spark, folder):
 
 @query("branch_trend", " UNION ALL ".join(f"""
     SELECT '{p}' AS period, Location AS branch, CAST(date_trunc('{p}', TransactionDate) AS DATE) AS period_start,
-           COUNT(*) AS transactions, round(SUM(TransactionAmount), 2) AS total_amount, round(AVG(TransactionAmount) + 1.234567e-7, 7) AS average_amount
+           COUNT(*) AS transactions, round(SUM(TransactionAmount), 2) AS total_amount, round(AVG(TransactionAmount) + 1.234567e-7, 3) AS average_amount
     FROM {TXN_ORDERS} GROUP BY 2, 3""" for p in S.PERIODS))
 def branch_trend(spark, folder):
     """All five periods."""
     df = txn_orders(spark, folder)
     frames = [S.branch_trend(df, p).select(F.lit(p).alias("period"), "*") for p in S.PERIODS]
     return D.union_all(frames).withColumns({
-        "total_amount": F.round("total_amount", 2), "average_amount": steady("average_amount", 7)})
+        "total_amount": F.round("total_amount", 2), "average_amount": steady("average_amount", 3)})
 
 
 @query("branch_compare", f"""
@@ -92,13 +92,13 @@ def branch_compare(spark, folder):
 
 @query("branch_overview", f"""
     SELECT Location, COUNT(*) AS TransactionCount, round(SUM(TransactionAmount), 2) AS TotalAmount,
-           round(AVG(TransactionAmount) + 1.234567e-7, 5) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 4) AS AmountStdDev,
+           round(AVG(TransactionAmount) + 1.234567e-7, 3) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 3) AS AmountStdDev,
            MIN(TransactionDate) AS FirstSeen, MAX(TransactionDate) AS LastSeen
     FROM {TXN_ORDERS} WHERE Location = 'NATION_1' GROUP BY 1""")
 def branch_overview(spark, folder):
     row = S.branch_overview(txn_orders(spark, folder), "NATION_1")
-    return row.withColumns({"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": steady("AverageAmount", 5),
-                            "AmountStdDev": F.round("AmountStdDev", 4)})
+    return row.withColumns({"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": steady("AverageAmount", 3),
+                            "AmountStdDev": F.round("AmountStdDev", 3)})
 
 
 @query("branch_list", f"SELECT DISTINCT Location AS branch FROM {TXN_ORDERS}")
