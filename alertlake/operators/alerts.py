@@ -36,6 +36,11 @@ def gate(anomalies: DataFrame, alert_threshold: float = 0.7) -> DataFrame:
     return anomalies.where(F.col("severity") != "low") if alert_threshold > GATE else anomalies
 
 
+def run_time(run_id: str) -> Column:
+    """The moment a run id starts with, as yyyyMMddHHmmss; NULL for ids that name no time."""
+    return F.try_to_timestamp(F.lit(run_id[:14]), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+
+
 def basic_alerts(anomalies: DataFrame, run_id: str, alert_threshold: float = 0.7) -> DataFrame:
     """Alert records with the fixed texts, numbered over severity, type and entity.
 
@@ -45,13 +50,12 @@ def basic_alerts(anomalies: DataFrame, run_id: str, alert_threshold: float = 0.7
     order = [severity_rank(F.col("severity")), F.col("type"), F.col("entity").asc_nulls_first()]
     numbered = gate(anomalies, alert_threshold).withColumn("_number", F.row_number().over(Window.orderBy(*order)))
     number = F.col("_number").cast("string")
-    stamp = F.to_timestamp(F.lit(run_id), "yyyyMMddHHmmss").cast("timestamp_ntz")
     return numbered.select(
         F.concat(F.lit("alert_"), number, F.lit("_" + run_id)).alias("id"),
         F.lit(run_id).alias("run_id"),
         "type", "severity",
         F.lit("new").alias("status"),
-        stamp.alias("timestamp"),
+        run_time(run_id).alias("timestamp"),
         F.concat(F.lit("Alert: "), F.col("type")).alias("title"),
         F.concat(F.lit("Anomaly detected of type "), F.col("type"), F.lit(" with severity "), F.col("severity")).alias("description"),
         F.array(*[F.lit(a) for a in BASIC_ACTIONS]).alias("recommended_actions"),
@@ -69,7 +73,7 @@ def custom_alerts(requests: DataFrame, run_id: str) -> DataFrame:
         F.concat(F.lit("custom_" + run_id + "_"), F.sha2("query", 256).substr(1, 16)).alias("id"),
         F.lit(run_id).alias("run_id"), F.lit("custom_query").alias("type"), F.lit("medium").alias("severity"),
         F.lit("new").alias("status"),
-        F.to_timestamp(F.lit(run_id), "yyyyMMddHHmmss").cast("timestamp_ntz").alias("timestamp"),
+        run_time(run_id).alias("timestamp"),
         given("title", F.lit(CUSTOM_TITLE)).alias("title"),
         given("description", F.lit(CUSTOM_DESCRIPTION)).alias("description"),
         given("recommended_actions", F.array().cast("array<string>")).alias("recommended_actions"),

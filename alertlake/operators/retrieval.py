@@ -156,6 +156,10 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 5, metric: str =
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric must be cosine or l2")
+    if "location" in queries.columns and "location" not in documents.columns:
+        raise ValueError("questions ask for a location but documents have none")
+    if {"start_date", "end_date"} & set(queries.columns) and "date" not in documents.columns:
+        raise ValueError("questions ask for a period but documents have no date")
     filters = [c for c in ("location", "buckets") if c in queries.columns and c in documents.columns]
     dated = ("start_date" in queries.columns or "end_date" in queries.columns) and "date" in documents.columns
     wanted = ["query_id", "embedding", *filters, *[c for c in ("start_date", "end_date") if dated and c in queries.columns]]
@@ -195,7 +199,10 @@ def _scan(local: pd.DataFrame, scanned: DataFrame, k: int, metric: str, filters:
                 _consume(best, lambda: _Best(asked, k, metric), batch, asked, dimensions)
         yield _record([row for name, b in best.items() for row in b.rows(name)])
 
-    return scanned.where(F.size("embedding") == dimensions).mapInArrow(best_of_partition, HIT_SCHEMA)
+    # A vector of another length is an error of the data; it is reported, not passed over.
+    wrong = F.raise_error(F.concat(F.lit(f"expected {dimensions} dimensions in document "), "id")).cast("array<float>")
+    checked = scanned.withColumn("embedding", F.when(F.size("embedding") == dimensions, F.col("embedding")).otherwise(wrong))
+    return checked.mapInArrow(best_of_partition, HIT_SCHEMA)
 
 
 def _blocks(asked: DataFrame, scanned: DataFrame, k: int, metric: str) -> DataFrame:

@@ -48,18 +48,21 @@ def alerts_basic(spark, folder):
     return flat(alerts(spark, folder))
 
 
-@query("anomaly_query_text", f"""
-    WITH s AS {ORDER_SUMMARIES},
-         g AS (SELECT Location, AVG(TransactionCount) AS m, COALESCE(STDDEV_SAMP(TransactionCount), 1) AS d FROM s GROUP BY 1),
-         o AS (SELECT s.*, m, ROW_NUMBER() OVER (PARTITION BY s.Location ORDER BY Date) AS r
-               FROM s JOIN g USING (Location) WHERE abs(TransactionCount - m) > 2 * d)
-    SELECT type, CAST(NULL AS VARCHAR) AS entity, CASE type
+UPLOAD_QUERY = """CASE type
         WHEN 'large_transactions' THEN 'Generate an alert for ' || count || ' unusually large transactions above ' || printf('%.2f', threshold)
         WHEN 'fraud_flags' THEN 'Generate an alert for ' || count || ' transactions flagged as potential fraud'
         WHEN 'high_login_attempts' THEN 'Generate an alert for ' || count || ' transactions with high login attempts above 5'
         WHEN 'overnight_transactions' THEN 'Generate an alert for ' || count || ' transactions occurring during overnight hours (12am-5am)'
         WHEN 'velocity_anomaly' THEN 'Generate an alert for ' || count || ' transactions occurring in rapid succession'
-        ELSE 'Generate an alert for ' || type || ' with severity ' || severity END AS query FROM {ANOMALIES}
+        ELSE 'Generate an alert for ' || type || ' with severity ' || severity END"""
+
+
+@query("anomaly_query_text", f"""
+    WITH s AS {ORDER_SUMMARIES},
+         g AS (SELECT Location, AVG(TransactionCount) AS m, COALESCE(STDDEV_SAMP(TransactionCount), 1) AS d FROM s GROUP BY 1),
+         o AS (SELECT s.*, m, ROW_NUMBER() OVER (PARTITION BY s.Location ORDER BY Date) AS r
+               FROM s JOIN g USING (Location) WHERE abs(TransactionCount - m) > 2 * d)
+    SELECT type, CAST(NULL AS VARCHAR) AS entity, {UPLOAD_QUERY} AS query FROM {ANOMALIES}
     UNION ALL
     SELECT 'high_large_transaction_ratio', NULL, 'Generate an alert for ' || COUNT(*) || ' branches with unusually high ratio of large transactions'
     FROM s WHERE LargeTransactionCount / TransactionCount > 0.15
@@ -77,9 +80,15 @@ def anomaly_query_text(spark, folder):
     return everything.select("type", "entity", A.anomaly_query().alias("query"))
 
 
-@query("anomaly_json")
+@query("anomaly_json", f"""
+    SELECT type, {UPLOAD_QUERY} AS query, severity, CAST(count AS VARCHAR) AS count, round(threshold, 6) AS threshold, details FROM {ANOMALIES}""")
 def anomaly_json(spark, folder):
-    return A.anomaly_json(found(spark, folder))
+    """Queries with JSON context, taken apart again."""
+    parts = F.split("augmented_query", "\n\nContext: ", 2)
+    context = {c: F.get_json_object(parts[1], f"$.{c}") for c in ("severity", "count", "threshold", "details")}
+    return A.anomaly_json(found(spark, folder)).select(
+        "type", parts[0].alias("query"), context["severity"].alias("severity"), context["count"].alias("count"),
+        F.round(context["threshold"].cast("double"), 6).alias("threshold"), context["details"].alias("details"))
 
 
 @query("alert_related", f"""

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from alertlake.functions.text import PROMPTS
 from alertlake.functions.vectors import byte_sum, hash_embedding
 from alertlake.operators import drift
 from alertlake.operators import retrieval as R
@@ -216,9 +217,12 @@ def ctx_retrieve(spark, folder):
     return found.select("query_id", F.posexplode("texts").alias("position", "text")).withColumn("position", F.col("position") + 1)
 
 
-@query("ctx_query", f"""
+CONTEXT_SQL = f"""
     SELECT query_id, '### RETRIEVED CONTEXT:' || chr(10) || chr(10) || {numbered_sql('Document', 'chr(10) || chr(10)')} || chr(10) || chr(10) AS context
-    FROM {texts_sql(5)}""")
+    FROM {texts_sql(5)}"""
+
+
+@query("ctx_query", CONTEXT_SQL)
 def ctx_query(spark, folder):
     found = R.retrieve(questions(spark, folder), documents(spark, folder))
     return found.select("query_id", R.query_context(F.col("texts")).alias("context"))
@@ -232,20 +236,29 @@ def sides_sql(hits, title):
          LEFT JOIN (SELECT * FROM {items_sql(hits)} WHERE collection = 'summaries') s ON s.query_id = q.query_id"""
 
 
-@query("ctx_branch", sides_sql(hits_sql(5, PLACE), "'FOR ' || q.branch"))
+BRANCH_SQL = sides_sql(hits_sql(5, PLACE), "'FOR ' || q.branch")
+
+
+@query("ctx_branch", BRANCH_SQL)
 def ctx_branch(spark, folder):
     return R.branch_context(questions(spark, folder), documents(spark, folder)).select("query_id", "context")
 
 
-@query("ctx_date_range", sides_sql(hits_sql(5, PLACE + " AND " + PERIOD), "'from ' || q.start_date || ' to ' || q.end_date || ' for ' || q.branch"))
+PERIOD_SQL = sides_sql(hits_sql(5, PLACE + " AND " + PERIOD), "'from ' || q.start_date || ' to ' || q.end_date || ' for ' || q.branch")
+
+
+@query("ctx_date_range", PERIOD_SQL)
 def ctx_date_range(spark, folder):
     return R.date_range_context(questions(spark, folder), documents(spark, folder)).select("query_id", "context")
 
 
-@query("ctx_compare", f"""
+COMPARE_SQL = f"""
     SELECT q.query_id, COALESCE(a.context, '') AS branch_a_context, COALESCE(b.context, '') AS branch_b_context
     FROM {QUESTIONS} q LEFT JOIN {items_sql(hits_sql(5, PLACE, only="d.collection = 'summaries'"))} a ON a.query_id = q.query_id
-         LEFT JOIN {items_sql(hits_sql(5, "d.location = q.compare_with", only="d.collection = 'summaries'"))} b ON b.query_id = q.query_id""")
+         LEFT JOIN {items_sql(hits_sql(5, "d.location = q.compare_with", only="d.collection = 'summaries'"))} b ON b.query_id = q.query_id"""
+
+
+@query("ctx_compare", COMPARE_SQL)
 def ctx_compare(spark, folder):
     found = R.comparison_context(questions(spark, folder), documents(spark, folder))
     return found.select("query_id", "branch_a_context", "branch_b_context")
@@ -260,7 +273,34 @@ def ctx_augment(spark, folder):
     return found.select("query_id", R.augmented_query(F.col("query"), F.col("texts"), F.col("branch")).alias("augmented"))
 
 
-@query("prompt_batch")
+def pattern_sql(pattern, values):
+    """The concatenation that fills a prompt pattern."""
+    parts = []
+    for i, piece in enumerate(pattern.replace("}", "{").split("{")):
+        if piece:
+            parts.append(values[piece] if i % 2 else "'" + piece.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+def prompts_sql(of):
+    """Prompts of all questions; ``of(kind, number)`` says in SQL which of them are of the kind."""
+    open_ended = f"(SELECT query_id, context FROM ({CONTEXT_SQL}))"
+    rows = [
+        ("general", f"{QUESTIONS} q JOIN {open_ended} c USING (query_id)", {"query": "q.query", "context": "c.context"}),
+        ("branch", f"{QUESTIONS} q JOIN ({BRANCH_SQL}) c USING (query_id)",
+         {"branch": "q.branch", "time_period": "'last month'", "context": "c.context"}),
+        ("fraud", f"{QUESTIONS} q JOIN {open_ended} c USING (query_id)", {"context": "c.context"}),
+        ("comparison", f"{QUESTIONS} q JOIN ({COMPARE_SQL}) c USING (query_id)",
+         {"time_period": "'last month'", "branch_a_context": "c.branch_a_context", "branch_b_context": "c.branch_b_context"}),
+        ("trend", f"{QUESTIONS} q JOIN ({PERIOD_SQL}) c USING (query_id)",
+         {"time_period": "q.start_date || ' to ' || q.end_date || ' for ' || q.branch", "context": "c.context"}),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT {of(kind, i)[0]} AS query_id, '{kind}' AS alert_type, {pattern_sql(PROMPTS[kind], values)} AS prompt FROM {source} {of(kind, i)[1]}"
+        for i, (kind, source, values) in enumerate(rows))
+
+
+@query("prompt_batch", prompts_sql(lambda kind, i: (f"q.query_id || '-{kind}'", "")))
 def prompt_batch(spark, folder):
     """Every question as each of the five kinds of request."""
     kinds = F.explode(F.array(*[F.lit(k) for k in ("general", "branch", "fraud", "comparison", "trend")]))
@@ -268,9 +308,10 @@ def prompt_batch(spark, folder):
     return R.prompts(asked, documents(spark, folder)).select("query_id", "alert_type", "prompt")
 
 
-@query("prompt_by_type")
+@query("prompt_by_type", prompts_sql(lambda kind, i: ("q.query_id", f"WHERE q.kind = {i}")))
 def prompt_by_type(spark, folder):
-    return R.prompts(questions(spark, folder), documents(spark, folder)).select("query_id", "alert_type", "query", "branch", "prompt")
+    """Every question as the one kind it is."""
+    return R.prompts(questions(spark, folder), documents(spark, folder)).select("query_id", "alert_type", "prompt")
 
 
 @query("refresh_job", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alertlake.operators.sizing import input_bytes
 from alertlake.plans.catalog import query
 from alertlake.plans.detector_queries import GAPS
-from alertlake.plans.views import DAILY_ALERT_COUNTS, METRIC_LOGS, daily_alert_counts, metric_logs, steady, table, txn_events
+from alertlake.plans.views import DAILY_ALERT_COUNTS, METRIC_LOGS, TXN_EVENTS, daily_alert_counts, metric_logs, steady, table, txn_events
 from alertlake.streaming import streams as S
 from alertlake.workspace import new_folder
 
@@ -47,12 +47,29 @@ def stream_breaches(spark, folder):
     return spark.read.parquet(f"{root}/out")
 
 
-@query("stream_upload_alerts")
+THIRDS = f"""(
+    SELECT *, CASE WHEN epoch_us(TransactionDate) < low + step THEN 0 WHEN epoch_us(TransactionDate) < low + 2 * step THEN 1 ELSE 2 END AS part
+    FROM {TXN_EVENTS}, (SELECT MIN(epoch_us(ts)) AS low, CAST(round((MAX(epoch_us(ts)) - MIN(epoch_us(ts))) / 3) AS BIGINT) AS step FROM events))"""
+
+
+@query("stream_upload_alerts", f"""
+    WITH t AS {THIRDS}, a AS (
+        SELECT part, 'general_insight' AS type, 'low' AS severity, COUNT(*) AS count FROM t GROUP BY 1
+        UNION ALL SELECT t.part, 'large_transactions', 'medium', COUNT(*) FROM t JOIN
+            (SELECT part, quantile_cont(TransactionAmount, 0.95) AS q FROM t GROUP BY 1) l ON t.part = l.part WHERE TransactionAmount > q GROUP BY 1
+        UNION ALL SELECT part, 'high_login_attempts', 'medium', COUNT(*) FROM t WHERE LoginAttempts > 5 GROUP BY 1
+        UNION ALL SELECT part, 'overnight_transactions', 'medium', COUNT(*) FROM t WHERE hour(TransactionDate) < 5 GROUP BY 1
+        UNION ALL SELECT part, 'velocity_anomaly', 'high', COUNT(*) FROM (SELECT part, TransactionDate - LAG(TransactionDate) OVER
+            (PARTITION BY part, CustomerID ORDER BY TransactionDate, TransactionID) AS gap FROM t) WHERE gap < INTERVAL 5 MINUTE GROUP BY 1
+        UNION ALL SELECT part, 'location_insights', 'low', CAST(SUM(n) AS BIGINT) FROM (SELECT part, n, ROW_NUMBER() OVER
+            (PARTITION BY part ORDER BY n DESC, Location) AS r FROM (SELECT part, Location, COUNT(*) AS n FROM t GROUP BY 1, 2)) WHERE r <= 3 GROUP BY 1)
+    SELECT 'alert_' || ROW_NUMBER() OVER (PARTITION BY part ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type)
+           || '_20240131000000-' || lpad(CAST(part AS VARCHAR), 6, '0') AS id, type, severity, count FROM a""")
 def stream_upload_alerts(spark, folder):
     """Alerts of each uploaded file."""
     root = new_folder(spark, "upload-stream")
     schema = in_time_order(txn_events(spark, folder).drop("FraudFlag"), "TransactionDate", f"{root}/in")
-    finish(spark, folder, lambda: S.upload_alert_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint", "20240131"))
+    finish(spark, folder, lambda: S.upload_alert_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint", "20240131000000"))
     return spark.read.parquet(f"{root}/out").select("id", "type", "severity", F.col("anomaly.count").alias("count"))
 
 

@@ -59,12 +59,12 @@ def breach_stream(counts: DataFrame, out: str, checkpoint: str, threshold: int =
     return _append(breaches(labelled, threshold), out, checkpoint)
 
 
-def upload_alert_stream(rows: DataFrame, out: str, checkpoint: str, run_prefix: str, limits: D.Limits = D.UPLOAD) -> StreamingQuery:
+def upload_alert_stream(rows: DataFrame, out: str, checkpoint: str, run_id: str, limits: D.Limits = D.UPLOAD) -> StreamingQuery:
     """Judge each batch of uploaded rows by itself. A batch that is run again replaces its own folder."""
     def judge(batch: DataFrame, batch_id: int) -> None:
         rows_once = batch.persist()
         try:
-            alerts = upload_alerts(rows_once, f"{run_prefix}{batch_id:06d}", limits)
+            alerts = upload_alerts(rows_once, f"{run_id}-{batch_id:06d}", limits)
             alerts.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
         finally:
             rows_once.unpersist()

@@ -120,7 +120,7 @@ def test_each_upload_alone_and_idempotent(spark):
             .coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = S.file_stream(spark, f"{folder}/in", "TransactionID string, Location string, LoginAttempts int", "parquet")
     for checkpoint in ("c1", "c2"):  # a second run over the same files replaces the same folders
-        S.upload_alert_stream(stream, f"{folder}/out", f"{folder}/{checkpoint}", "20240101").awaitTermination()
+        S.upload_alert_stream(stream, f"{folder}/out", f"{folder}/{checkpoint}", "20240101000000").awaitTermination()
     rows = spark.read.parquet(f"{folder}/out").where("type = 'high_login_attempts'").collect()
     assert sorted(r["anomaly"]["count"] for r in rows) == [1, 2]
 

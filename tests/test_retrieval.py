@@ -108,3 +108,14 @@ def test_embed_hook_and_weights(spark):
     assert [r["embedding"] for r in rows] == [[3.0, 1.0], [0.0, 1.0], [5.0, 1.0]]
     weighted = R.tfidf(df, features=64).orderBy("i").collect()
     assert weighted[0]["features"].norm(2) == pytest.approx(1.0)
+
+
+def test_mistakes_are_reported(spark, data):
+    _, documents, _, asked = data
+    with pytest.raises(ValueError):
+        R.nearest(asked, documents.drop("location"))
+    with pytest.raises(ValueError):
+        R.nearest(asked.drop("location"), documents.drop("date"))
+    short = documents.withColumn("embedding", F.slice("embedding", 1, 3))
+    with pytest.raises(Exception, match="expected 16 dimensions"):
+        R.nearest(asked.select("query_id", "embedding"), short).collect()

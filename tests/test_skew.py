@@ -86,3 +86,22 @@ def test_number_rows(spark, rows):
         assert [r["k"] for r in got] == list(range(1, rows.count() + 1))
     same = spark.createDataFrame([(1.0,)], "n double")
     assert number_rows(same, "n", "k", exact_small=False).first()["k"] == 1
+
+
+def test_hot_customer_is_spread(rows):
+    """The busiest customer's rows must reach several tasks, none of which holds most of them."""
+    from alertlake.operators.skew import MINUTE, sliced_with_reach
+
+    hot = rows.where("CustomerID = 'hot'")
+    sliced = sliced_with_reach(hot, "TransactionDate", 5 * MINUTE).repartition(8, "CustomerID", "_slice")
+    sizes = [r["count"] for r in sliced.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 0.3 * sum(sizes)
+    assert sum(sizes) < 1.2 * hot.count()  # copies for the neighbouring slice are few
+
+
+def test_ranks_are_limited_before_the_shuffle(rows):
+    rules = D.row_rules(rows, D.Limits(amount_quantile=0.5))
+    sampled = D.with_samples(D.count_rules(rows, rules), D.tagged_rows(rows, rules), ["TransactionID"], "TransactionID")
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.rsplit("Exchange hashpartitioning(anomaly_type", 1)
+    assert "WindowGroupLimit" in after and "Partial" in after
