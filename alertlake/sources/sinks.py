@@ -9,12 +9,15 @@ from alertlake.schema import LOG_SCHEMAS
 
 
 def append_log(df: DataFrame, path: str, kind: str) -> None:
-    """Append log records of one kind as JSON lines, one folder per day."""
+    """Append log records of one kind as JSON lines, one folder per day.
+
+    Rebalancing by day keeps each day in few files of even size; adaptive execution splits a day that is much larger.
+    """
     fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
               for f in LOG_SCHEMAS[kind].fields if f.name != "timestamp"]
     text = F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
     lines = df.select(text, *fields, F.to_date("timestamp").alias("log_date"))
-    lines.write.mode("append").partitionBy("log_date").json(path)
+    lines.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").json(path)
 
 
 def usage_records(df: DataFrame) -> DataFrame:

@@ -32,11 +32,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/alertlake/{label}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def store(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: a lineage cut that survives the loss of executors."""
     path = new_folder(df.sparkSession, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
