@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from alertlake.functions.scalars import elapsed_minutes, format_fixed, hour_in, is_true, no_nan, parse_time
 from alertlake.operators.clean import standardise
-from alertlake.operators.quantiles import quantiles
+from alertlake.operators.quantiles import approximate_quantiles, quantiles
 from alertlake.operators.skew import MINUTE, NATIVE, slice_window, sliced_with_reach
 from alertlake.schema import (DATE_COLUMNS, SAMPLE_BRANCH_COLUMNS, SUMMARY_BRANCH_COLUMNS, existing, numeric_columns, pick,
                               quoted, to_anomaly)
@@ -24,12 +24,18 @@ from alertlake.schema import (DATE_COLUMNS, SAMPLE_BRANCH_COLUMNS, SUMMARY_BRANC
 
 @dataclass(frozen=True)
 class Limits:
-    """Parameters of the row rules. ``UPLOAD`` judges one new file, ``BATCH`` the processed datasets."""
+    """Parameters of the row rules. ``UPLOAD`` judges one new file, ``BATCH`` the processed datasets.
+
+    ``require_time`` leaves rows at exactly midnight, mostly dates without a time, out of the overnight rule.
+    ``exact_quantile = False`` trades the exact threshold for one pass with a bounded rank error.
+    """
 
     amount_quantile: float = 0.95
     logins_above: float = 5
     overnight: bool = True
     velocity_minutes: float = 5
+    require_time: bool = False
+    exact_quantile: bool = True
 
 
 UPLOAD = Limits()
@@ -63,7 +69,8 @@ def row_rules(df: DataFrame, limits: Limits = UPLOAD, only: list[str] | None = N
 
     if "TransactionAmount" in df.columns and wanted("large_transactions"):
         source = (amounts if amounts is not None else df).select("TransactionAmount")
-        limit = quantiles(source, {"limit": ("TransactionAmount", limits.amount_quantile)}).scalar()
+        find = quantiles if limits.exact_quantile else approximate_quantiles
+        limit = find(source, {"limit": ("TransactionAmount", limits.amount_quantile)}).scalar()
         rules.append(Rule(
             "large_transactions", "medium", no_nan(F.col("TransactionAmount")) > limit, limit,
             F.concat(F.lit("Found "), n, F.lit(" transactions above "), format_fixed(F.col("t")))))
@@ -77,7 +84,11 @@ def row_rules(df: DataFrame, limits: Limits = UPLOAD, only: list[str] | None = N
                           F.concat(F.lit("Found "), n, F.lit(f" transactions with login attempts > {shown}"))))
     when = pick(df, *DATE_COLUMNS)
     if limits.overnight and when and wanted("overnight_transactions"):
-        rules.append(Rule("overnight_transactions", "medium", hour_in(event_time(df), 0, 5), none,
+        ts = event_time(df)
+        night = hour_in(ts, 0, 5)
+        if limits.require_time:
+            night = night & (F.date_trunc("day", ts) != ts)
+        rules.append(Rule("overnight_transactions", "medium", night, none,
                           F.concat(F.lit("Found "), n, F.lit(" transactions during overnight hours (12am-5am)"))))
     return rules
 

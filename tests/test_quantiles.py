@@ -51,3 +51,15 @@ def test_size_check(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert 0 < input_bytes(events) < 1_000_000
     assert is_small(events) and not is_small(events, 10)
+
+
+@pytest.mark.parametrize("name", ["det_all", "det_large_q99", "det_extremes", "feat_is_large", "branch_summary_daily", "alert_related"])
+def test_queries_do_not_depend_on_the_size_check(spark, monkeypatch, name):
+    """The way taken for large inputs, forced on a small one, gives the same rows."""
+    import alertlake.operators.quantiles as Q
+    from alertlake.plans.catalog import load_all
+
+    build = load_all()[name].build
+    small = sorted(map(str, build(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(Q, "is_small", lambda df: False)
+    assert sorted(map(str, build(spark, "/root/testdata/sf0.001").collect())) == small

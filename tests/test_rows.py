@@ -233,3 +233,11 @@ def test_batch_rules_on_standardised_values(spark):
     assert scaled["large_transactions"]["threshold"] < 3 < raw["large_transactions"]["threshold"]
     with pytest.raises(ValueError):
         D.detect_datasets({"transactions": df}, on="other")
+
+
+def test_rule_options(spark):
+    df = spark.createDataFrame([(float(i), dt.datetime(2024, 1, 1, i % 2, 0)) for i in range(1000)],
+                               "TransactionAmount double, TransactionDate timestamp_ntz")
+    rows = found(D.count_rules(df, D.row_rules(df, D.Limits(require_time=True, exact_quantile=False))))
+    assert rows["overnight_transactions"]["count"] == 500
+    assert abs(rows["large_transactions"]["count"] - 50) <= 1
