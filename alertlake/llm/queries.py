@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import decontaminate, lines, packing, quality, simhash
+from alertlake.llm import decontaminate, language, license_scan, lines, ngram_lm, packing, quality, secret_scan, simhash, suffixes
 from alertlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,25 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def fold_of(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query("op1_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs, fold_of(3) != 1))
+    return found.withColumn("held_out", F.coalesce(fold_of(3) == 1, F.lit(False)))
+
+
+@query("op2_suffix_dedup")
+def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_packing")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"), word_bpe())
@@ -40,6 +59,33 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op5_lm_scoring")
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return ngram_lm.score_texts(docs, fold_of(5) != 1).withColumn("held_out", F.coalesce(fold_of(5) == 1, F.lit(False)))
+
+
+@query("op6_secrets")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = secret_scan.scan(docs, secret_scan.thresholds(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.written(F.array_sort(F.concat("base", "random"))).alias("spans"))
+
+
+@query("op7_licenses")
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = license_scan.license_scan(docs, license_scan.document_frequency(docs))
+    starts, labels = F.col("base.start"), lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), labels(F.col("base.label")).alias("base_labels"),
+                        labels(F.concat("base.label", "found.label")).alias("labels"),
+                        F.coalesce(F.array_max("found.score"), F.lit(0.0)).alias("score"))
+
+
 LINE_SQL = """
 WITH rows AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 parts AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows),
