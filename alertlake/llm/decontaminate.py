@@ -1,8 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item of n characters may occur with up to ``floor(n * max_error)`` edits. Cut into one piece more than that, at least one
-piece occurs unchanged in any such place. One pass over a text finds the pieces of all items (an Aho-Corasick automaton); around
-each hit Myers' bit-parallel distance finds the best place of the whole item. Texts are compared with A-Z lower-cased and each
+piece occurs unchanged in any such place. One pass over a text finds the pieces of all items (an Aho-Corasick automaton). The same
+holds for a range of m pieces with fewer than m edits: of its two halves, one keeps its share. So a hit climbs from its piece over
+ranges of about twice the pieces each, and only a hit that every range confirms leads to the whole item. Myers' bit-parallel
+distance decides at each step, and finds the best place of the item in the end. Texts are compared with A-Z lower-cased and each
 ASCII blank as a space, which keeps positions.
 
 Items are matched in blocks of about ``block_bytes`` of item text, so what a task holds is bounded however long the benchmark is;
@@ -44,12 +46,20 @@ def pieces(n: int, budget: int) -> list[tuple[int, int]]:
     return [(n * i // (budget + 1), n * (i + 1) // (budget + 1)) for i in range(budget + 1)]
 
 
-def best_end(pattern: str, text: str) -> tuple[int, int]:
-    """(least distance of the pattern to a substring of the text, first end of such a substring); Myers, one word per pattern."""
-    n = len(pattern)
+def pieces_in(cut: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    return [x for x in cut if a <= x[0] and x[1] <= b]
+
+
+def masks_of(pattern: str) -> dict[str, int]:
+    """Bit i of a character's mask says that it stands at place i of the pattern."""
     where: dict[str, int] = {}
     for i, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+def best_end(n: int, where: dict[str, int], text: str) -> tuple[int, int]:
+    """(least distance of a pattern of n characters to a substring of the text, first end of such a substring), after Myers."""
     full, last = (1 << n) - 1, 1 << n - 1
     plus, minus, score = full, 0, n
     best, end = n, 0
@@ -70,8 +80,9 @@ def best_end(pattern: str, text: str) -> tuple[int, int]:
 
 def best_place(pattern: str, text: str) -> tuple[int, int, int]:
     """(distance, start, end) of the best place; the shortest match that ends there."""
-    distance, end = best_end(pattern, text)
-    _, back = best_end(pattern[::-1], text[:end][::-1])
+    n = len(pattern)
+    distance, end = best_end(n, masks_of(pattern), text)
+    _, back = best_end(n, masks_of(pattern[::-1]), text[:end][::-1])
     return distance, end - back, end
 
 
@@ -83,8 +94,15 @@ class Matcher:
 
         self.items, self.budgets = items, [int(len(x) * method.max_error) for x in items]
         found: dict[str, list[tuple[int, int]]] = {}
+        #: Ranges that a hit of a piece has to pass, smallest first: (start, end, budget).
+        self.ranges: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        self.masks: dict[tuple[int, int, int], dict[str, int]] = {}
+        self.halves: dict[tuple[int, int], tuple[list[str], int]] = {}
+        self.cuts: dict[int, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
-            for a, b in pieces(len(item), self.budgets[i]):
+            cut = self.cuts[i] = pieces(len(item), self.budgets[i])
+            self._climb(i, cut, [])
+            for a, b in cut:
                 found.setdefault(item[a:b], []).append((i, b))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in found.items():
@@ -92,6 +110,37 @@ class Matcher:
         if items:
             self.automaton.make_automaton()
 
+    def _climb(self, item: int, cut: list[tuple[int, int]], above: list[tuple[int, int, int]]) -> None:
+        """Halve a range of pieces down to single ones, keeping the way back up; the whole item is checked apart."""
+        if len(cut) == 1:
+            self.ranges[item, cut[0][1]] = above[:0:-1]
+            if len(above) > 1:  # of the halves of the smallest range's other pieces, its budget spoils one each
+                a, b, budget = above[-1]
+                others = [self.items[item][x:y] for u, v in pieces_in(self.cuts[item], a, b) if u != cut[0][0]
+                          for x, y in ((u, (u + v) // 2), ((u + v) // 2, v))]
+                self.halves[item, cut[0][1]] = others, len(others) - budget
+            return
+        way = [*above, (cut[0][0], cut[-1][1], len(cut) - 1)]
+        half = len(cut) // 2
+        self._climb(item, cut[:half], way)
+        self._climb(item, cut[half:], way)
+
+    def _confirmed(self, item: int, at: int, end: int, text: str) -> bool:
+        """Whether every range around the piece that ends at ``at`` in the item and at ``end`` in the text keeps its budget."""
+        ranges = self.ranges[item, at]
+        if ranges:  # a cheap test that most chance hits fail
+            (a, b, budget), (others, least) = ranges[0], self.halves[item, at]
+            window = text[max(0, end - at + a - budget) : end - at + b + budget]
+            if sum(x in window for x in others) < least:
+                return False
+        for a, b, budget in ranges:
+            masks = self.masks.get((item, a, b))
+            if masks is None:
+                masks = self.masks[item, a, b] = masks_of(self.items[item][a:b])
+            if best_end(b - a, masks, text[max(0, end - at + a - budget) : end - at + b + budget])[0] > budget:
+                return False
+        return True
+
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, distance, start, end) of each item that the text holds."""
         windows: dict[int, list[list[int]]] = {}
@@ -102,7 +151,7 @@ class Matcher:
                 known = windows.setdefault(item, [])
                 if known and first <= known[-1][1]:  # hits come in the order of their ends, so windows of an item nearly do too
                     known[-1][0], known[-1][1] = min(known[-1][0], first), max(known[-1][1], stop)
-                else:
+                elif self._confirmed(item, at, end + 1, text):
                     known.append([first, stop])
         for item, spans in sorted(windows.items()):
             best = None
