@@ -47,8 +47,8 @@ EXTREME_QUERIES = {
 OTHER_QUERY = "Generate an alert for {type} with severity {severity}"
 
 
-def fill(pattern: str, columns: dict[str, Column]) -> Column:
-    """Turn a pattern into one concat over columns; no per-row Python."""
+def fill(pattern: str, columns: dict[str, Column], missing: str | None = None) -> Column:
+    """Turn a pattern into one concat over columns; no per-row Python. A NULL column reads as ``missing``, or makes the whole NULL."""
     parts: list[Column] = []
     for i, piece in enumerate(pattern.replace("}", "{").split("{")):
         if i % 2 == 0:
@@ -57,7 +57,8 @@ def fill(pattern: str, columns: dict[str, Column]) -> Column:
             continue
         name, _, digits = piece.partition(":")
         column = columns[name]
-        parts.append(format_fixed(column, int(digits)) if digits else column.cast("string"))
+        shown = F.when(column.isNotNull(), format_fixed(column, int(digits))) if digits else column.cast("string")
+        parts.append(shown if missing is None else F.coalesce(shown, F.lit(missing)))
     return F.concat(*parts)
 
 
@@ -68,7 +69,7 @@ def time_text(column: Column) -> Column:
 def transaction_text(df: DataFrame) -> Column:
     columns = {c: quoted(c) for c in df.columns}
     columns["TransactionDate"] = time_text(quoted("TransactionDate"))
-    return fill(TRANSACTION_SENTENCE, columns)
+    return fill(TRANSACTION_SENTENCE, columns, UNKNOWN)
 
 
 def summary_text(df: DataFrame) -> Column:
@@ -132,9 +133,9 @@ def anomaly_query() -> Column:
     return text
 
 
-def usable_text(text: Column, max_chars: int = 2000) -> Column:
-    """Text cut to the context limit; NULL for blank text."""
-    return F.when(text.rlike(r"\S"), F.substring(text, 1, max_chars))
+def usable_text(text: Column, max_chars: int | None = 2000) -> Column:
+    """Text cut to the context limit, or whole with None; NULL for blank text."""
+    return F.when(text.rlike(r"\S"), text if max_chars is None else F.substring(text, 1, max_chars))
 
 
 # Prompt wording is this library's own; the placeholders are what the five request kinds supply.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,14 +12,14 @@ from pyspark.sql import types as T
 DIMENSIONS = 384
 
 
-def _byte_sum(text: str | None) -> int:
-    return int(np.frombuffer(text.encode("utf-8"), dtype=np.uint8).sum(dtype=np.int64)) if text else 0
-
-
 @F.pandas_udf(T.LongType())
 def byte_sum(texts: pd.Series) -> pd.Series:
-    """Sum of the UTF-8 bytes of each whole text."""
-    return texts.map(_byte_sum).astype("int64")
+    """Sum of the UTF-8 bytes of each whole text; NULL for a NULL text. The texts of a batch are summed as one buffer."""
+    data = pa.array(texts, pa.large_binary() if texts.map(type).eq(bytes).any() else pa.large_string()).cast(pa.large_binary())
+    offsets = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, data.offset * 8)
+    sums = np.concatenate([[0], np.cumsum(np.frombuffer(data.buffers()[2] or b"", np.uint8)[: offsets[-1]], dtype=np.int64)])
+    found = sums[offsets[1:]] - sums[offsets[:-1]]
+    return pd.Series(found, dtype="Int64").mask(texts.isna().to_numpy())
 
 
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -34,7 +35,7 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
             generator.seed(int(seed) % 2**32)
             vector = generator.rand(dimensions)
             drawn[seed] = (vector / np.sqrt((vector * vector).sum())).astype(np.float32)
-        return seeds.map(drawn)
+        return pd.Series([drawn.get(seed) for seed in seeds], dtype=object)
 
     return embed(byte_sum(text))
 
@@ -45,3 +46,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def euclidean_distance(a: Column, b: Column) -> Column:
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))

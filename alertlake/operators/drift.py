@@ -103,10 +103,10 @@ def load_sample(spark: SparkSession, path: str) -> DataFrame:
     return saved.where(F.col("taken") == saved.agg(F.max("taken")).scalar())
 
 
-def plane(baseline: DataFrame, current: DataFrame, vector: str = "embedding", key: str = "id", size: int = SAMPLE_LIMIT) -> DataFrame:
-    """Both samples on their two main axes, with each axis's share of the variance. Axes have no fixed sign."""
-    both = sample(baseline, size, key=key).withColumn("side", F.lit("baseline")).unionByName(
-        sample(current, size, key=key).withColumn("side", F.lit("current")))
+def plane(baseline: DataFrame, current: DataFrame, vector: str = "embedding", key: str = "id", size: int | None = None) -> DataFrame:
+    """Both tables, or samples of ``size`` rows of each, on their two main axes, with each axis's share of the variance. Axes have no fixed sign."""
+    baseline, current = (df if size is None else sample(df, size, key=key) for df in (baseline, current))
+    both = baseline.withColumn("side", F.lit("baseline")).unionByName(current.withColumn("side", F.lit("current")))
     vectors = both.select(quoted(key).alias(key), "side", array_to_vector(quoted(vector)).alias("_v"))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(vectors)
     shares = [float(x) for x in model.explainedVariance.toArray()]

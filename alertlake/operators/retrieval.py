@@ -1,8 +1,8 @@
 """Batch top-k retrieval and the contexts and prompts built from it.
 
-A scan of the documents keeps, in each task, the k best documents of every question; only those leave the task. The questions
-travel to the tasks when they are few. When they are many, documents and questions are cut into blocks by hash and every pair of
-blocks is one task, again with only the k best leaving it. Neither way forms a row per (question, document) pair.
+A scan of the documents keeps, in each task, the k best documents of every question; only those leave the task. Documents stay
+where they are; questions travel to the tasks, a block of bounded size at a time. No row per (question, document) pair is formed.
+Hits are written before their texts are looked up: Spark then knows how few they are, and sends the hits to the texts.
 """
 
 from __future__ import annotations
@@ -14,27 +14,29 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import prompt_text, usable_text
+from alertlake.functions.vectors import cosine_distance, euclidean_distance
 from alertlake.operators.sizing import spread_small
+from alertlake.workspace import store
 
-FEW_QUERIES = 4096
+QUESTIONS_AT_ONCE = 8192
 DISTANCE_DIGITS = 9
-BLOCK_DOCUMENTS = 50_000
-BLOCK_QUERIES = 2_000
 CELLS_AT_ONCE = 4_000_000
 COLLECTIONS = ("transactions", "summaries")
+#: Texts go into a retrieved context up to this many characters; None keeps them whole.
+MAX_CHARS = 2000
 HIT_SCHEMA = "query_id string, collection string, id string, distance double"
 
 # Wording of contexts.
 NOTHING_FOUND = "No specific data found for this query."
 NO_RESULTS = "No relevant information found."
 CONTEXT_HEADER = "### RETRIEVED CONTEXT:\n\n"
-METADATA_KEYS = ["date", "location", "type", "amount", "channel", "transaction_count", "fraud_risk_score"]
+HIDDEN_METADATA = "id"
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,6 @@ class Questions:
     locations: list[str | None]
     starts: np.ndarray
     ends: np.ndarray
-    buckets: list[set[int]] | None = None
 
 
 def _questions(rows: pd.DataFrame) -> Questions:
@@ -57,9 +58,8 @@ def _questions(rows: pd.DataFrame) -> Questions:
 
     places = [None if pd.isna(v) else v for v in rows["location"]] if "location" in rows else [None] * len(rows)
     vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["embedding"]], dtype=np.float64)
-    buckets = [set(int(b) for b in v) for v in rows["buckets"]] if "buckets" in rows else None
     return Questions([str(v) for v in rows["query_id"]], vectors, places,
-                     days("start_date", "0001-01-01"), days("end_date", "9999-12-31"), buckets)
+                     days("start_date", "0001-01-01"), days("end_date", "9999-12-31"))
 
 
 def _distances(documents: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarray:
@@ -102,7 +102,7 @@ class _Best:
         return [(self.questions.ids[q], collection, i, d) for q, hits in self.found.items() for d, i in hits]
 
 
-def _allowed(questions: Questions, places, days, buckets) -> np.ndarray | None:
+def _allowed(questions: Questions, places, days) -> np.ndarray | None:
     """Which (document, question) cells pass the questions' filters."""
     allowed = None
     if any(p is not None for p in questions.locations):
@@ -113,16 +113,6 @@ def _allowed(questions: Questions, places, days, buckets) -> np.ndarray | None:
     if (questions.starts > np.datetime64("0001-01-01")).any() or (questions.ends < np.datetime64("9999-12-31")).any():
         inside = (days[:, None] >= questions.starts[None, :]) & (days[:, None] <= questions.ends[None, :])
         allowed = inside if allowed is None else allowed & inside
-    if questions.buckets is not None:
-        by_bucket: dict[int, list[int]] = {}
-        for q, own in enumerate(questions.buckets):
-            for b in own:
-                by_bucket.setdefault(b, []).append(q)
-        near = np.zeros((len(buckets), len(questions.ids)), dtype=bool)
-        for r, own in enumerate(buckets):
-            for b in own:
-                near[r, by_bucket.get(int(b), [])] = True
-        allowed = near if allowed is None else allowed & near
     return allowed
 
 
@@ -133,8 +123,7 @@ def _consume(best: dict[str, _Best], make: Callable[[], _Best], batch: pa.Record
     collections = np.array(batch.column("collection").to_pylist(), dtype=object)
     places = batch.column("location").to_pylist() if "location" in names else [None] * len(ids)
     days = batch.column("date").to_numpy(zero_copy_only=False).astype("datetime64[D]") if "date" in names else None
-    buckets = batch.column("buckets").to_pylist() if "buckets" in names else None
-    allowed = _allowed(questions, places, days, buckets)
+    allowed = _allowed(questions, places, days)
     for collection in pd.unique(collections):
         mine = collections == collection
         best.setdefault(collection, make()).add(ids[mine], vectors[mine], None if allowed is None else allowed[mine])
@@ -147,12 +136,12 @@ def _record(rows: list[tuple[str, str, str, float]]) -> pa.RecordBatch:
          pa.array(columns[3], pa.float64())], names=["query_id", "collection", "id", "distance"])
 
 
-def nearest(queries: DataFrame, documents: DataFrame, k: int = 5, metric: str = "cosine", few: int = FEW_QUERIES) -> DataFrame:
+def nearest(queries: DataFrame, documents: DataFrame, k: int = 5, metric: str = "cosine", at_once: int = QUESTIONS_AT_ONCE) -> DataFrame:
     """The k nearest documents per question and collection, with ``rank`` from 1.
 
     ``queries``: query_id, embedding and optionally location, start_date, end_date, which filter the documents before ranking.
-    ``documents``: id, embedding and optionally collection, location, date. When both have ``buckets`` (see ``hashed``), only
-    documents that share a bucket with a question are compared with it.
+    ``documents``: id, embedding and optionally collection, location, date. Every further ``at_once`` questions cost one more scan
+    of the documents; all blocks go the same way. A vector whose length differs from the questions' is reported as an error.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric must be cosine or l2")
@@ -160,7 +149,7 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 5, metric: str =
         raise ValueError("questions ask for a location but documents have none")
     if {"start_date", "end_date"} & set(queries.columns) and "date" not in documents.columns:
         raise ValueError("questions ask for a period but documents have no date")
-    filters = [c for c in ("location", "buckets") if c in queries.columns and c in documents.columns]
+    filters = [c for c in ("location",) if c in queries.columns and c in documents.columns]
     dated = ("start_date" in queries.columns or "end_date" in queries.columns) and "date" in documents.columns
     wanted = ["query_id", "embedding", *filters, *[c for c in ("start_date", "end_date") if dated and c in queries.columns]]
     asked = queries.where(F.col("embedding").isNotNull()).select(
@@ -171,19 +160,29 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 5, metric: str =
         F.col("id").cast("string").alias("id"), collection.alias("collection"), F.col("embedding"),
         *[F.col(c) for c in filters], *([F.col("date").cast("date").alias("date")] if dated else []))
 
-    # Bounded by few + 1 rows whatever the size of the question table.
-    local = asked.limit(few + 1).toPandas()
-    if local.empty:
+    total, shortest, longest = asked.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if not total:
         hits = documents.sparkSession.createDataFrame([], HIT_SCHEMA)
-    elif len(local) <= few:
-        hits = _scan(local, scanned, k, metric, filters)
+    elif shortest != longest:
+        raise ValueError(f"questions have from {shortest} to {longest} dimensions")
     else:
-        hits = _blocks(asked, scanned, k, metric)
+        blocks = math.ceil(total / at_once)
+        number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        hits = None
+        for block in range(blocks):
+            part = _scan((asked.where(number == block) if blocks > 1 else asked).toPandas(), scanned, k, metric, filters)
+            hits = part if hits is None else hits.unionByName(part)
+    return _ranked(hits, k)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id", "collection").orderBy("distance", "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _scan(local: pd.DataFrame, scanned: DataFrame, k: int, metric: str, filters: list[str]) -> DataFrame:
+    if local.empty:
+        return scanned.sparkSession.createDataFrame([], HIT_SCHEMA)
     questions = _questions(local)
     if "location" in filters and all(p is not None for p in questions.locations):
         scanned = scanned.where(F.col("location").isin(sorted(set(questions.locations))))
@@ -199,31 +198,34 @@ def _scan(local: pd.DataFrame, scanned: DataFrame, k: int, metric: str, filters:
                 _consume(best, lambda: _Best(asked, k, metric), batch, asked, dimensions)
         yield _record([row for name, b in best.items() for row in b.rows(name)])
 
-    # A vector of another length is an error of the data; it is reported, not passed over.
-    wrong = F.raise_error(F.concat(F.lit(f"expected {dimensions} dimensions in document "), "id")).cast("array<float>")
-    checked = scanned.withColumn("embedding", F.when(F.size("embedding") == dimensions, F.col("embedding")).otherwise(wrong))
-    return checked.mapInArrow(best_of_partition, HIT_SCHEMA)
+    return _of_length(scanned, dimensions).mapInArrow(best_of_partition, HIT_SCHEMA)
 
 
-def _blocks(asked: DataFrame, scanned: DataFrame, k: int, metric: str) -> DataFrame:
-    sizes = scanned.agg(F.count(F.lit(1)).alias("n")).first()["n"], asked.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    document_blocks = max(1, math.ceil(sizes[0] / BLOCK_DOCUMENTS))
-    query_blocks = max(1, math.ceil(sizes[1] / BLOCK_QUERIES))
-    left = scanned.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(document_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "db", F.explode(F.sequence(F.lit(0), F.lit(document_blocks - 1))))
-    keys = [F.col("db").cast("bigint"), F.col("qb").cast("bigint")]
+def _of_length(documents: DataFrame, dimensions: int) -> DataFrame:
+    """A vector of another length is an error of the data; it is reported, not passed over."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected {dimensions} dimensions in document "), F.col("id").cast("string"))).cast("array<float>")
+    return documents.withColumn("embedding", F.when(F.size("embedding") == dimensions, F.col("embedding")).otherwise(wrong))
 
-    def best_of_blocks(documents: pa.Table, questions: pa.Table) -> pa.Table:
-        best: dict[str, _Best] = {}
-        if documents.num_rows and questions.num_rows:
-            asked_here = _questions(questions.to_pandas())
-            for batch in documents.to_batches(max_chunksize=10_000):
-                _consume(best, lambda: _Best(asked_here, k, metric), batch, asked_here, asked_here.vectors.shape[1])
-        return pa.Table.from_batches([_record([row for name, b in best.items() for row in b.rows(name)])])
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_of_blocks, HIT_SCHEMA)
+def nearest_hashed(queries: DataFrame, documents: DataFrame, dimensions: int, k: int = 5, metric: str = "cosine", length: float = 0.5,
+                   tables: int = 6, seed: int = 11) -> DataFrame:
+    """Like ``nearest`` without filters, but approximate: only documents that share a projection bucket with a question are compared.
+
+    Buckets meet in an equi-join, whose large buckets adaptive execution splits; a pair that meets in several tables is compared
+    once. What is joined are ids; vectors are fetched for distinct pairs only.
+    """
+    collection = F.col("collection") if "collection" in documents.columns else F.lit(COLLECTIONS[0])
+    asked = _of_length(queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("string").alias("id"), "embedding"), dimensions)
+    known = _of_length(documents.where(F.col("embedding").isNotNull()).select(
+        F.col("id").cast("string").alias("id"), collection.alias("collection"), "embedding"), dimensions)
+    settings = (dimensions, length, tables, seed)
+    of_questions = hashed(asked, *settings).select(F.col("id").alias("query_id"), F.explode("buckets").alias("bucket"))
+    of_documents = hashed(known, *settings).select("id", "collection", F.explode("buckets").alias("bucket"))
+    pairs = of_documents.join(of_questions, "bucket").select("query_id", "collection", "id").distinct()
+    both = pairs.join(known, ["collection", "id"]).join(asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
+    measure = cosine_distance if metric == "cosine" else euclidean_distance
+    distance = F.round(measure(F.col("embedding"), F.col("_q")), DISTANCE_DIGITS)
+    return _ranked(both.select("query_id", "collection", "id", distance.alias("distance")), k)
 
 
 def hashed(df: DataFrame, dimensions: int, length: float = 0.5, tables: int = 6, seed: int = 11) -> DataFrame:
@@ -249,31 +251,40 @@ def embed_with(df: DataFrame, embed: Callable[[list[str]], list], text: str = "t
     return spread_small(df.drop(name)).mapInPandas(run, f"{schema}, `{name}` array<float>")
 
 
-def tfidf(df: DataFrame, text: str = "text", features: int = 1 << 12, name: str = "features") -> DataFrame:
-    """Unit vectors of term weights: words hashed to ``features`` places, weighted by inverse document frequency."""
-    words = Tokenizer(inputCol="_t", outputCol="_w").transform(spread_small(df).withColumn("_t", F.coalesce(F.col(text), F.lit(""))))
-    counts = HashingTF(inputCol="_w", outputCol="_c", numFeatures=features).transform(words)
-    weights = IDF(inputCol="_c", outputCol="_i").fit(counts).transform(counts)
-    return Normalizer(inputCol="_i", outputCol=name, p=2.0).transform(weights).drop("_t", "_w", "_c", "_i")
+def term_weights(df: DataFrame, key: str, text: str = "text", places: int | None = None) -> DataFrame:
+    """(key, word, weight) of every distinct blank-separated word of a text: term count times ln((n + 1) / (documents + 1)), each
+    text's weights scaled to length 1. With ``places``, words are hashed to so many places and ``place`` stands for the word; the
+    rows are then the filled places of a sparse vector."""
+    name = "word" if places is None else "place"
+    texts = df.select(F.col(key).alias(key), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+").alias("_w"))
+    words = texts.select(key, F.explode("_w").alias("word")).where(F.col("word") != "")
+    if places is not None:
+        words = words.select(key, F.pmod(F.xxhash64("word"), F.lit(places)).cast("int").alias("place"))
+    counts = words.groupBy(key, name).agg(F.count(F.lit(1)).alias("_n"))
+    spread = counts.groupBy(name).agg(F.count(F.lit(1)).alias("_d"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    weighted = counts.join(spread, name).select(key, name, (F.col("_n") * F.ln((total + 1) / (F.col("_d") + 1))).alias("_x"))
+    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_l"))
+    return weighted.join(norms, key).select(key, name, F.when(F.col("_l") > 0, F.col("_x") / F.col("_l")).otherwise(0.0).alias("weight"))
 
 
 # ---- contexts -------------------------------------------------------------------------------------------------------
 
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """Attach text and metadata to hits. Hits are at most k per question and collection, documents are read once."""
+    """Attach text and metadata to hits. The hits are written first, so the join knows their size and leaves the texts in place."""
     collection = F.col("collection") if "collection" in documents.columns else F.lit(COLLECTIONS[0])
     body = documents.select(F.col("id").cast("string").alias("id"), collection.alias("collection"), "text",
                             *[c for c in ("metadata",) if c in documents.columns])
-    return hits.join(body, ["id", "collection"])
+    return store(store(hits, "hits").join(body, ["id", "collection"]), "hit-texts")
 
 
 def item_context(hits: DataFrame, max_items: int = 5) -> DataFrame:
     """Per question and collection: numbered items with their metadata lines and text."""
     lines = F.lit("")
     if "metadata" in hits.columns:
-        keys = [f.name for f in hits.schema["metadata"].dataType.fields if f.name in METADATA_KEYS]
+        keys = [f.name for f in hits.schema["metadata"].dataType.fields if f.name != HIDDEN_METADATA]
         lines = F.concat(F.lit("--- Item "), F.col("rank").cast("string"), F.lit(" ---\n"), *[
-            F.coalesce(F.concat(F.lit(f"{key}: "), F.col(f"metadata.{key}").cast("string"), F.lit("\n")), F.lit("")) for key in keys])
+            F.coalesce(F.concat(F.lit(f"{key}: "), F.col("metadata").getField(key).cast("string"), F.lit("\n")), F.lit("")) for key in keys])
     item = F.concat(lines, F.coalesce("text", F.lit("")), F.lit("\n\n"))
     return (
         hits.where(F.col("rank") <= max_items).select("query_id", "collection", "rank", item.alias("item"))
@@ -282,7 +293,7 @@ def item_context(hits: DataFrame, max_items: int = 5) -> DataFrame:
     )
 
 
-def retrieved_texts(queries: DataFrame, hits: DataFrame, max_chars: int = 2000) -> DataFrame:
+def retrieved_texts(queries: DataFrame, hits: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
     """Per question the usable texts of its hits, transactions first; a fixed sentence when there is none."""
     side = F.when(F.col("collection") == COLLECTIONS[0], 0).otherwise(1)
     texts = (
@@ -319,62 +330,91 @@ def _sides(requests: DataFrame, contexts: DataFrame, title: Column) -> DataFrame
         F.lit("BRANCH SUMMARIES "), title, F.lit(":\n"), F.coalesce("_s", F.lit("")))).drop("_t", "_s")
 
 
-def retrieve(requests: DataFrame, documents: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
+def retrieve(requests: DataFrame, documents: DataFrame, k: int = 5, metric: str = "cosine", max_chars: int | None = MAX_CHARS) -> DataFrame:
     """Requests (query_id, embedding) with ``texts`` from both collections."""
     plain = requests.drop("location", "start_date", "end_date")
-    hits = with_documents(nearest(plain, documents, k, metric), documents)
-    return retrieved_texts(requests, hits)
+    return retrieved_texts(requests, with_documents(nearest(plain, documents, k, metric), documents), max_chars)
+
 
+def _branch_title() -> Column:
+    return F.concat(F.lit("FOR "), F.col("branch"))
 
-def branch_context(requests: DataFrame, documents: DataFrame, k: int = 5, pool: int = 10) -> DataFrame:
+
+def _period_title() -> Column:
+    return F.concat(F.lit("from "), F.col("start_date").cast("string"), F.lit(" to "), F.col("end_date").cast("string"),
+                    F.coalesce(F.concat(F.lit(" for "), F.col("branch")), F.lit("")))
+
+
+def branch_context(requests: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """Requests (query_id, embedding, branch) with the context of their branch."""
     asked = requests.select("query_id", "embedding", F.col("branch").alias("location"))
-    hits = with_documents(nearest(asked, documents, max(k, pool)), documents)
-    return _sides(requests, item_context(hits, k), F.concat(F.lit("FOR "), F.col("branch")))
+    return _sides(requests, item_context(with_documents(nearest(asked, documents, k), documents), k), _branch_title())
 
 
 def date_range_context(requests: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """Requests (query_id, embedding, start_date, end_date, branch or NULL) with the context of their period."""
     asked = requests.select("query_id", "embedding", F.col("branch").alias("location"), "start_date", "end_date")
-    hits = with_documents(nearest(asked, documents, k), documents)
-    title = F.concat(F.lit("from "), F.col("start_date").cast("string"), F.lit(" to "), F.col("end_date").cast("string"),
-                     F.coalesce(F.concat(F.lit(" for "), F.col("branch")), F.lit("")))
-    return _sides(requests, item_context(hits, k), title)
+    return _sides(requests, item_context(with_documents(nearest(asked, documents, k), documents), k), _period_title())
 
 
-def comparison_context(requests: DataFrame, documents: DataFrame, k: int = 5, pool: int = 10) -> DataFrame:
-    """Requests (query_id, embedding, branch, compare_with) with the summaries of both branches side by side."""
-    sides = requests.select(
-        "query_id", "embedding", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("branch").alias("location")),
-                                                   F.struct(F.lit("b").alias("side"), F.col("compare_with").alias("location")))).alias("s"))
-    asked = sides.select(F.concat(F.col("s.side"), F.lit(":"), F.col("query_id").cast("string")).alias("query_id"), "embedding", "s.location")
-    summaries = documents.where(F.col("collection") == COLLECTIONS[1])
-    contexts = item_context(with_documents(nearest(asked, summaries, max(k, pool)), summaries), k).select(
-        F.substring("query_id", 1, 1).alias("side"), F.expr("substring(query_id, 3)").alias("query_id"), "context")
-    wide = contexts.groupBy("query_id").pivot("side", ["a", "b"]).agg(F.first("context"))
+def _tagged(tag: str) -> Column:
+    return F.concat(F.lit(f"{tag}:"), F.col("query_id").cast("string"))
+
+
+def _compared(requests: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Contexts of the questions tagged a and b, side by side."""
+    parts = contexts.select(F.substring("query_id", 1, 1).alias("side"), F.expr("substring(query_id, 3)").alias("query_id"), "context")
+    wide = parts.groupBy("query_id").pivot("side", ["a", "b"]).agg(F.first("context"))
     asked_for = requests.withColumn("query_id", F.col("query_id").cast("string"))
     return asked_for.join(wide, "query_id", "left").withColumns({
         "branch_a_context": F.coalesce("a", F.lit("")), "branch_b_context": F.coalesce("b", F.lit(""))}).drop("a", "b")
 
 
-def prompts(requests: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
+def comparison_context(requests: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
+    """Requests (query_id, embedding, branch, compare_with) with the summaries of both branches side by side."""
+    sides = F.explode(F.array(F.struct(_tagged("a").alias("tagged"), F.col("branch").alias("location")),
+                              F.struct(_tagged("b").alias("tagged"), F.col("compare_with").alias("location"))))
+    asked = requests.select("embedding", sides.alias("s")).select(F.col("s.tagged").alias("query_id"), "embedding", "s.location")
+    summaries = documents.where(F.col("collection") == COLLECTIONS[1])
+    return _compared(requests, item_context(with_documents(nearest(asked, summaries, k), summaries), k))
+
+
+def prompts(requests: DataFrame, documents: DataFrame, k: int = 5, max_chars: int | None = MAX_CHARS) -> DataFrame:
     """Prompt per request, by its ``alert_type``: general, branch, fraud, comparison or trend.
 
-    ``requests``: query_id, query, alert_type, branch, compare_with, start_date, end_date, timeframe, embedding.
+    ``requests``: query_id, query, alert_type, branch, compare_with, start_date, end_date, timeframe, embedding. All kinds are
+    answered by one scan of the vectors and one of the texts: a request becomes one or two tagged questions with its own filters.
     """
     kind = F.col("alert_type")
-    text = requests.columns
-    period = F.coalesce("timeframe", F.lit("recent"))
+    none, no_day = F.lit(None).cast("string"), F.lit(None).cast("date")
+
+    def question(tag: str, place: Column, start: Column = no_day, end: Column = no_day) -> Column:
+        return F.struct(_tagged(tag).alias("query_id"), place.alias("location"), start.alias("start_date"), end.alias("end_date"))
+
+    start, end = F.col("start_date").cast("date"), F.col("end_date").cast("date")
+    asked = requests.select("embedding", F.explode(
+        F.when(kind == "branch", F.array(question("p", F.col("branch"))))
+        .when(kind == "comparison", F.array(question("a", F.col("branch")), question("b", F.col("compare_with"))))
+        .when(kind == "trend", F.array(question("t", F.col("branch"), start, end)))
+        .when(kind.isin("general", "fraud"), F.array(question("g", none)))).alias("s")).select("s.*", "embedding")
+    hits = with_documents(nearest(asked, documents, k), documents)
+    tag, bare = F.substring("query_id", 1, 1), F.expr("substring(query_id, 3)").alias("query_id")
+    others = [c for c in hits.columns if c != "query_id"]
+
+    def hits_of(*tags: str) -> DataFrame:
+        return hits.where(tag.isin(*tags))
 
     def of(*kinds: str) -> DataFrame:
         return requests.where(kind.isin(*kinds))
 
-    open_ended = retrieve(of("general", "fraud"), documents, k).withColumn("context", query_context(F.col("texts")))
+    period = F.coalesce("timeframe", F.lit("recent"))
+    open_ended = retrieved_texts(of("general", "fraud"), hits_of("g").select(bare, *others), max_chars).withColumn(
+        "context", query_context(F.col("texts")))
     general = prompt_text("general", {"query": F.col("query"), "context": F.col("context")})
     fraud = prompt_text("fraud", {"context": F.col("context")})
-    branch = branch_context(of("branch"), documents, k)
-    compared = comparison_context(of("comparison"), documents, k)
-    trend = date_range_context(of("trend"), documents, k)
+    branch = _sides(of("branch"), item_context(hits_of("p").select(bare, *others), k), _branch_title())
+    trend = _sides(of("trend"), item_context(hits_of("t").select(bare, *others), k), _period_title())
+    compared = _compared(of("comparison"), item_context(hits_of("a", "b").where(F.col("collection") == COLLECTIONS[1]), k))
     span = F.concat(F.col("start_date").cast("string"), F.lit(" to "), F.col("end_date").cast("string"),
                     F.coalesce(F.concat(F.lit(" for "), F.col("branch")), F.lit("")))
     out = [
@@ -385,7 +425,7 @@ def prompts(requests: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
             "time_period": period, "branch_a_context": F.col("branch_a_context"), "branch_b_context": F.col("branch_b_context")})),
         trend.withColumn("prompt", prompt_text("trend", {"time_period": span, "context": F.col("context")})),
     ]
-    keep = [c for c in text if c != "embedding"]
+    keep = [c for c in requests.columns if c != "embedding"]
     united = out[0].select(*keep, "prompt")
     for frame in out[1:]:
         united = united.unionByName(frame.select(*keep, "prompt"))

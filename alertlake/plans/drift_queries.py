@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alertlake.operators import drift as M
 from alertlake.plans.catalog import query
-from alertlake.plans.views import AS_OF, METRIC_LOGS, metric_logs, steady, table
+from alertlake.plans.views import AS_OF, METRIC_LOGS, metric_logs, table
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 RECENT = f"timestamp >= {NOW} - INTERVAL 7 DAY"
@@ -68,16 +68,27 @@ def drift_embedding(spark, folder):
 
 
 @query("trend_daily_avg", f"""
-    SELECT CAST(timestamp AS DATE) AS date, round(AVG(response_time_seconds) + 1.234567e-7, 7) AS average_response_time_seconds FROM {METRIC_LOGS} GROUP BY 1""")
+    SELECT CAST(timestamp AS DATE) AS date, round(AVG(response_time_seconds), 9) AS average_response_time_seconds FROM {METRIC_LOGS} GROUP BY 1""")
 def trend_daily_avg(spark, folder):
     days = M.daily_average(metric_logs(spark, folder), "response_time_seconds")
-    return days.withColumn("average_response_time_seconds", steady("average_response_time_seconds", 7))
+    return days.withColumn("average_response_time_seconds", F.round("average_response_time_seconds", 9))
 
 
-@query("emb_pca2")
+@query("emb_pca2", """
+    SELECT CASE WHEN label < 5 THEN 'baseline' ELSE 'current' END AS side, COUNT(*) AS vectors, TRUE AS centred, TRUE AS shares_hold
+    FROM embeddings GROUP BY 1""")
 def emb_pca2(spark, folder):
-    """Both tables' samples on their two main axes."""
-    return M.plane(*two_sides(spark, folder))
+    """All vectors of both tables on their two main axes: how many there are, that the axes stand apart, and that an axis's share is
+    its variance by the total variance."""
+    sides = two_sides(spark, folder)
+    points = M.plane(*sides)
+    values = sides[0].unionByName(sides[1]).select(F.posexplode("embedding").alias("i", "v"))
+    spread = values.groupBy("i").agg(F.var_samp("v").alias("s")).agg(F.sum("s")).scalar()
+    whole = points.agg(F.struct(F.var_samp("x").alias("x"), F.var_samp("y").alias("y"), F.covar_samp("x", "y").alias("xy"))).scalar()
+    per_side = points.groupBy("side").agg(F.count(F.lit(1)).alias("vectors"), F.max("x_share").alias("x_share"), F.max("y_share").alias("y_share"))
+    near = lambda a, b: F.abs(a - b) < 1e-6
+    return per_side.select("side", "vectors", near(whole["xy"], F.lit(0.0)).alias("centred"),
+                           (near(F.col("x_share"), whole["x"] / spread) & near(F.col("y_share"), whole["y"] / spread)).alias("shares_hold"))
 
 
 @query("drift_all", f"""

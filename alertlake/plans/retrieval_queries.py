@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import PROMPTS
-from alertlake.functions.vectors import byte_sum, hash_embedding
+from alertlake.functions.vectors import byte_sum, dot, hash_embedding
 from alertlake.operators import drift
 from alertlake.operators import retrieval as R
 from alertlake.plans import jobs
@@ -16,22 +16,23 @@ from alertlake.plans.views import order_summaries, table, txn_events
 from alertlake.operators.sizing import spread_small
 from alertlake.operators.summary import daily_summaries
 from alertlake.sources import sinks
-from alertlake.workspace import new_folder
+from alertlake.workspace import new_folder, store
 
 DIMENSIONS = 64
 
 
 def documents(spark, folder):
-    """Vectors with the text and metadata of the document of the same number."""
+    """Every document with text and metadata, and one of the vectors: there are fewer vectors, which repeat in the order of the ids."""
     vectors = table(spark, folder, "embeddings")
+    number = vectors.agg(F.max("vec_id") + 1).first()[0]
     texts = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 30).cast("int"))
-    return vectors.join(texts, vectors["vec_id"] == texts["doc_id"]).select(
-        F.col("vec_id").cast("string").alias("id"),
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
+    return texts.join(vectors, F.col("doc_id") % number == vectors["vec_id"]).select(
+        F.col("doc_id").cast("string").alias("id"),
         F.when(F.col("label") % 2 == 0, "transactions").otherwise("summaries").alias("collection"),
         "text", "embedding", F.col("lang").alias("location"), day.alias("date"),
-        F.struct(day.cast("string").alias("date"), F.col("lang").alias("location"), F.col("source").alias("type"),
-                 F.col("n_chars").cast("string").alias("amount")).alias("metadata"))
+        F.struct(F.col("doc_id").alias("id"), day.cast("string").alias("date"), F.col("lang").alias("location"), F.col("source").alias("type"),
+                 F.col("n_chars").cast("string").alias("amount"), F.col("label").alias("label")).alias("metadata"))
 
 
 def questions(spark, folder):
@@ -48,10 +49,10 @@ def questions(spark, folder):
 
 
 DOCUMENTS = """(
-    SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label % 2 = 0 THEN 'transactions' ELSE 'summaries' END AS collection, text,
-           CAST(embedding AS DOUBLE[]) AS embedding, lang AS location, CAST(DATE '2024-01-01' + CAST(vec_id % 30 AS INTEGER) AS DATE) AS date,
-           source, n_chars
-    FROM embeddings JOIN documents ON vec_id = doc_id)"""
+    SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN label % 2 = 0 THEN 'transactions' ELSE 'summaries' END AS collection, text,
+           CAST(embedding AS DOUBLE[]) AS embedding, lang AS location, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS date,
+           source, n_chars, label
+    FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT max(vec_id) + 1 FROM embeddings))"""
 QUESTIONS = """(
     SELECT CAST(label AS VARCHAR) AS query_id, 'label ' || label AS query, embedding,
            CASE WHEN label % 2 = 0 THEN 'en' ELSE 'de' END AS branch, CASE WHEN label % 3 = 0 THEN 'fr' ELSE 'es' END AS compare_with,
@@ -66,7 +67,7 @@ QUESTIONS = """(
 def hits_sql(k, where="true", side="branch", only="true"):
     return f"""(
     SELECT * FROM (SELECT q.query_id, q.branch, q.compare_with, q.start_date, q.end_date, d.collection, d.id, d.text, d.location, d.date,
-                          d.source, d.n_chars, list_cosine_distance(q.embedding, d.embedding) AS distance,
+                          d.source, d.n_chars, d.label, list_cosine_distance(q.embedding, d.embedding) AS distance,
                           ROW_NUMBER() OVER (PARTITION BY q.query_id, d.collection
                               ORDER BY round(list_cosine_distance(q.embedding, d.embedding), 9), d.id) AS rank
                    FROM {QUESTIONS} q, {DOCUMENTS} d WHERE ({where}) AND ({only})) WHERE rank <= {k})"""
@@ -90,16 +91,50 @@ def emb_hash_seed(spark, folder):
     return table(spark, folder, "documents").select("doc_id", byte_sum(F.col("text")).alias("seed"))
 
 
-@query("emb_hash")
+@query("emb_hash", "SELECT doc_id, 384 AS dimensions, CAST(1 AS DOUBLE) AS norm, TRUE AS one_per_seed FROM documents")
 def emb_hash(spark, folder):
+    """Vectors of all texts: their length, their norm, and whether texts of one seed share a vector."""
     texts = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
-    return texts.select("doc_id", hash_embedding(F.col("text")).alias("embedding"))
+    made = texts.select("doc_id", byte_sum(F.col("text")).alias("seed"), hash_embedding(F.col("text")).alias("embedding"))
+    shown = store(made.select("doc_id", "seed", F.size("embedding").alias("dimensions"),
+                              F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"), F.xxhash64("embedding").alias("print")), "vectors")
+    same = shown.groupBy("seed").agg((F.min("print") == F.max("print")).alias("one_per_seed"))
+    return shown.join(same, "seed").select("doc_id", "dimensions", "norm", "one_per_seed")
 
 
-@query("emb_tfidf")
+WORDS = "(SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents)"
+
+
+@query("emb_tfidf", f"""
+    WITH c AS (SELECT doc_id, word, COUNT(*) AS n FROM {WORDS} WHERE word <> '' GROUP BY 1, 2),
+         d AS (SELECT word, COUNT(*) AS d FROM c GROUP BY 1),
+         x AS (SELECT doc_id, word, n * ln(((SELECT COUNT(*) FROM documents) + 1) / (d + 1)) AS x FROM c JOIN d USING (word)),
+         l AS (SELECT doc_id, sqrt(SUM(x * x)) AS l FROM x GROUP BY 1)
+    SELECT doc_id, word, round(CASE WHEN l > 0 THEN x / l ELSE 0 END, 6) AS weight FROM x JOIN l USING (doc_id)""")
 def emb_tfidf(spark, folder):
-    weighted = R.tfidf(table(spark, folder, "documents").select("doc_id", "text"))
-    return weighted.select("doc_id", vector_to_array("features").alias("features"))
+    """The weight of every distinct word of every text."""
+    weights = R.term_weights(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return weights.select("doc_id", "word", F.round("weight", 6).alias("weight"))
+
+
+@query("emb_tfidf_hashed", f"""
+    SELECT doc_id, COUNT(DISTINCT word) FILTER (WHERE word <> '') > 0 AS has_words, TRUE AS unit FROM {WORDS} GROUP BY 1""")
+def emb_tfidf_hashed(spark, folder):
+    """Hashed weights of all texts, as the filled places of sparse vectors: whether there are any, and that the length is 1."""
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    lengths = R.term_weights(texts, "doc_id", places=1 << 12).groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("l"))
+    return texts.select("doc_id").join(lengths, "doc_id", "left").select(
+        "doc_id", F.col("l").isNotNull().alias("has_words"), F.coalesce(F.abs(F.col("l") - 1) < 1e-9, F.lit(True)).alias("unit"))
+
+
+@query("embed_hook", "SELECT doc_id, length(text) AS chars, length(replace(text, 'e', '')) AS without_e FROM documents")
+def embed_hook(spark, folder):
+    """Vectors of all texts from a function of one's own."""
+    def measure(texts):
+        return [(float(len(t)), float(len(t.replace("e", "")))) for t in texts]
+
+    made = R.embed_with(table(spark, folder, "documents").select("doc_id", "text"), measure)
+    return made.select("doc_id", F.col("embedding")[0].cast("bigint").alias("chars"), F.col("embedding")[1].cast("bigint").alias("without_e"))
 
 
 @query("emb_table", f"SELECT collection, COUNT(*) AS vectors, COUNT(DISTINCT id) AS ids, 64 AS dimensions FROM {DOCUMENTS} GROUP BY 1")
@@ -148,16 +183,21 @@ def knn_exact(spark, folder):
                ORDER BY round(list_distance(q.embedding, d.embedding), 9), d.id) AS rank FROM {QUESTIONS} q, {DOCUMENTS} d)
     WHERE rank <= 5""")
 def knn_l2(spark, folder):
-    """The other distance, by the block way used for many questions."""
-    hits = R.nearest(questions(spark, folder).select("query_id", "embedding"), documents(spark, folder).drop("collection"), metric="l2", few=1)
+    """The other distance, with the questions in several blocks."""
+    hits = R.nearest(questions(spark, folder).select("query_id", "embedding"), documents(spark, folder).drop("collection"), metric="l2", at_once=3)
     return hit_rows(hits).drop("collection")
 
 
-@query("knn_lsh")
+@query("knn_lsh", f"SELECT query_id, TRUE AS recalled FROM {QUESTIONS} q")
 def knn_lsh(spark, folder):
-    """Approximate: only documents that share a projection bucket with the question are compared."""
-    asked = R.hashed(questions(spark, folder).select("query_id", "embedding"), DIMENSIONS)
-    return hit_rows(R.nearest(asked, R.hashed(documents(spark, folder).drop("collection"), DIMENSIONS)))
+    """Approximate search among documents that share a projection bucket with the question: whether it finds at least four of five."""
+    asked, known = questions(spark, folder).select("query_id", "embedding"), documents(spark, folder).drop("collection")
+    exact = R.nearest(asked, known).select("query_id", "distance", "rank")
+    near = R.nearest_hashed(asked, known, DIMENSIONS).select("query_id", "distance", "rank")
+    # Documents may share a vector, so the distances at each rank are compared, not the ids.
+    hit = exact.alias("e").join(near.alias("n"), (F.col("e.query_id") == F.col("n.query_id")) & (F.col("e.rank") == F.col("n.rank"))
+                                & (F.abs(F.col("e.distance") - F.col("n.distance")) < 1e-6), "left")
+    return hit.groupBy(F.col("e.query_id").alias("query_id")).agg((F.avg(F.col("n.rank").isNotNull().cast("int")) >= 0.8).alias("recalled"))
 
 
 PLACE = "d.location = q.branch"
@@ -187,7 +227,7 @@ def knn_date_range(spark, folder):
 
 
 ITEM = ("'--- Item ' || rank || ' ---' || chr(10) || 'date: ' || date || chr(10) || 'location: ' || location || chr(10) || 'type: ' || source "
-        "|| chr(10) || 'amount: ' || n_chars || chr(10) || text || chr(10) || chr(10)")
+        "|| chr(10) || 'amount: ' || n_chars || chr(10) || 'label: ' || label || chr(10) || text || chr(10) || chr(10)")
 
 
 def items_sql(hits):

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -32,6 +34,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/alertlake/{label}-{uuid.uuid4().hex}"
 
 
+def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame], schema) -> DataFrame:
+    """What ``read`` gives, or an empty frame if its path doesn't exist yet. Any other trouble is an error."""
+    try:
+        return read()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: a lineage cut that survives the loss of executors."""
     path = new_folder(df.sparkSession, label)

@@ -44,33 +44,28 @@ def result(hits):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("few", [100, 3])
-def test_exact(data, metric, few):
+@pytest.mark.parametrize("at_once", [100, 3])
+def test_exact(data, metric, at_once):
     rows, documents, questions, asked = data
-    hits = R.nearest(asked.select("query_id", "embedding"), documents, 5, metric, few)
+    hits = R.nearest(asked.select("query_id", "embedding"), documents, 5, metric, at_once)
     assert result(hits) == brute(rows, questions, 5, metric)
 
 
-@pytest.mark.parametrize("few", [100, 3])
-def test_filters(data, few):
+@pytest.mark.parametrize("at_once", [100, 3])
+def test_filters(data, at_once):
     rows, documents, questions, asked = data
     places = ["N", "S", None, "N", "S", None, "N"]
     want = brute(rows, questions, 4, "cosine", lambda q, r: places[q] in (None, r[3]) and "2024-01-05" <= r[4] <= "2024-01-20")
-    assert result(R.nearest(asked, documents, 4, few=few)) == want
-
-
-def test_blocks_of_many(data, monkeypatch):
-    rows, documents, questions, asked = data
-    monkeypatch.setattr(R, "BLOCK_DOCUMENTS", 97)
-    monkeypatch.setattr(R, "BLOCK_QUERIES", 2)
-    assert result(R.nearest(asked.select("query_id", "embedding"), documents, 5, few=1)) == brute(rows, questions, 5, "cosine")
+    assert result(R.nearest(asked, documents, 4, at_once=at_once)) == want
 
 
 def test_hashed_finds_most_and_only_true_distances(data):
     rows, documents, questions, asked = data
     exact = result(R.nearest(asked.select("query_id", "embedding"), documents, 5))
-    near = R.nearest(R.hashed(asked.select("query_id", "embedding"), 16, length=4.0), R.hashed(documents, 16, length=4.0), 5)
+    near = R.nearest_hashed(asked.select("query_id", "embedding"), documents, 16, 5, length=4.0)
     found = result(near)
+    true = {(r["query_id"], r["id"]): r["distance"] for r in R.nearest(asked.select("query_id", "embedding"), documents, 600).collect()}
+    assert all(abs(true[r["query_id"], r["id"]] - r["distance"]) < 1e-6 for r in near.collect())
     hit = sum(len(set(found.get(key, [])) & set(ids)) for key, ids in exact.items()) / sum(len(ids) for ids in exact.values())
     assert hit > 0.8
 
@@ -106,8 +101,12 @@ def test_embed_hook_and_weights(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "b c d")], "i int, text string")
     rows = R.embed_with(df, lambda texts: [[float(len(t)), 1.0] for t in texts]).orderBy("i").collect()
     assert [r["embedding"] for r in rows] == [[3.0, 1.0], [0.0, 1.0], [5.0, 1.0]]
-    weighted = R.tfidf(df, features=64).orderBy("i").collect()
-    assert weighted[0]["features"].norm(2) == pytest.approx(1.0)
+    for places in (None, 64):
+        weights = R.term_weights(df, "i", places=places).collect()
+        for i, words in ((1, 2), (3, 3)):
+            own = [r["weight"] for r in weights if r["i"] == i]
+            assert len(own) <= words and sum(w * w for w in own) == pytest.approx(1.0)
+        assert {r["i"] for r in weights} == {1, 3}
 
 
 def test_mistakes_are_reported(spark, data):
@@ -117,5 +116,26 @@ def test_mistakes_are_reported(spark, data):
     with pytest.raises(ValueError):
         R.nearest(asked.drop("location"), documents.drop("date"))
     short = documents.withColumn("embedding", F.slice("embedding", 1, 3))
+    for at_once in (100, 3):
+        with pytest.raises(Exception, match="expected 16 dimensions"):
+            R.nearest(asked.select("query_id", "embedding"), short, at_once=at_once).collect()
     with pytest.raises(Exception, match="expected 16 dimensions"):
-        R.nearest(asked.select("query_id", "embedding"), short).collect()
+        R.nearest_hashed(asked.select("query_id", "embedding"), short, 16).collect()
+    with pytest.raises(ValueError, match="dimensions"):
+        R.nearest(asked.withColumn("embedding", F.when(F.col("query_id") == "q1", F.array(F.lit(1.0))).otherwise(F.col("embedding"))), documents)
+
+
+def test_texts_stay_in_place(spark, data):
+    """Hits travel to the texts: no exchange above the scan of the texts, even if texts are larger than what is broadcast by size."""
+    from alertlake.workspace import store
+
+    _, documents, _, asked = data
+    texts = store(documents.withColumn("text", F.repeat("text", 500)), "texts")
+    hits = store(R.nearest(asked.select("query_id", "embedding"), texts), "hits")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+    try:
+        plan = hits.join(texts.select("id", "collection", "text"), ["id", "collection"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
