@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertlake.functions.text import anomaly_query
-from alertlake.schema import quoted
+from alertlake.operators import detectors as D
+from alertlake.schema import SAMPLE_TYPE, existing, quoted
 
 # Texts of an alert that no model has written.
 BASIC_ACTIONS = ["Review the anomaly details", "Investigate transactions"]
@@ -41,14 +42,17 @@ def run_time(run_id: str) -> Column:
     return F.try_to_timestamp(F.lit(run_id[:14]), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
-def basic_alerts(anomalies: DataFrame, run_id: str, alert_threshold: float = 0.7) -> DataFrame:
-    """Alert records with the fixed texts, numbered over severity, type and entity.
+def basic_alerts(anomalies: DataFrame, run_id: str, alert_threshold: float = 0.7, behind: DataFrame | None = None) -> DataFrame:
+    """Alert records with the fixed texts, numbered over severity, type and entity. ``behind`` (see ``related``) gives each alert the
+    first rows of its anomaly and the places of all of them.
 
     Anomalies are aggregates, a row per rule plus at most one per branch, so one task can number them. One window also keeps
     the detectors from running twice, as counting groups beforehand would.
     """
     order = [severity_rank(F.col("severity")), F.col("type"), F.col("entity").asc_nulls_first()]
     numbered = gate(anomalies, alert_threshold).withColumn("_number", F.row_number().over(Window.orderBy(*order)))
+    if behind is not None:  # a row per type on both sides
+        numbered = numbered.join(behind.select(F.col("anomaly_type").alias("type"), "related", "location_info"), "type", "left")
     number = F.col("_number").cast("string")
     return numbered.select(
         F.concat(F.lit("alert_"), number, F.lit("_" + run_id)).alias("id"),
@@ -61,6 +65,8 @@ def basic_alerts(anomalies: DataFrame, run_id: str, alert_threshold: float = 0.7
         F.array(*[F.lit(a) for a in BASIC_ACTIONS]).alias("recommended_actions"),
         anomaly_query().alias("query"),
         F.struct(*[F.col(c) for c in anomalies.columns]).alias("anomaly"),
+        *([F.col("related"), F.col("location_info")] if behind is not None else
+          [F.lit(None).cast(SAMPLE_TYPE).alias("related"), F.lit(None).cast("string").alias("location_info")]),
     )
 
 
@@ -90,13 +96,18 @@ def anomaly_json(anomalies: DataFrame) -> DataFrame:
 def related(tagged: DataFrame, columns: list[str], order: str, size: int = 5) -> DataFrame:
     """Per anomaly type: the first ``size`` of its rows and the names of all its locations.
 
-    Locations are made distinct before they are gathered, so a list is as long as the number of branches.
+    Locations are made distinct before they are gathered, so a list is as long as the number of branches. A row is a map of the
+    columns as text, so that alerts of tables with other columns still go into one table.
     """
+    fields = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[quoted(c).cast("string") for c in columns]))
     rank = F.row_number().over(Window.partitionBy("anomaly_type").orderBy(quoted(order)))
     first = (
         tagged.select("anomaly_type", *[quoted(c) for c in columns]).withColumn("rank", rank).where(F.col("rank") <= size)
-        .groupBy("anomaly_type").agg(F.sort_array(F.collect_list(F.struct("rank", *[quoted(c) for c in columns]))).alias("related"))
+        .groupBy("anomaly_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.map_entries(fields).alias("row")))),
+                                                 lambda s: F.map_from_entries(s["row"])).alias("related"))
     )
+    if "Location" not in tagged.columns:
+        return first.withColumn("location_info", F.lit(None).cast("string"))
     places = (
         tagged.where(F.col("Location").isNotNull()).select("anomaly_type", "Location").distinct()
         .groupBy("anomaly_type").agg(F.concat(
@@ -105,6 +116,14 @@ def related(tagged: DataFrame, columns: list[str], order: str, size: int = 5) ->
     return first.join(places, "anomaly_type", "left")
 
 
+def related_rows(df: DataFrame, limits: D.Limits = D.UPLOAD, size: int = 5) -> DataFrame | None:
+    """``related`` for every anomaly of an upload that has rows behind it; None for a table without ids."""
+    if "TransactionID" not in df.columns:
+        return None
+    columns = existing(df, ["TransactionID", "CustomerID", "TransactionAmount", "Location"])
+    return related(D.anomaly_rows(df, limits), columns, "TransactionID", size)
+
+
 def by_severity(alerts: DataFrame, severities: list[str]) -> DataFrame:
     return alerts.where(F.col("severity").isin(severities))
 
@@ -146,11 +165,22 @@ def parse_responses(df: DataFrame, text: str = "response") -> DataFrame:
     }).drop("_p", "_ok")
 
 
-def investigate(df: DataFrame, tagged: DataFrame, ids: DataFrame) -> DataFrame:
-    """The asked-for transactions with every rule they break. ``ids`` has TransactionID."""
+def pattern_tags(df: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """(TransactionID, anomaly_type) of pattern rules by name. A rule that finds customers tags all of their transactions."""
+    tags = []
+    for name, rows in found.items():
+        if "TransactionID" not in rows.columns:
+            rows = df.join(rows.select("CustomerID").distinct(), "CustomerID", "left_semi")
+        tags.append(rows.select("TransactionID", F.lit(name).alias("anomaly_type")))
+    return D.union_all(tags)
+
+
+def investigate(df: DataFrame, tagged: DataFrame | list[DataFrame], ids: DataFrame) -> DataFrame:
+    """The asked-for transactions with every rule they break. ``ids`` has TransactionID; ``tagged`` may be several tables of tags."""
     wanted = ids.select("TransactionID").distinct()
+    frames = tagged if isinstance(tagged, list) else [tagged]
     tags = (
-        tagged.join(wanted, "TransactionID", "left_semi").select("TransactionID", "anomaly_type").distinct()
+        D.union_all([t.join(wanted, "TransactionID", "left_semi").select("TransactionID", "anomaly_type") for t in frames]).distinct()
         .groupBy("TransactionID").agg(F.sort_array(F.collect_list("anomaly_type")).alias("broken_rules"))
     )
     rows = df.join(wanted, "TransactionID", "left_semi").join(tags, "TransactionID", "left")

@@ -15,10 +15,16 @@ RISK_LIMIT = 0.7
 
 
 def clean(df: DataFrame, time_columns: list[str] | None = None) -> DataFrame:
-    """Parse times, turn NaN into NULL, remove rows that repeat in full."""
-    changes = {c: parse_time(quoted(c)) for c in existing(df, time_columns or TIME_COLUMNS)}
+    """Parse times that are text, turn NaN into NULL, remove rows that repeat in full."""
+    changes = {}
+    for c in existing(df, time_columns or TIME_COLUMNS):
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.StringType):
+            changes[c] = parse_time(quoted(c))
+        elif isinstance(kind, T.DateType):
+            changes[c] = quoted(c).cast("timestamp_ntz")
     for field in df.schema.fields:
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)) and field.name not in changes:
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             changes[field.name] = no_nan(quoted(field.name))
     return df.withColumns(changes).dropDuplicates()
 

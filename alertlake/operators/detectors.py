@@ -138,6 +138,20 @@ def with_samples(anomalies: DataFrame, tagged: DataFrame, columns: list[str], or
     return to_anomaly(joined.withColumnRenamed("_sample", "sample"))
 
 
+def anomaly_rows(df: DataFrame, limits: Limits = UPLOAD, top: int = 3) -> DataFrame:
+    """The rows behind every anomaly of an upload: of the row rules, those in rapid succession, and those at the top locations."""
+    found = [tagged_rows(df, row_rules(df, limits))]
+    when = pick(df, *DATE_COLUMNS)
+    if "CustomerID" in df.columns and when is not None:
+        tie = "TransactionID" if "TransactionID" in df.columns else when
+        rapid = rapid_rows(df, limits.velocity_minutes, tie).withColumn(when, quoted(when).cast(df.schema[when].dataType))
+        found.append(rapid.drop("gap_minutes").withColumn("anomaly_type", F.lit("velocity_anomaly")))
+    if "Location" in df.columns:
+        best = F.broadcast(top_locations(df, top))  # ``top`` rows
+        found.append(df.join(best, df["Location"] == best["location"], "left_semi").withColumn("anomaly_type", F.lit("location_insights")))
+    return union_all(found)
+
+
 def sample_columns(df: DataFrame, rule: str) -> list[str]:
     if rule == "high_login_attempts":
         return existing(df, ["TransactionID", "LoginAttempts", "CustomerID"])
@@ -339,6 +353,10 @@ def register_detector(name: str, detector: Detector) -> None:
     _REGISTRY[name] = detector
 
 
+def unregister_detector(name: str) -> None:
+    _REGISTRY.pop(name, None)
+
+
 def registered_detectors() -> dict[str, Detector]:
     return dict(_REGISTRY)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.functions.scalars import age_group, elapsed_days, no_nan
@@ -39,6 +39,10 @@ def large_flag(df: DataFrame, quantile: float = LARGE_QUANTILE, amounts: DataFra
         return df
     source = (amounts if amounts is not None else df).select("TransactionAmount")
     limit = quantiles(source, {"limit": ("TransactionAmount", quantile)}).scalar()
+    return mark_large(df, limit)
+
+
+def mark_large(df: DataFrame, limit: Column) -> DataFrame:
     return df.withColumn("IsLargeTransaction", F.coalesce(no_nan(F.col("TransactionAmount")) > limit, F.lit(False)).cast("int"))
 
 
@@ -57,4 +61,9 @@ def age_bands(df: DataFrame) -> DataFrame:
 def create_features(df: DataFrame, quantile: float = LARGE_QUANTILE, credit: str = "Credit",
                     amounts: DataFrame | None = None) -> DataFrame:
     """All row features; each is skipped when its columns are missing."""
-    return age_bands(credit_flag(large_flag(days_since_previous(date_parts(df)), quantile, amounts), credit))
+    return row_features(large_flag(df, quantile, amounts), credit)
+
+
+def row_features(df: DataFrame, credit: str = "Credit") -> DataFrame:
+    """The features that need no other row."""
+    return age_bands(credit_flag(days_since_previous(date_parts(df)), credit))

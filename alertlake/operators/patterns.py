@@ -13,9 +13,6 @@ from alertlake.functions.scalars import no_nan
 from alertlake.operators.skew import HOUR, MINUTE, NATIVE, SLICE, micros, slice_window, sliced_with_reach
 from alertlake.schema import DATE_COLUMNS, pick, quoted
 
-# Places that count as cross-border.
-FOREIGN_PLACES = ["Cayman Islands", "Dubai", "Hong Kong", "Moscow", "Zürich"]
-
 
 def _time(df: DataFrame) -> str:
     return pick(df, *DATE_COLUMNS)
@@ -93,9 +90,9 @@ def session_extremes(df: DataFrame, logins: float = 30, duration: float = 300) -
     return df.where(condition)
 
 
-def cross_border(df: DataFrame, places: list[str] | None = None, at_least: float = 50_000) -> DataFrame:
+def cross_border(df: DataFrame, places: list[str], at_least: float = 50_000) -> DataFrame:
     """High amounts at listed places. The list is a short parameter, so it becomes a pushed-down IN filter."""
-    return df.where(F.col("Location").isin(places or FOREIGN_PLACES) & (no_nan(F.col("TransactionAmount")) >= at_least))
+    return df.where(F.col("Location").isin(places) & (no_nan(F.col("TransactionAmount")) >= at_least))
 
 
 def takeovers(df: DataFrame, tiny: float = 5, large: float = 8_000, at_least: int = 2, hours: float = 24) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact linear-interpolated quantiles.
 
-Small inputs use the built-in ``percentile``, which keeps every distinct value in one task. Larger inputs are narrowed by
-histograms: each pass groups rows into at most 2**16 or so value ranges (combined map-side), finds the range that holds the
-wanted rank and looks only inside it in the next pass. The first pass uses logarithmic ranges, so three passes leave at most
-a few ten thousand different doubles whatever the distribution, and the last pass counts those exactly. No task ever holds
-more than the histogram.
+The built-in ``percentile`` keeps every distinct value in one task. Here values are narrowed by histograms instead, whatever their
+number: each pass groups rows into at most 2**16 or so value ranges (combined map-side), finds the range that holds the wanted
+rank and looks only inside it in the next pass. The first pass uses logarithmic ranges, so three passes leave at most a few ten
+thousand different doubles whatever the distribution, and the last pass counts those exactly. No task ever holds more than the
+histogram.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.operators.sizing import is_small
 from alertlake.schema import quoted
 
 RANGES = 1 << 16
@@ -20,23 +19,9 @@ RANGES_PER_OCTAVE = 32
 NARROWING_PASSES = 2
 
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], exact_small: bool | None = None) -> DataFrame:
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """One row with a column per entry of ``wanted`` = {alias: (column, probability)}; NULL and NaN are skipped."""
-    small = is_small(df) if exact_small is None else exact_small
-    return _by_values(df, wanted) if small else _narrowed(df, wanted)
-
-
-def _by_values(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """One built-in aggregate per column for all of its probabilities."""
-    asked: dict[str, list[float]] = {}
-    for column, p in wanted.values():
-        asked.setdefault(column, []).append(float(p))
-    row = df.agg(*[
-        F.percentile(_number(column), F.array(*[F.lit(p) for p in ps])).alias(f"c{i}") for i, (column, ps) in enumerate(asked.items())
-    ])
-    places = {column: f"c{i}" for i, column in enumerate(asked)}
-    return row.select(*[
-        F.col(places[column])[asked[column].index(float(p))].alias(alias) for alias, (column, p) in wanted.items()])
+    return _narrowed(df, wanted)
 
 
 def approximate_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accuracy: int = 10000) -> DataFrame:

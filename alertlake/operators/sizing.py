@@ -6,10 +6,6 @@ import math
 
 from pyspark.sql import DataFrame
 
-# Below this many bytes of scanned input a single task may hold every distinct value of a column.
-SMALL_INPUT_BYTES = 32 * 1024 * 1024
-
-
 def input_bytes(df: DataFrame) -> int | None:
     """Total size of the relations a plan reads, or None when Spark cannot tell."""
     try:
@@ -19,11 +15,6 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= limit
-
-
 def spread_small(df: DataFrame, smallest: int = 1 << 20, largest: int = 1 << 28, piece: int = 1 << 20) -> DataFrame:
     """Use all cores for a small table that a few row groups would otherwise give to one or two tasks.
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.operators.sizing import is_small
 from alertlake.schema import quoted
 
 MINUTE = 60 * 1_000_000
@@ -82,15 +81,12 @@ def with_previous(df: DataFrame, key: str, ts: str, tie: str, take: dict[str, st
     return result.unionByName(skipped)
 
 
-def number_rows(df: DataFrame, order: str, name: str, ranges: int = 1000, exact_small: bool | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order: str, name: str, ranges: int = 1000) -> DataFrame:
     """Consecutive numbers 1..n along a unique numeric column.
 
-    Large inputs are cut at approximate quantiles of ``order``; the number is the row's place in its range plus the sizes of
-    the lower ranges. Where the cuts fall changes only the balance, never the numbers.
+    Rows are cut at approximate quantiles of ``order``; the number is the row's place in its range plus the sizes of the lower
+    ranges. Where the cuts fall changes only the balance, never the numbers.
     """
-    small = is_small(df) if exact_small is None else exact_small
-    if small:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(quoted(order))).cast("bigint"))
     cuts = sorted(set(df.select(order).approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     ranged = df.withColumn("_range", _cuts_below(quoted(order).cast("double"), bounds))

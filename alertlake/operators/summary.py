@@ -63,13 +63,18 @@ def branch_list(df: DataFrame) -> DataFrame:
 def branch_trend(df: DataFrame, period: str) -> DataFrame:
     if period not in PERIODS:
         raise ValueError(f"period must be one of {PERIODS}")
-    keyed = _keyed(df)
-    start = F.to_date(F.date_trunc(period, F.col("_day")))
-    return keyed.groupBy(F.col("_branch").alias("branch"), start.alias("period_start")).agg(
-        F.count(F.lit(1)).alias("transactions"),
-        F.sum("TransactionAmount").alias("total_amount"),
-        F.avg("TransactionAmount").alias("average_amount"),
-    )
+    return branch_trends(df, (period,)).drop("period")
+
+
+def branch_trends(df: DataFrame, periods: tuple[str, ...] = PERIODS) -> DataFrame:
+    """Trends over several periods from one aggregation by day: a day's sums are rolled up to every period that holds it."""
+    days = _keyed(df).groupBy("_branch", "_day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("TransactionAmount").alias("s"), F.count("TransactionAmount").alias("k"))
+    starts = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.to_date(F.date_trunc(p, F.col("_day"))).alias("start")) for p in periods]))
+    rolled = days.select("_branch", "n", "s", "k", starts.alias("p")).groupBy(
+        F.col("p.period").alias("period"), F.col("_branch").alias("branch"), F.col("p.start").alias("period_start"))
+    return rolled.agg(F.sum("n").alias("transactions"), F.sum("s").alias("total_amount"),
+                      (F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("average_amount"))
 
 
 def compare_branches(df: DataFrame, first: str, second: str, period: str = "month") -> DataFrame:
@@ -87,13 +92,21 @@ def compare_branches(df: DataFrame, first: str, second: str, period: str = "mont
     })
 
 
-def branch_overview(df: DataFrame, branch: str) -> DataFrame:
-    """The branch's own summary row."""
+def of_branch(df: DataFrame, branch: str) -> DataFrame:
+    return df.where(quoted(pick(df, "Location", "BranchID")) == branch)
+
+
+def branch_overview(df: DataFrame, branch: str, alerts: DataFrame | None = None) -> DataFrame:
+    """The branch's own summary row, and with ``alerts`` (alert records or anomalies of the branch) their number by type."""
     column = pick(df, "Location", "BranchID")
-    mine = df.where(quoted(column) == branch)
-    return mine.groupBy(quoted(column).alias("Location")).agg(
+    row = of_branch(df, branch).groupBy(quoted(column).alias("Location")).agg(
         *_measures(df), F.min(quoted(pick(df, *DATE_COLUMNS))).alias("FirstSeen"),
         F.max(quoted(pick(df, *DATE_COLUMNS))).alias("LastSeen"))
+    if alerts is None:
+        return row
+    by_type = alerts.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    counted = by_type.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("m"))  # a row per rule
+    return row.withColumn("alerts", counted.scalar())
 
 
 def weekly_report(df: DataFrame, complaint: Column, large_quantile: float = 0.95,

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+import time
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from alertlake.functions.scalars import next_version
-from alertlake.schema import LINEAGE_SCHEMA, VERSION_DOCUMENT_SCHEMA, VERSION_SCHEMA
-from alertlake.workspace import store
+from alertlake.schema import HISTORY_SCHEMA, LINEAGE_SCHEMA, VERSION_DOCUMENT_SCHEMA
+from alertlake.workspace import read_or_empty, store
 
 FIRST_VERSION = "v0.0.0"
+CREATED = "create_new_version"
 
 # How two versions relate.
 B_FROM_A = "B is direct descendant of A"
@@ -134,26 +136,26 @@ def import_document(documents: DataFrame, column: str = "document") -> tuple[Dat
 
 
 class VersionStore:
-    """Versions kept under one folder: ``versions``, ``lineage`` and ``snapshots/version=<v>``.
+    """Versions kept under one folder: ``history`` with a row per operation, and ``snapshots/version=<v>``.
 
-    Only the version table's few rows are ever read on the driver; snapshots stay on disk and are never changed, so a rollback
-    is one more lineage row.
+    An operation is one append, so a version and its edge are there together or not at all. Operations are ordered by their time,
+    then by the moment they were written. Only the history's few rows are ever read on the driver; snapshots stay on disk and are
+    never changed, so a rollback is one more row.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _table(self, name: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    def _history(self) -> DataFrame:
+        return read_or_empty(self.spark, lambda: self.spark.read.schema(HISTORY_SCHEMA).parquet(f"{self.root}/history"), HISTORY_SCHEMA)
 
     def versions(self) -> DataFrame:
-        return self._table("versions", VERSION_SCHEMA)
+        made = self._history().where(F.col("operation") == CREATED)
+        return made.select("version", F.col("parent").alias("parent_version"), F.col("timestamp").alias("created_at"), "notes",
+                           "processed_records", "processed_files", "merge_with_existing")
 
     def lineage(self) -> DataFrame:
-        return self._table("lineage", LINEAGE_SCHEMA)
+        return self._history().select(*[f.name for f in LINEAGE_SCHEMA.fields])
 
     def current(self) -> str:
         return current_version(self.lineage()).first()["version"]
@@ -184,21 +186,13 @@ class VersionStore:
             path = f"{self.root}/snapshots/version={version}"
             rows.write.parquet(path)
             records, files = self.spark.read.schema(rows.schema).parquet(path).count(), [path]
-        moment = F.lit(at).cast("timestamp_ntz")
-        self.spark.range(1).select(
-            F.lit(version).alias("version"), F.lit(current).alias("parent_version"), moment.alias("created_at"), F.lit(notes).alias("notes"),
-            F.lit(records).cast("bigint").alias("processed_records"),
-            (F.array(*[F.lit(f) for f in files]) if files else F.array().cast("array<string>")).alias("processed_files"),
-            F.lit(merged).alias("merge_with_existing")).write.mode("append").parquet(f"{self.root}/versions")
-        self._link(version, current, at, "create_new_version", notes)
+        self._append(version, current, at, CREATED, notes, records, files, merged)
         return version
 
-    def _link(self, version: str, parent: str, at: str, operation: str, notes: str) -> None:
-        seq = self.lineage().count()
-        self.spark.range(1).select(
-            F.lit(version).alias("version"), F.lit(parent).alias("parent"), F.lit(at).cast("timestamp_ntz").alias("timestamp"),
-            F.lit(operation).alias("operation"), F.lit(notes).alias("notes"), F.lit(seq).cast("bigint").alias("seq"),
-        ).write.mode("append").parquet(f"{self.root}/lineage")
+    def _append(self, version: str, parent: str, at: str, operation: str, notes: str, records: int | None = None,
+                files: list[str] | None = None, merged: bool | None = None) -> None:
+        row = (version, parent, datetime.fromisoformat(at), operation, notes, time.time_ns(), records, files or [], merged)
+        self.spark.createDataFrame([row], HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/history")
 
     def as_of(self, version: str | None = None) -> DataFrame:
         """The rows of a version. The version is a partition folder, so nothing else is read."""
@@ -211,7 +205,7 @@ class VersionStore:
             return False
         current = self.current()
         self.create(f"Restore point before rollback to {version}", at)
-        self._link(version, current, at, "rollback_to_version", f"Rolled back from {current} to {version}")
+        self._append(version, current, at, "rollback_to_version", f"Rolled back from {current} to {version}")
         return True
 
     def compare(self, a: str, b: str, key: str = "TransactionID") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
 from alertlake.plans.catalog import query
-from alertlake.plans.detector_queries import FRAUD_SQL, LARGE_SQL, LOGIN_SQL, NIGHT_SQL, PLACES_SQL, VELOCITY_SQL
-from alertlake.plans.trend_queries import RULE_ROWS
+from alertlake.plans.detector_queries import FRAUD_SQL, GAPS, LARGE_SQL, LOGIN_SQL, NIGHT_SQL, PLACES_SQL, TOP3, VELOCITY_SQL
+from alertlake.plans.trend_queries import RULE_ROWS, standing
 from alertlake.plans.views import ORDER_SUMMARIES, RUN_ID, TXN_EVENTS, order_summaries, table, txn_events
 
 ANOMALIES = "(" + " UNION ALL ".join([LARGE_SQL.format(q=0.95), FRAUD_SQL, LOGIN_SQL, NIGHT_SQL, VELOCITY_SQL, PLACES_SQL]) + ")"
@@ -25,6 +25,12 @@ def numbered(low: bool) -> str:
     FROM {ANOMALIES} {'' if low else "WHERE severity <> 'low'"})"""
 
 
+BEHIND = f"""(
+    SELECT TransactionID, Location, anomaly_type FROM {RULE_ROWS}
+    UNION ALL SELECT TransactionID, Location, 'velocity_anomaly' FROM {GAPS} WHERE gap < 5
+    UNION ALL SELECT TransactionID, Location, 'location_insights' FROM {TXN_EVENTS} WHERE Location IN (SELECT Location FROM {TOP3}))"""
+
+
 def found(spark, folder):
     return D.detect_upload(txn_events(spark, folder))
 
@@ -33,9 +39,9 @@ def alerts(spark, folder, threshold=0.7):
     return A.basic_alerts(found(spark, folder), RUN_ID, threshold)
 
 
-def flat(df):
+def flat(df, *more):
     return df.select("id", "run_id", "type", "severity", "status", "timestamp", "title", "description",
-                     F.array_join("recommended_actions", "|").alias("actions"), F.col("anomaly.count").alias("count"))
+                     F.array_join("recommended_actions", "|").alias("actions"), F.col("anomaly.count").alias("count"), *more)
 
 
 @query("alerts_gated", f"SELECT type, severity, count FROM {ANOMALIES} WHERE severity <> 'low'")
@@ -43,9 +49,32 @@ def alerts_gated(spark, folder):
     return A.gate(found(spark, folder)).select("type", "severity", "count")
 
 
-@query("alerts_basic", f"SELECT * FROM {numbered(False)}")
+@query("alerts_basic", f"""
+    SELECT n.*, (SELECT string_agg(TransactionID, ',' ORDER BY TransactionID) FROM (SELECT TransactionID FROM {BEHIND} b WHERE b.anomaly_type = n.type
+                 ORDER BY TransactionID LIMIT 5)) AS related_ids,
+           (SELECT ' at ' || string_agg(DISTINCT Location, ', ' ORDER BY Location) FROM {BEHIND} p WHERE p.anomaly_type = n.type) AS location_info
+    FROM {numbered(False)} n""")
 def alerts_basic(spark, folder):
-    return flat(alerts(spark, folder))
+    """Alert records with the first rows behind each and their places."""
+    df = txn_events(spark, folder)
+    records = A.basic_alerts(D.detect_upload(df), RUN_ID, 0.7, A.related_rows(df))
+    ids = F.array_join(F.transform("related", lambda r: r["TransactionID"]), ",")
+    return flat(records, ids.alias("related_ids"), "location_info")
+
+
+@query("custom_detector", f"""
+    SELECT 'large_at_night' AS type, 'high' AS severity, COUNT(*) AS count FROM {TXN_EVENTS} WHERE hour(TransactionDate) < 5 AND TransactionAmount > 50""")
+def custom_detector(spark, folder):
+    """A detector of one's own among the others."""
+    def large_at_night(df):
+        found = df.where((F.hour("TransactionDate") < 5) & (F.col("TransactionAmount") > 50)).agg(F.count(F.lit(1)).alias("count"))
+        return found.select(F.lit("large_at_night").alias("type"), F.lit("high").alias("severity"), "count")
+
+    D.register_detector("large_at_night", large_at_night)
+    try:
+        return found(spark, folder).where(F.col("type") == "large_at_night").select("type", "severity", "count")
+    finally:
+        D.unregister_detector("large_at_night")
 
 
 UPLOAD_QUERY = """CASE type
@@ -70,13 +99,13 @@ UPLOAD_QUERY = """CASE type
     SELECT 'unusual_transaction_volume', Location, 'Generate an alert for branch ' || Location || ' with unusual transaction volume of '
            || TransactionCount || ' vs expected ' || CAST(trunc(m) AS BIGINT) FROM o WHERE r = 1
     UNION ALL
-    SELECT 'events_LoginAttempts_extreme_high', NULL, 'Generate an alert for unusually high values in events_LoginAttempts'""")
+    SELECT 'events_' || c || '_extreme_' || side, NULL, 'Generate an alert for unusually ' || side || ' values in events_' || c
+    FROM (VALUES ('LoginAttempts'), ('TransactionAmount'), ('AccountBalance')) v(c), (VALUES ('high'), ('low')) w(side)""")
 def anomaly_query_text(spark, folder):
     """Query texts of every kind of anomaly the detectors can give."""
     days = order_summaries(spark, folder)
-    fences = D.extreme_fences(txn_events(spark, folder).select("LoginAttempts"), "events")
-    high = D.to_anomaly(fences.where(F.col("type").endswith("_high")).drop("fired"))
-    everything = D.union_all([found(spark, folder), D.high_large_ratio(days), D.unusual_volume(days), high])
+    fences = D.extreme_fences(txn_events(spark, folder).select("LoginAttempts", "TransactionAmount", "AccountBalance"), "events")
+    everything = D.union_all([found(spark, folder), D.high_large_ratio(days), D.unusual_volume(days), D.to_anomaly(fences.drop("fired"))])
     return everything.select("type", "entity", A.anomaly_query().alias("query"))
 
 
@@ -93,13 +122,12 @@ def anomaly_json(spark, folder):
 
 @query("alert_related", f"""
     SELECT anomaly_type, string_agg(TransactionID, ',' ORDER BY TransactionID) FILTER (WHERE r <= 5) AS related_ids,
-           (SELECT ' at ' || string_agg(DISTINCT Location, ', ' ORDER BY Location) FROM {RULE_ROWS} p WHERE p.anomaly_type = t.anomaly_type)
+           (SELECT ' at ' || string_agg(DISTINCT Location, ', ' ORDER BY Location) FROM {BEHIND} p WHERE p.anomaly_type = t.anomaly_type)
              AS location_info
-    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY anomaly_type ORDER BY TransactionID) AS r FROM {RULE_ROWS}) t GROUP BY 1""")
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY anomaly_type ORDER BY TransactionID) AS r FROM {BEHIND}) t GROUP BY 1""")
 def alert_related(spark, folder):
-    df = txn_events(spark, folder)
-    tagged = D.tagged_rows(df, D.row_rules(df))
-    rows = A.related(tagged, ["TransactionID", "TransactionAmount", "Location"], "TransactionID")
+    """First rows and places of every anomaly, those of rapid succession and of top locations included."""
+    rows = A.related_rows(txn_events(spark, folder))
     return rows.select("anomaly_type", F.array_join(F.transform("related", lambda r: r["TransactionID"]), ",").alias("related_ids"),
                        "location_info")
 
@@ -109,9 +137,11 @@ def alerts_filter(spark, folder):
     return flat(A.by_severity(alerts(spark, folder, 0.5), ["high", "low"]))
 
 
-@query("alerts_ranked", f"SELECT id, type, severity, {RANK} AS severity_rank FROM {numbered(True)}")
+@query("alerts_ranked", f"""
+    SELECT id, type, severity, {RANK} AS severity_rank, ROW_NUMBER() OVER (ORDER BY {RANK}, id) AS position FROM {numbered(True)}""")
 def alerts_ranked(spark, folder):
-    return A.ranked(alerts(spark, folder, 0.5)).select("id", "type", "severity", "severity_rank")
+    """Most severe first; the position is where a record stands in the sorted table."""
+    return standing(A.ranked(alerts(spark, folder, 0.5)).select("id", "type", "severity", "severity_rank"))
 
 
 @query("alerts_headline", f"""

@@ -11,7 +11,7 @@ from alertlake.operators import features as X
 from alertlake.operators import summary as S
 from alertlake.operators.skew import with_previous
 from alertlake.plans.catalog import query
-from alertlake.plans.views import (CREDIT, ORDER_SUMMARIES, TXN_EVENTS, TXN_ORDERS, order_amounts, order_summaries, steady, table,
+from alertlake.plans.views import (CREDIT, ORDER_SUMMARIES, TXN_EVENTS, TXN_ORDERS, order_amounts, order_summaries, table,
                                    txn_events, txn_orders)
 
 MIXED_FLAG = {"error": "TRUE", "click": "true", "view": "False", "signup": "1"}
@@ -50,34 +50,40 @@ def backfill_fraud_flag(spark, folder):
     return C.backfill_fraud_flag(scored).drop("FraudRiskScore")
 
 
+def or_unknown(sql):
+    return f"COALESCE({sql}, 'Unknown')"
+
+
 @query("txn_text", f"""
-    SELECT TransactionID, 'Transaction ' || TransactionID || ' was a ' || printf('%.2f', TransactionAmount) || ' ' || TransactionType
-        || ' transaction on ' || strftime(TransactionDate, '%Y-%m-%d %H:%M:%S') || ' at ' || Location || ' branch via ' || Channel
-        || '. The customer is ' || CustomerAge || ' years old and works as a ' || CustomerOccupation
-        || '. The transaction took ' || TransactionDuration || ' seconds with ' || LoginAttempts
+    SELECT TransactionID, 'Transaction ' || TransactionID || ' was a ' || {or_unknown("printf('%.2f', TransactionAmount)")} || ' ' || TransactionType
+        || ' transaction on ' || {or_unknown("strftime(TransactionDate, '%Y-%m-%d %H:%M:%S')")} || ' at ' || {or_unknown('Location')}
+        || ' branch via ' || Channel || '. The customer is ' || {or_unknown('CAST(CustomerAge AS VARCHAR)')} || ' years old and works as a '
+        || CustomerOccupation || '. The transaction took ' || TransactionDuration || ' seconds with ' || {or_unknown('CAST(LoginAttempts AS VARCHAR)')}
         || ' login attempts. Account balance after transaction was ' || printf('%.2f', AccountBalance) || '.' AS text
-    FROM {TXN_EVENTS}""")
+    FROM (SELECT * REPLACE (CASE WHEN LoginAttempts % 7 <> 1 THEN TransactionAmount END AS TransactionAmount,
+              CASE WHEN LoginAttempts % 7 <> 2 THEN TransactionDate END AS TransactionDate, CASE WHEN Location <> 'view' THEN Location END AS Location,
+              CASE WHEN LoginAttempts % 7 <> 3 THEN CustomerAge END AS CustomerAge, CASE WHEN LoginAttempts % 7 <> 4 THEN LoginAttempts END AS LoginAttempts)
+          FROM {TXN_EVENTS})""")
 def txn_text(spark, folder):
+    """Sentences of all rows; some lack an amount, a time, a place, an age or a count."""
     df = txn_events(spark, folder)
+    turn = F.col("LoginAttempts") % 7
+    gaps = {"TransactionAmount": turn != 1, "TransactionDate": turn != 2, "Location": F.col("Location") != "view", "CustomerAge": turn != 3,
+            "LoginAttempts": turn != 4}
+    df = df.withColumns({name: F.when(there, F.col(name)) for name, there in gaps.items()})
     return df.select("TransactionID", transaction_text(df).alias("text"))
 
 
-def steady_summaries(spark, folder):
-    """Summaries whose averages come from totals rounded to cents, so that their text does not depend on summation order."""
-    days = order_summaries(spark, folder)
-    return days.withColumn("AverageAmount", F.round("TotalAmount", 2) / F.col("TransactionCount"))
-
-
 @query("summary_text", f"""
     SELECT Location, Date, 'Daily summary for ' || Location || ' on ' || Date || ': Processed ' || TransactionCount
         || ' transactions totaling ' || printf('%.2f', TotalAmount) || '. Average transaction amount was '
-        || printf('%.2f', round(TotalAmount, 2) / TransactionCount) || ' with standard deviation of '
+        || printf('%.2f', AverageAmount) || ' with standard deviation of '
         || printf('%.2f', COALESCE(AmountStdDev, 0)) || '. The branch had ' || CreditTransactionCount || ' credit transactions and '
         || LargeTransactionCount || ' large transactions. Average login attempts were 0.00 with maximum of 0. '
         || 'Fraud risk score: 0.0100.' AS text
     FROM {ORDER_SUMMARIES}""")
 def summary_sentences(spark, folder):
-    days = steady_summaries(spark, folder)
+    days = order_summaries(spark, folder)
     return days.select("Location", "Date", summary_text(days).alias("text"))
 
 
@@ -169,12 +175,12 @@ SUMMARY_COLUMNS = ["TransactionCount", "TotalAmount", "AverageAmount", "AmountSt
 
 
 def rounded(df, *keys):
-    shown = {"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": steady("AverageAmount", 3), "AmountStdDev": F.round("AmountStdDev", 3)}
+    shown = {"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": F.col("AverageAmount").cast("float"), "AmountStdDev": F.round("AmountStdDev", 3)}
     return df.select(*keys, *[shown[c].alias(c) if c in shown else c for c in SUMMARY_COLUMNS])
 
 
 @query("branch_summary_daily", f"""
-    SELECT Location, Date, TransactionCount, round(TotalAmount, 2) AS TotalAmount, round(AverageAmount + 1.234567e-7, 3) AS AverageAmount,
+    SELECT Location, Date, TransactionCount, round(TotalAmount, 2) AS TotalAmount, CAST(AverageAmount AS FLOAT) AS AverageAmount,
            round(AmountStdDev, 3) AS AmountStdDev, CreditTransactionCount, LargeTransactionCount FROM {ORDER_SUMMARIES}""")
 def branch_summary_daily(spark, folder):
     return rounded(order_summaries(spark, folder), "Location", "Date")
@@ -183,7 +189,7 @@ def branch_summary_daily(spark, folder):
 @query("branch_summary_rollup", f"""
     SELECT CASE WHEN GROUPING(Location) = 1 THEN 'all' WHEN GROUPING(Date) = 1 THEN 'branch' ELSE 'branch_date' END AS Level,
            Location, Date, COUNT(*) AS TransactionCount, round(SUM(TransactionAmount), 2) AS TotalAmount,
-           round(AVG(TransactionAmount) + 1.234567e-7, 3) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 3) AS AmountStdDev,
+           CAST(AVG(TransactionAmount) AS FLOAT) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 3) AS AmountStdDev,
            CAST(SUM(c) AS BIGINT) AS CreditTransactionCount, CAST(SUM(l) AS BIGINT) AS LargeTransactionCount
     FROM (SELECT Location, CAST(TransactionDate AS DATE) AS Date, TransactionAmount,
                  CASE WHEN TransactionType = 'F' THEN 1 ELSE 0 END AS c,

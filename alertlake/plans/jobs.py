@@ -6,46 +6,55 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from alertlake.functions.text import summary_metadata, summary_text, transaction_metadata, transaction_text
 from alertlake.functions.vectors import hash_embedding
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
 from alertlake.operators.clean import backfill_fraud_flag, backfill_ids, clean, standardise
-from alertlake.operators.features import create_features
+from alertlake.operators.features import LARGE_QUANTILE, row_features
+from alertlake.operators.quantiles import quantiles
 from alertlake.operators.summary import daily_summaries
 from alertlake.schema import DATE_COLUMNS, existing, pick
-from alertlake.sources.readers import read_datasets, read_transactions_csv
+from alertlake.sources.readers import LIMIT_PREFIX, read_datasets, read_transactions_csv, with_large_flag
 from alertlake.sources.sinks import new_only, save_alerts, save_embeddings, save_processed
-from alertlake.workspace import store
+from alertlake.workspace import read_or_empty, store
 
 
 def process_datasets(raw: dict[str, DataFrame], folder: str, credit: str = "Credit", scaled: bool = False) -> dict[str, DataFrame]:
     """Clean every dataset, add features, write it, and write branch summaries of the transactions. Returns what was written.
 
-    Cleaning shuffles whole rows. Its result is written once, so that the quantile behind the large-amount feature reads one
-    column of it instead of cleaning again. ``scaled`` adds ``_z`` columns with the standardised amounts and login attempts.
+    Cleaned rows are shuffled and written once. The limit of large amounts is then taken from one column of what was written, and
+    kept beside it; readers mark large amounts by it. ``scaled`` adds ``_z`` columns with the standardised amounts and login attempts.
     """
     spark = next(iter(raw.values())).sparkSession
     for name, df in raw.items():
-        cleaned = store(clean(df), f"cleaned-{name}") if "TransactionAmount" in df.columns else clean(df)
-        featured = create_features(cleaned, credit=credit)
+        featured = row_features(clean(df), credit)
         if scaled:
+            featured = store(featured, f"cleaned-{name}")  # moments and rows come from one cleaning
             featured = standardise(featured, existing(featured, ["TransactionAmount", "LoginAttempts"]), "_z")
-        save_processed(featured, folder, name)
+        path = save_processed(featured, folder, name)
+        if "TransactionAmount" in df.columns:
+            save_limit(spark.read.parquet(path), folder, name)
     if "transactions" in raw:
         # Summaries are taken from the written table, so cleaning runs once.
-        written = spark.read.parquet(f"{folder}/processed_transactions.parquet")
+        written = with_large_flag(spark, folder, "transactions", spark.read.parquet(f"{folder}/processed_transactions.parquet"))
         if pick(written, *DATE_COLUMNS) and pick(written, "Location", "BranchID"):
             save_processed(daily_summaries(written), folder, "branch_summaries")
     return read_datasets(spark, folder, ".parquet")
 
 
+def save_limit(rows: DataFrame, folder: str, name: str) -> None:
+    """Keep the amount above which a transaction of these rows is large: one number."""
+    limit = quantiles(rows.select("TransactionAmount"), {"limit": ("TransactionAmount", LARGE_QUANTILE)})
+    limit.write.parquet(f"{folder.rstrip('/')}/{LIMIT_PREFIX}{name}.parquet")
+
+
 def upload_alerts(rows: DataFrame, run_id: str, limits: D.Limits = D.UPLOAD) -> DataFrame:
-    """Alerts of one upload: the general insight and one alert per anomaly, low severity included."""
+    """Alerts of one upload, with the rows behind them: the general insight and one alert per anomaly, low severity included."""
     judged = backfill_fraud_flag(rows)
-    return A.basic_alerts(D.union_all([D.general_insight(judged), D.detect_upload(judged, limits)]), run_id, 0.0)
+    behind = A.related_rows(judged, limits)
+    return A.basic_alerts(D.union_all([D.general_insight(judged), D.detect_upload(judged, limits)]), run_id, 0.0, behind)
 
 
 def analyze_csv(spark: SparkSession, path: str, run_id: str, limits: D.Limits = D.UPLOAD) -> DataFrame:
@@ -70,23 +79,57 @@ class Ingest:
     alerts: DataFrame
 
 
-def ingest(existing: DataFrame | None, new: DataFrame, folder: str, version: str, run_id: str, credit: str = "Credit",
+PARTS = "parts.parquet"
+
+
+def version_parts(spark: SparkSession, folder: str, version: str) -> list[str]:
+    """Folders whose rows together are a version. As many as ingests before it."""
+    rows = spark.read.schema("number int, path string").parquet(f"{folder.rstrip('/')}/version={version}/{PARTS}")
+    return [r["path"] for r in rows.orderBy("number").collect()]
+
+
+def read_version(spark: SparkSession, folder: str, version: str) -> DataFrame:
+    """All rows of a version, with large amounts marked by the version's own limit."""
+    frames = [spark.read.parquet(path) for path in version_parts(spark, folder, version)]
+    return with_large_flag(spark, f"{folder.rstrip('/')}/version={version}", "transactions", D.union_all(frames))
+
+
+def _row_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    """128 bits of hash of a row's values; columns a part lacks count as NULL, which hashes like absence."""
+    values = [F.col(f"`{c}`") for c in columns if c in df.columns]
+    return df.withColumns({"_k1": F.xxhash64(*values), "_k2": F.xxhash64(F.lit("second"), *values)})
+
+
+def ingest(existing: DataFrame | str | None, new: DataFrame, folder: str, version: str, run_id: str, credit: str = "Credit",
            order: str | None = None, limits: D.Limits = D.UPLOAD) -> Ingest:
-    """Merge new rows with the existing raw rows, process them as ``version``, and judge the new rows alone.
+    """Merge new rows with existing ones as ``version``, and judge the new rows alone.
 
-    Rows are merged before cleaning and features, so standardised values never mix with raw ones. The new rows are written to
-    the version first; the detectors then read only the columns they need, whatever format the rows came in.
+    ``existing`` is a version of the same folder, or a table of raw rows that the folder doesn't hold yet. A version is a list of
+    parts: rows of earlier versions stay where they are, and only new rows that they lack are cleaned and written, once. Summaries
+    and the limit of large amounts belong to the version, since new rows change them. Raw rows are kept beside the version.
     """
-    spark = new.sparkSession
-    target = f"{folder.rstrip('/')}/version={version}"
+    spark, base = new.sparkSession, folder.rstrip("/")
+    target = f"{base}/version={version}"
     new.write.parquet(f"{target}/raw.parquet")
     new = spark.read.schema(new.schema).parquet(f"{target}/raw.parquet")
-    merged = existing.unionByName(new, allowMissingColumns=True) if existing is not None else new
-    written = process_datasets({"transactions": merged}, target, credit)
+    parts = version_parts(spark, base, existing) if isinstance(existing, str) else []
+    merged = existing.unionByName(new, allowMissingColumns=True) if isinstance(existing, DataFrame) else new
+    cleaned = clean(merged)
+    if parts:
+        columns = sorted(cleaned.columns)
+        stored = D.union_all([_row_keys(spark.read.parquet(path), columns).select("_k1", "_k2") for path in parts])
+        cleaned = _row_keys(cleaned, columns).join(stored, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    parts.append(save_processed(row_features(cleaned, credit), target, "transactions"))
+    spark.createDataFrame(list(enumerate(parts)), "number int, path string").coalesce(1).write.parquet(f"{target}/{PARTS}")
+    rows = read_version(spark, base, version)
+    if "TransactionAmount" in rows.columns:
+        save_limit(rows, target, "transactions")
+        rows = read_version(spark, base, version)
+    save_processed(daily_summaries(rows), target, "branch_summaries")
     alerts = upload_alerts(backfill_ids(new, order) if order else new, run_id, limits)
-    save_alerts(alerts, f"{folder.rstrip('/')}/alerts")
-    saved = spark.read.schema(alerts.schema).json(f"{folder.rstrip('/')}/alerts")
-    return Ingest(written["transactions"], written["branch_summaries"], saved)
+    save_alerts(alerts, f"{base}/alerts")
+    saved = spark.read.schema(alerts.schema).json(f"{base}/alerts").where(F.col("run_id") == run_id)
+    return Ingest(rows, spark.read.parquet(f"{target}/branch_summaries.parquet"), saved)
 
 
 def embedding_rows(transactions: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -101,12 +144,10 @@ def embedding_rows(transactions: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def refresh(spark: SparkSession, stored: str, transactions: DataFrame, summaries: DataFrame, alerts_path: str, run_id: str) -> DataFrame:
-    """Embed the rows the store lacks, append them, then write the alerts of the whole data. Returns the added rows."""
+    """Embed the rows the store lacks, append them, then write the alerts of the whole data. Returns the store as it is then."""
     rows = embedding_rows(transactions, summaries)
-    try:
-        have = spark.read.parquet(stored).select("collection", "id")
-    except AnalysisException:
-        have = spark.createDataFrame([], "collection string, id string")
+    keys = "collection string, id string"
+    have = read_or_empty(spark, lambda: spark.read.parquet(stored).select("collection", "id"), keys)
     added = new_only(have, rows).withColumn("embedding", hash_embedding(F.col("text")))
     save_embeddings(added, stored)
     found = D.detect_datasets({"transactions": transactions, "branch_summaries": summaries})

@@ -31,6 +31,27 @@ def src_csv_roundtrip(spark, folder):
     return R.read_transactions_csv(spark, path)
 
 
+@query("src_mixed_headers", f"""
+    SELECT TransactionID, CustomerID, TransactionAmount, Location, CASE WHEN Location IN ('click', 'view') THEN Channel END AS Channel FROM {TXN_EVENTS}""")
+def src_mixed_headers(spark, folder):
+    """One folder of files with two headers: other columns, in another order."""
+    path, rows = new_folder(spark, "mixed"), txn_events(spark, folder)
+    some = F.col("Location").isin("click", "view")
+    rows.where(some).select("TransactionID", "Location", "CustomerID", "TransactionAmount", "Channel").write.option("header", True).csv(f"{path}/new")
+    rows.where(~some).select("TransactionID", "CustomerID", "TransactionAmount", "Location").write.option("header", True).csv(f"{path}/old")
+    return R.read_transactions_csv(spark, path).select("TransactionID", "CustomerID", "TransactionAmount", "Location", "Channel")
+
+
+@query("src_unreadable", "SELECT * FROM (VALUES ('broken')) v(dataset)")
+def src_unreadable(spark, folder):
+    """Datasets of a folder that cannot be read are told, beside those that can."""
+    path = new_folder(spark, "unreadable")
+    table(spark, folder, "nation").write.parquet(f"{path}/processed_nation.parquet")
+    table(spark, folder, "region").write.option("header", True).csv(f"{path}/processed_broken.parquet")
+    found, failed = R.scan_datasets(spark, path, ".parquet")
+    return failed.select("dataset") if sorted(found) == ["nation"] else failed.select("dataset").limit(0)
+
+
 @query("src_dataset_catalog", f"""
     SELECT 'events' AS dataset, COUNT(*) AS records FROM {TXN_EVENTS} UNION ALL
     SELECT 'orders', COUNT(*) FROM orders UNION ALL SELECT 'branch_summaries', COUNT(*) FROM {ORDER_SUMMARIES}""")
@@ -53,7 +74,7 @@ def written_log(spark, folder, kind, rows):
 @query("src_jsonl_logs", f"""
     SELECT timestamp, query_id, alert_quality, is_accurate, is_actionable, CAST(NULL AS VARCHAR) AS user_comments FROM {METRIC_LOGS}""")
 def src_jsonl_logs(spark, folder):
-    return written_log(spark, folder, "feedback", metric_logs(spark, folder)).drop("log_date")
+    return written_log(spark, folder, "feedback", metric_logs(spark, folder)).drop("log_date", "valid")
 
 
 @query("log_perf_append", f"""
@@ -77,11 +98,11 @@ def log_usage_totals(spark, folder):
 
 
 @query("log_feedback_append", f"""
-    SELECT timestamp, query_id, alert_quality - 1 AS alert_quality FROM {METRIC_LOGS} WHERE alert_quality - 1 BETWEEN 1 AND 5""")
+    SELECT timestamp, query_id, alert_quality - 1 AS alert_quality, alert_quality - 1 BETWEEN 1 AND 5 AS valid FROM {METRIC_LOGS}""")
 def log_feedback_append(spark, folder):
-    """Qualities outside 1 to 5 are refused."""
+    """Qualities outside 1 to 5 are kept and marked."""
     shifted = metric_logs(spark, folder).withColumn("alert_quality", F.col("alert_quality") - 1)
-    return written_log(spark, folder, "feedback", sinks.valid_feedback(shifted)).select("timestamp", "query_id", "alert_quality")
+    return written_log(spark, folder, "feedback", sinks.judged_feedback(shifted)).select("timestamp", "query_id", "alert_quality", "valid")
 
 
 def two_runs(spark, folder):

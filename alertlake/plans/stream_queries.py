@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alertlake.operators.sizing import input_bytes
 from alertlake.plans.catalog import query
 from alertlake.plans.detector_queries import GAPS
-from alertlake.plans.views import DAILY_ALERT_COUNTS, METRIC_LOGS, TXN_EVENTS, daily_alert_counts, metric_logs, steady, table, txn_events
+from alertlake.plans.views import DAILY_ALERT_COUNTS, METRIC_LOGS, TXN_EVENTS, daily_alert_counts, metric_logs, table, txn_events
 from alertlake.streaming import streams as S
 from alertlake.workspace import new_folder
 
@@ -74,14 +74,14 @@ def stream_upload_alerts(spark, folder):
 
 
 @query("stream_daily_avg", f"""
-    SELECT CAST(timestamp AS DATE) AS date, round(AVG(response_time_seconds) + 1.234567e-7, 7) AS average_response_time_seconds FROM {METRIC_LOGS} GROUP BY 1""")
+    SELECT CAST(timestamp AS DATE) AS date, round(AVG(response_time_seconds), 9) AS average_response_time_seconds FROM {METRIC_LOGS} GROUP BY 1""")
 def stream_daily_avg(spark, folder):
     root = new_folder(spark, "log-stream")
     logs = metric_logs(spark, folder).select("timestamp", "query_id", "response_time_seconds")
     schema = in_time_order(logs, "timestamp", f"{root}/in", "json")
     finish(spark, folder, lambda: S.daily_average_stream(S.file_stream(spark, f"{root}/in", schema, "json"), "response_time_seconds", f"{root}/out", f"{root}/checkpoint"))
     days = S.latest(spark, f"{root}/out", ["date"])
-    return days.withColumn("average_response_time_seconds", steady("average_response_time_seconds", 7))
+    return days.withColumn("average_response_time_seconds", F.round("average_response_time_seconds", 9))
 
 
 @query("stream_velocity", f"SELECT TransactionID, CustomerID, CAST(round(gap * 6e7) AS BIGINT) AS gap_micros FROM {GAPS} WHERE gap < 5")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from alertlake.functions.scalars import elapsed_minutes
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
+from alertlake.operators import patterns as P
 from alertlake.operators import summary as S
 from alertlake.operators.skew import DAY, with_previous
-from alertlake.plans.catalog import query
-from alertlake.plans.views import (DAILY_ALERT_COUNTS, TXN_EVENTS, TXN_ORDERS, daily_alert_counts, order_amounts, steady, table,
+from alertlake.plans import pattern_queries  # noqa: F401  its SQL is used below
+from alertlake.plans.catalog import CATALOG, query
+from alertlake.plans.views import (DAILY_ALERT_COUNTS, TXN_EVENTS, TXN_ORDERS, daily_alert_counts, order_amounts, table,
                                    txn_events, txn_orders)
 
 MIS = f"""(
@@ -25,6 +27,9 @@ MIS_CHANGE = f"""(
                  / LAG(revenue) OVER (PARTITION BY branch ORDER BY week) * 100, 2) + 0.0 AS revenue_change_pct FROM {MIS})"""
 
 
+SQL_OF = {name: q.sql for name, q in CATALOG.items() if name.startswith("pat_")}
+
+
 def weekly(spark, folder):
     report = S.weekly_report(txn_orders(spark, folder), F.col("Channel") == "1-URGENT", amounts=order_amounts(spark, folder))
     return S.period_change(report, "revenue")
@@ -48,6 +53,11 @@ def mis_revenue_change(spark, folder):
                                         F.round("previous_revenue", 2).alias("previous_revenue"), "revenue_change_pct")
 
 
+def standing(df):
+    """Number the rows of a sorted table of a few rows as they stand."""
+    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def labelled_days(spark, folder):
     return daily_alert_counts(spark, folder).withColumn("month", F.date_format("date", "MMMM yyyy"))
 
@@ -60,21 +70,21 @@ def timeline_breaches(spark, folder):
     return S.breaches(labelled_days(spark, folder), 60)
 
 
-@query("timeline_sorted", f"SELECT date, month, alert_count FROM {LABELLED_DAYS} ORDER BY date DESC")
+@query("timeline_sorted", f"SELECT date, month, alert_count, ROW_NUMBER() OVER (ORDER BY date DESC) AS position FROM {LABELLED_DAYS}")
 def timeline_sorted(spark, folder):
-    return labelled_days(spark, folder).select("date", "month", "alert_count").orderBy(F.desc("date"))
+    """Newest day first; the position is where a row stands in the sorted table."""
+    days = labelled_days(spark, folder).select("date", "month", "alert_count").orderBy(F.desc("date"))
+    return standing(days)
 
 
 @query("branch_trend", " UNION ALL ".join(f"""
     SELECT '{p}' AS period, Location AS branch, CAST(date_trunc('{p}', TransactionDate) AS DATE) AS period_start,
-           COUNT(*) AS transactions, round(SUM(TransactionAmount), 2) AS total_amount, round(AVG(TransactionAmount) + 1.234567e-7, 3) AS average_amount
+           COUNT(*) AS transactions, round(SUM(TransactionAmount), 2) AS total_amount, CAST(AVG(TransactionAmount) AS FLOAT) AS average_amount
     FROM {TXN_ORDERS} GROUP BY 2, 3""" for p in S.PERIODS))
 def branch_trend(spark, folder):
     """All five periods."""
-    df = txn_orders(spark, folder)
-    frames = [S.branch_trend(df, p).select(F.lit(p).alias("period"), "*") for p in S.PERIODS]
-    return D.union_all(frames).withColumns({
-        "total_amount": F.round("total_amount", 2), "average_amount": steady("average_amount", 3)})
+    return S.branch_trends(txn_orders(spark, folder)).withColumns({
+        "total_amount": F.round("total_amount", 2), "average_amount": F.col("average_amount").cast("float")})
 
 
 @query("branch_compare", f"""
@@ -90,14 +100,26 @@ def branch_compare(spark, folder):
     return wide.withColumns({c: F.round(c, 2) for c in ("a_total", "b_total", "total_difference")})
 
 
+BRANCH = f"(SELECT * FROM {TXN_ORDERS} WHERE Location = 'NATION_1')"
+
+
 @query("branch_overview", f"""
     SELECT Location, COUNT(*) AS TransactionCount, round(SUM(TransactionAmount), 2) AS TotalAmount,
-           round(AVG(TransactionAmount) + 1.234567e-7, 3) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 3) AS AmountStdDev,
-           MIN(TransactionDate) AS FirstSeen, MAX(TransactionDate) AS LastSeen
+           CAST(AVG(TransactionAmount) AS FLOAT) AS AverageAmount, round(STDDEV_SAMP(TransactionAmount), 3) AS AmountStdDev,
+           MIN(TransactionDate) AS FirstSeen, MAX(TransactionDate) AS LastSeen,
+           (SELECT string_agg(type, ',' ORDER BY type) FROM (
+                SELECT 'large_transactions' AS type, COUNT(*) AS n FROM {BRANCH} WHERE TransactionAmount > (SELECT quantile_cont(TransactionAmount, 0.95) FROM {BRANCH})
+                UNION ALL SELECT 'overnight_transactions', COUNT(*) FROM {BRANCH} WHERE hour(TransactionDate) < 5
+                UNION ALL SELECT 'velocity_anomaly', COUNT(*) FROM (SELECT TransactionDate - LAG(TransactionDate) OVER
+                    (PARTITION BY CustomerID ORDER BY TransactionDate, TransactionID) AS gap FROM {BRANCH}) WHERE gap < INTERVAL 5 MINUTE
+                UNION ALL SELECT 'location_insights', COUNT(*) FROM {BRANCH}) WHERE n > 0) AS alerts
     FROM {TXN_ORDERS} WHERE Location = 'NATION_1' GROUP BY 1""")
 def branch_overview(spark, folder):
-    row = S.branch_overview(txn_orders(spark, folder), "NATION_1")
-    return row.withColumns({"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": steady("AverageAmount", 3),
+    """A branch's summary with the kinds of alerts its rows give."""
+    df = txn_orders(spark, folder)
+    alerts = A.basic_alerts(D.detect_upload(S.of_branch(df, "NATION_1")), "20240131000000", 0.0)
+    row = S.branch_overview(df, "NATION_1", alerts).withColumn("alerts", F.array_join(F.sort_array(F.map_keys("alerts")), ","))
+    return row.withColumns({"TotalAmount": F.round("TotalAmount", 2), "AverageAmount": F.col("AverageAmount").cast("float"),
                             "AmountStdDev": F.round("AmountStdDev", 3)})
 
 
@@ -116,14 +138,42 @@ GAP_ROWS = f"""(
            OVER (PARTITION BY CustomerID ORDER BY TransactionDate, TransactionID), TransactionDate) / 6e7 AS gap FROM {TXN_EVENTS})"""
 
 
+def found_patterns(df):
+    """The pattern rules, with limits that fit the events."""
+    return {
+        "night_activity": P.night_activity(df), "burst": P.bursts(df, at_least=3, minutes=60), "structuring": P.structuring(df, limit=100, share=0.9),
+        "round_amounts": P.round_amounts(df, unit=10, whole_part=True), "location_jump": P.location_jumps(df),
+        "new_account": P.large_first(df, at_least=50), "long_session": P.session_extremes(df, logins=90, duration=380),
+        "cross_border": P.cross_border(df, ["signup", "error"], 200), "takeover": P.takeovers(df, tiny=5, large=100),
+        "customer_deviation": P.customer_deviations(df)}
+
+
+def of_customers(name, sql):
+    return f"SELECT TransactionID, '{name}' AS anomaly_type FROM {TXN_EVENTS} WHERE CustomerID IN (SELECT CustomerID FROM ({sql}))"
+
+
+def of_rows(name, sql):
+    return f"SELECT TransactionID, '{name}' AS anomaly_type FROM ({sql})"
+
+
 @query("txn_investigate", f"""
-    SELECT t.TransactionID, t.TransactionAmount, COALESCE((SELECT string_agg(anomaly_type, ',' ORDER BY anomaly_type) FROM {RULE_ROWS} r
-           WHERE r.TransactionID = t.TransactionID), '') AS broken_rules
-    FROM {TXN_EVENTS} t WHERE t.TransactionID IN (SELECT TransactionID FROM {GAP_ROWS} WHERE gap < 5)""")
+    WITH tags AS (
+        SELECT TransactionID, anomaly_type FROM {RULE_ROWS}
+        UNION SELECT TransactionID, 'velocity_anomaly' FROM {GAP_ROWS} WHERE gap < 5
+        UNION {of_customers('night_activity', SQL_OF['pat_night'])} UNION {of_rows('burst', SQL_OF['pat_burst'])}
+        UNION {of_customers('structuring', SQL_OF['pat_structuring'])} UNION {of_customers('round_amounts', SQL_OF['pat_round'])}
+        UNION {of_rows('location_jump', SQL_OF['pat_location_jump'])} UNION {of_rows('new_account', SQL_OF['pat_new_account'])}
+        UNION {of_rows('long_session', SQL_OF['pat_session'])} UNION {of_rows('cross_border', SQL_OF['pat_cross_border'])}
+        UNION {of_rows('takeover', SQL_OF['pat_takeover'])} UNION {of_rows('customer_deviation', SQL_OF['pat_customer_z'])}),
+    broken AS (SELECT TransactionID, string_agg(anomaly_type, ',' ORDER BY anomaly_type) AS rules FROM tags GROUP BY 1)
+    SELECT t.TransactionID, t.TransactionAmount, COALESCE(rules, '') AS broken_rules FROM {TXN_EVENTS} t LEFT JOIN broken USING (TransactionID)
+    WHERE t.TransactionID IN (SELECT TransactionID FROM {GAP_ROWS} WHERE gap < 5)""")
 def txn_investigate(spark, folder):
-    """Investigate the transactions that came in rapid succession."""
+    """Investigate the transactions that came in rapid succession: the row rules, succession itself, and every pattern."""
     df = txn_events(spark, folder)
-    found = A.investigate(df, D.tagged_rows(df, D.row_rules(df)), D.rapid_rows(df))
+    rapid = D.rapid_rows(df)
+    tagged = [D.tagged_rows(df, D.row_rules(df)), rapid.withColumn("anomaly_type", F.lit("velocity_anomaly")), A.pattern_tags(df, found_patterns(df))]
+    found = A.investigate(df, tagged, rapid)
     return found.select("TransactionID", "TransactionAmount", F.array_join("broken_rules", ",").alias("broken_rules"))
 
 

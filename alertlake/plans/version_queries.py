@@ -152,3 +152,25 @@ def ingest_version(spark, folder):
     done = jobs.ingest(rows.where(F.col("TransactionDate") < cut), rows.where(F.col("TransactionDate") >= cut),
                        new_folder(spark, "ingest"), "v2.0.0", RUN_ID, CREDIT)
     return done.alerts.select("type", "severity", F.col("anomaly.count").alias("count"))
+
+
+SECOND = f"(SELECT * FROM {TXN_ORDERS} WHERE TransactionDate >= TIMESTAMP '1999-01-01')"
+
+
+@query("ingest_twice", f"""
+    WITH n AS (SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE TransactionAmount > (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)) AS large FROM {TXN_ORDERS}),
+         s AS (SELECT COUNT(*) AS days FROM (SELECT DISTINCT Location, CAST(TransactionDate AS DATE) FROM {TXN_ORDERS})),
+         a AS (SELECT COUNT(*) AS judged FROM {SECOND})
+    SELECT rows, large, days, judged, 1 AS runs, 2 AS parts FROM n, s, a""")
+def ingest_twice(spark, folder):
+    """Orders before 1999-06 as one version, then those since 1999 as the next: rows of both once, alerts of the second alone."""
+    rows, root = txn_orders(spark, folder), new_folder(spark, "ingest-twice")
+    cut, later = (F.lit(day).cast("timestamp_ntz") for day in ("1999-01-01", "1999-06-01"))
+    jobs.ingest(None, rows.where(F.col("TransactionDate") < later), root, "v1.0.0", "20240130000000", CREDIT)
+    done = jobs.ingest("v1.0.0", rows.where(F.col("TransactionDate") >= cut), root, "v2.0.0", RUN_ID, CREDIT)
+    seen = done.transactions.agg(F.count(F.lit(1)).alias("rows"), F.sum("IsLargeTransaction").cast("bigint").alias("large"))
+    days = done.summaries.agg(F.count(F.lit(1)).alias("days")).scalar()
+    judged = done.alerts.agg(F.count_distinct("run_id").alias("runs"),
+                             F.max(F.when(F.col("type") == "general_insight", F.col("anomaly.count"))).alias("judged"))
+    parts = len(jobs.version_parts(spark, root, "v2.0.0"))
+    return seen.select("rows", "large", days.alias("days"), judged.select("judged").scalar().alias("judged"), judged.select("runs").scalar().alias("runs"), F.lit(parts).alias("parts"))

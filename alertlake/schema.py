@@ -35,6 +35,19 @@ TRANSACTION_SCHEMA = T.StructType([
     T.StructField("MerchantID", T.StringType()),
 ])
 
+TRANSACTION_SCHEMA = T.StructType([*TRANSACTION_SCHEMA.fields, *[
+    T.StructField(name, T.IntegerType()) for name in ("TransactionDay", "TransactionMonth", "TransactionYear", "TransactionDayOfWeek", "IsWeekend",
+                                                      "IsLargeTransaction", "IsCredit")],
+    T.StructField("DaysSincePreviousTx", T.LongType()), T.StructField("Date", T.TimestampNTZType())])
+
+SUMMARY_SCHEMA = T.StructType([
+    T.StructField("Location", T.StringType()),
+    T.StructField("Date", T.DateType()),
+    *[T.StructField(name, T.LongType()) for name in ("TransactionCount", "CreditTransactionCount", "LargeTransactionCount", "MaxLoginAttempts")],
+    *[T.StructField(name, T.DoubleType()) for name in ("TotalAmount", "AverageAmount", "AmountStdDev", "AverageLoginAttempts",
+                                                       "AverageCustomerAge", "AverageTransactionDuration", "FraudRiskScore")],
+])
+
 SAMPLE_TYPE = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 
 ANOMALY_SCHEMA = T.StructType([
@@ -82,6 +95,7 @@ FEEDBACK_LOG_SCHEMA = T.StructType([
     T.StructField("is_accurate", T.BooleanType()),
     T.StructField("is_actionable", T.BooleanType()),
     T.StructField("user_comments", T.StringType()),
+    T.StructField("valid", T.BooleanType()),
 ])
 
 LOG_SCHEMAS = {
@@ -90,16 +104,6 @@ LOG_SCHEMAS = {
     "feedback": FEEDBACK_LOG_SCHEMA,
 }
 
-VERSION_SCHEMA = T.StructType([
-    T.StructField("version", T.StringType()),
-    T.StructField("parent_version", T.StringType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("notes", T.StringType()),
-    T.StructField("processed_records", T.LongType()),
-    T.StructField("processed_files", T.ArrayType(T.StringType())),
-    T.StructField("merge_with_existing", T.BooleanType()),
-])
-
 LINEAGE_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
     T.StructField("parent", T.StringType()),
@@ -109,6 +113,13 @@ LINEAGE_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+HISTORY_SCHEMA = T.StructType([
+    *LINEAGE_SCHEMA.fields,
+    T.StructField("processed_records", T.LongType()),
+    T.StructField("processed_files", T.ArrayType(T.StringType())),
+    T.StructField("merge_with_existing", T.BooleanType()),
+])
+
 VERSION_DOCUMENT_SCHEMA = T.StructType([
     T.StructField("current_version", T.StringType()),
     T.StructField("versions", T.MapType(T.StringType(), T.StructType([

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,6 +21,7 @@ def build_session(app: str = "alertlake", master: str | None = None, extra: dict
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **(extra or {})}.items():
+    given = SparkConf()  # what the cluster or the command line sets
+    for key, value in {**{k: v for k, v in SETTINGS.items() if not given.contains(k)}, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -25,14 +25,15 @@ def usage_records(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens_total", F.col("tokens_prompt") + F.col("tokens_completion"))
 
 
-def valid_feedback(df: DataFrame) -> DataFrame:
-    """Feedback whose quality is from 1 to 5."""
-    return df.where(F.col("alert_quality").between(1, 5))
+def judged_feedback(df: DataFrame) -> DataFrame:
+    """All feedback, marked ``valid`` when its quality is from 1 to 5. What to do with the rest is the reader's choice."""
+    return df.withColumn("valid", F.coalesce(F.col("alert_quality").between(1, 5), F.lit(False)))
 
 
 def save_alerts(alerts: DataFrame, path: str) -> None:
-    """Append a run's alerts under its run_id; a run without alerts writes no folder."""
-    alerts.write.mode("append").partitionBy("run_id").json(path)
+    """Write a run's alerts under its run_id. A run that is repeated replaces its own alerts and no others; one without alerts
+    writes no folder."""
+    alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
 
 
 def save_processed(df: DataFrame, folder: str, name: str) -> str:

@@ -30,7 +30,8 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, kind
     """New files of a folder, oldest first, a bounded number per batch."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if kind == "csv":
-        reader = reader.option("header", True).option("nullValue", "null")
+        # A file with another header is an error; its columns are not taken by position.
+        reader = reader.option("header", True).option("nullValue", "null").option("enforceSchema", False)
     return reader.format(kind).load(path)
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertlake.operators import detectors as D
+from alertlake.operators import versions as V
 from alertlake.operators.clean import clean
-from alertlake.plans.jobs import alert_run, analyze_csv, ingest, process_datasets, refresh
+from alertlake.plans.jobs import alert_run, analyze_csv, ingest, process_datasets, refresh, upload_alerts
 from alertlake.sources import readers as R
 from alertlake.sources import sinks
 from alertlake.streaming import streams as S
@@ -43,6 +44,34 @@ def test_csv_nulls_and_growing_schema(spark):
     assert kinds["general_insight"] == 2 and kinds["fraud_flags"] == 1
 
 
+def test_headers_may_differ(spark):
+    folder = new_folder(spark, "test-headers")
+    put(spark, folder, "in/a", "TransactionID,CustomerID,TransactionAmount,Location\n1,C1,10.5,Boston")
+    put(spark, folder, "in/b", "TransactionID,Location,CustomerID,TransactionAmount,Channel\n2,Dallas,C2,20.5,ATM")
+    rows = {r["TransactionID"]: r for r in R.read_transactions_csv(spark, f"{folder}/in").collect()}
+    assert (rows["1"]["Location"], rows["1"]["TransactionAmount"], rows["1"]["Channel"]) == ("Boston", 10.5, None)
+    assert (rows["2"]["Location"], rows["2"]["CustomerID"], rows["2"]["TransactionAmount"]) == ("Dallas", "C2", 20.5)
+    with pytest.raises(Exception):
+        R.read_csv(spark, f"{folder}/in/b", "TransactionID string, CustomerID string, TransactionAmount double, Location string, Channel string").collect()
+
+
+def test_only_a_missing_path_is_empty(spark):
+    folder = new_folder(spark, "test-missing")
+    put(spark, folder, "bad/history", "no parquet")
+    assert V.VersionStore(spark, f"{folder}/none").current() == "v0.0.0"
+    with pytest.raises(Exception):
+        V.VersionStore(spark, f"{folder}/bad").current()
+
+
+def test_repeated_runs_replace_their_alerts(spark):
+    folder = new_folder(spark, "test-runs")
+    rows = spark.createDataFrame([("1", "L", 9)], "TransactionID string, Location string, LoginAttempts int")
+    for run in ("20240101000000", "20240102000000", "20240101000000"):
+        sinks.save_alerts(upload_alerts(rows, run), f"{folder}/alerts")
+    found = spark.read.json(f"{folder}/alerts").groupBy("run_id").count().collect()
+    assert len(found) == 2 and len({r["count"] for r in found}) == 1
+
+
 def test_logs(spark):
     folder = new_folder(spark, "test-logs")
     assert R.read_log(spark, f"{folder}/none", "usage").count() == 0

@@ -5,13 +5,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from alertlake.operators.quantiles import approximate_quantiles, quantiles
-from alertlake.operators.sizing import input_bytes, is_small
+from alertlake.operators.sizing import input_bytes
 
 PROBS = {"a": ("x", 0.0), "b": ("x", 0.05), "c": ("x", 0.5), "d": ("x", 0.95), "e": ("x", 0.99), "f": ("x", 1.0)}
 
 
 def both(df):
-    return [tuple(quantiles(df, PROBS, exact_small=small).first()) for small in (True, False)]
+    return tuple(df.agg(*[F.percentile(c, p).alias(a) for a, (c, p) in PROBS.items()]).first()), tuple(quantiles(df, PROBS).first())
 
 
 @pytest.mark.parametrize("values", [
@@ -34,12 +34,10 @@ def test_any_values(spark, values):
 
 def test_missing_values_and_several_columns(spark):
     df = spark.createDataFrame([(1.0, 10), (float("nan"), 20), (None, None), (3.0, 30)], "x double, y int")
-    for small in (True, False):
-        row = quantiles(df, {"x": ("x", 0.5), "y": ("y", 0.5)}, exact_small=small).first()
-        assert (row["x"], row["y"]) == (2.0, 20.0)
+    row = quantiles(df, {"x": ("x", 0.5), "y": ("y", 0.5)}).first()
+    assert (row["x"], row["y"]) == (2.0, 20.0)
     empty = df.where(F.lit(False))
-    assert quantiles(empty, {"x": ("x", 0.5)}, exact_small=True).first()["x"] is None
-    assert quantiles(empty, {"x": ("x", 0.5)}, exact_small=False).first()["x"] is None
+    assert quantiles(empty, {"x": ("x", 0.5)}).first()["x"] is None
 
 
 def test_approximate(spark):
@@ -50,16 +48,3 @@ def test_approximate(spark):
 def test_size_check(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert 0 < input_bytes(events) < 1_000_000
-    assert is_small(events) and not is_small(events, 10)
-
-
-@pytest.mark.parametrize("name", ["det_all", "det_large_q99", "det_extremes", "feat_is_large", "branch_summary_daily", "alert_related"])
-def test_queries_do_not_depend_on_the_size_check(spark, monkeypatch, name):
-    """The way taken for large inputs, forced on a small one, gives the same rows."""
-    import alertlake.operators.quantiles as Q
-    from alertlake.plans.catalog import load_all
-
-    build = load_all()[name].build
-    small = sorted(map(str, build(spark, "/root/testdata/sf0.001").collect()))
-    monkeypatch.setattr(Q, "is_small", lambda df: False)
-    assert sorted(map(str, build(spark, "/root/testdata/sf0.001").collect())) == small

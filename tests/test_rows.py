@@ -198,7 +198,7 @@ def test_patterns_hit_exactly_the_planted_rows(spark):
     assert tx(P.location_jumps(df)) == sorted(moves[1:] + abroad[1:])
     assert customers(P.large_first(df)) == ["abroad", "new0", "new1", "new2"]
     assert tx(P.session_extremes(df)) == long
-    assert tx(P.cross_border(df)) == abroad
+    assert tx(P.cross_border(df, ["Dubai", "Moscow", "Cayman Islands", "Zürich", "Hong Kong"])) == abroad
     assert tx(P.takeovers(df)) == [last]
     assert tx(P.customer_deviations(df)) == []
     spread = df.unionByName(df.withColumns({"CustomerID": F.lit("calm"), "TransactionAmount": F.lit(10.0), "TransactionID": F.concat(F.lit("x"), "TransactionID")}))

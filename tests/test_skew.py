@@ -81,11 +81,10 @@ def test_with_previous(rows, width):
 
 
 def test_number_rows(spark, rows):
-    for small in (True, False):
-        got = number_rows(rows, "n", "k", ranges=7, exact_small=small).select("n", "k").orderBy("n").collect()
-        assert [r["k"] for r in got] == list(range(1, rows.count() + 1))
+    got = number_rows(rows, "n", "k", ranges=7).select("n", "k").orderBy("n").collect()
+    assert [r["k"] for r in got] == list(range(1, rows.count() + 1))
     same = spark.createDataFrame([(1.0,)], "n double")
-    assert number_rows(same, "n", "k", exact_small=False).first()["k"] == 1
+    assert number_rows(same, "n", "k").first()["k"] == 1
 
 
 def test_hot_customer_is_spread(rows):
