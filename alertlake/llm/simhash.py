@@ -19,6 +19,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertlake.llm.common import id_and_text, slices, store, with_id
 
@@ -59,17 +60,20 @@ def fingerprint(data: bytes | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, method: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as the signed long of its 64 bits."""
+def fingerprints(docs: DataFrame, method: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """(id, fp): the fingerprint as the signed long of its 64 bits; then further columns."""
+    two = id_and_text(docs, id_col, text_col, *more)
+    rest = two.schema.fields[2:]
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for part, texts in slices(batches):
             fps = np.array([fingerprint(x, method.shingle) for x in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([part.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.record_batch([part.column(0), pa.array(fps), *part.columns[2:]], schema.fieldNames())
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, with_id(docs, id_col, "fp long", "id"))
+    schema = T.StructType([*with_id(docs, id_col, "fp long", "id").fields, *rest])
+    return two.mapInArrow(run, schema)
 
 
 def close_pairs(fps, groups, max_bits: int):
@@ -222,12 +226,23 @@ def simhash_components(docs: DataFrame, method: SimHash = SimHash(), id_col: str
 
 
 def one_of_each(docs: DataFrame, method: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component: the one that names it. Of rows with one id, one stays."""
-    found = simhash_components(docs, method, id_col, text_col)
-    names = store(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("name")).agg(F.count("*").alias("n")), "names")
-    kept = docs.join(names, F.col(id_col).eqNullSafe(F.col("name")), "left_semi")
-    repeated = names.where(F.col("n") > 1).limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    """The documents, one of each component: the one that names it. Of rows with one id in one component, one stays.
+
+    What goes is joined to the documents rather than what stays, as it is less. The id alone tells the rows apart, unless ids repeat;
+    then a hash of the text does too.
+    """
+    found = store(simhash_components(docs, method, id_col, text_col).withColumnRenamed(id_col, "id"), "components")
+    named = F.col("id").eqNullSafe(F.col("component_id"))
+    if not found.groupBy("id").count().where("count > 1").limit(1).count():
+        gone = store(found.where(~named).select("id"), "gone")
+        return docs.join(gone, docs[id_col].eqNullSafe(gone["id"]), "left_anti")
+    text = F.col(text_col).cast("string")
+    prints = store(fingerprints(docs, method, id_col, text_col, F.xxhash64(text).alias("print")).join(
+        found.select("fp", "component_id").distinct(), "fp"), "prints")
+    first = prints.where(named).groupBy("id").agg(F.min("print").alias("print"))
+    keyed = docs.select("*", F.xxhash64(text).alias("_print"))
+    kept = keyed.join(first, keyed[id_col].eqNullSafe(first["id"]) & (keyed["_print"] == first["print"]), "left_semi")
+    return kept.dropDuplicates([id_col]).select(*docs.columns)
 
 
 def hex_fingerprint(fp):

@@ -218,6 +218,9 @@ def test_simhash_repeated_and_null_ids(spark):
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["component_id"]) for r in simhash.simhash_components(some).collect())
     assert got == [(-1, None), (5, 5), (5, 5), (8, 8)]
     assert sorted(str(r["doc_id"]) for r in simhash.one_of_each(some).collect()) == ["5", "8", "None"]
+    # One id on two texts: the row that belongs to another component goes, though its id names one.
+    mixed = frame(spark, ["one two three four", "other words stand here", "other words stand here", "one two three four"], ids=[5, 5, 3, 9])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(mixed).collect()) == [(3, "other words stand here"), (5, "one two three four")]
 
 
 @pytest.mark.parametrize("block", [4, 4096])
