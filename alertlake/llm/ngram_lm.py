@@ -4,7 +4,7 @@ Documents are tokenised once, into runs. For each order a run asks about its dis
 to learn from. The task that owns a share of the contexts adds up the counts, builds that part of the trie (ngram_trie) and answers
 every run from it: the quantised discounted share of each n-gram, and what each context leaves to the lower order. The next order's
 context is the node of the n-gram found before, its successor the rank among the successors of the shorter context, so numbers stay
-small. No task ever holds the whole model, and nothing is sent twice for the same n-gram of a run.
+small. A node is known by its rank and the first node of its context, which all successors of a context share in an answer. No task ever holds the whole model, and nothing is sent twice for the same n-gram of a run.
 
     p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))        p_n(w | h) = share(h, w) + left(h) p_{n-1}(w | h')
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from alertlake.llm.common import bucketed, id_and_text, per_gigabyte, slices, with_id
 from alertlake.llm.ngram_trie import UNNAMED, Level, restore
-from alertlake.llm.runs import answers_by_run, pack, partitions, squeeze, unpack, unsqueeze
+from alertlake.llm.runs import (answers_by_run, free, pack, pack_columns, partitions, planes, squeeze, unpack, unpack_columns, unplanes,
+                                unsqueeze)
 
 #: Numbers of words and nodes: the share that owns them above these bits, their rank below. Number 0 is the start of a text.
 RANK_BITS = 40
@@ -36,7 +37,7 @@ START, UNKNOWN = 0, UNNAMED
 @dataclass(frozen=True)
 class TrigramMethod:
     discount: float = 0.75
-    run_bytes: int = 8 << 20
+    run_bytes: int = 6 << 20
     share_bytes: int = 32 << 20
 
 
@@ -46,7 +47,6 @@ def tokenised(docs: DataFrame, learn: Column, method: TrigramMethod, id_col: str
         import numpy as np
         import pyarrow as pa
         import xxhash
-        import zstandard
         from pyspark import TaskContext
 
         def row(number, parts, words, sizes, size):
@@ -60,7 +60,7 @@ def tokenised(docs: DataFrame, learn: Column, method: TrigramMethod, id_col: str
             table = pa.Table.from_batches(parts).drop_columns(["text"]).append_column("n", pa.array(sizes, pa.int64()))
             learned = int(sum(n for n, yes in zip(sizes, table.column("learn").to_pylist()) if yes))
             return pa.record_batch([pa.array([number], pa.int64()), pa.array([pack(table)], pa.binary()),
-                                    pa.array([zstandard.compress(tokens.tobytes(), 1)], pa.binary()), pa.array([squeeze(hashes[order])], pa.binary()),
+                                    pa.array([planes(tokens)], pa.binary()), pa.array([squeeze(hashes[order])], pa.binary()),
                                     pa.array([learned], pa.int64()), pa.array([size], pa.int64())],
                                    ["run", "docs", "tokens", "hashes", "learned", "n_bytes"])
 
@@ -89,10 +89,9 @@ class Run:
 
     def __init__(self, docs: bytes, tokens: bytes, hashes: bytes):
         import numpy as np
-        import zstandard
 
         self.docs = unpack(docs)
-        self.words = np.frombuffer(zstandard.decompress(tokens), np.int32)
+        self.words = unplanes(tokens, "<i4")
         self.hashes = unsqueeze(hashes)
         self.sizes = self.docs.column("n").to_numpy()
         self.learn = np.repeat(self.docs.column("learn").to_numpy(zero_copy_only=False), self.sizes)
@@ -104,9 +103,9 @@ class Run:
         """Count and number of every token's word."""
         import numpy as np
 
-        parts = [unpack(a["found"]) for a in sorted(answers, key=lambda a: a["share"])]
-        gather = lambda c, kind: np.concatenate([p.column(c).to_numpy() for p in parts]).astype(kind)
-        self.count, self.number = gather("count", np.int64)[self.words], gather("number", np.uint64)[self.words]
+        parts = [unpack_columns(a["found"]) for a in sorted(answers, key=lambda a: a["share"])]
+        gather = lambda c: np.concatenate([p[c] for p in parts])
+        self.count, self.number = gather("count")[self.words], gather("number")[self.words]
 
     def bigrams(self):
         """(context, successor) of each token; the context is 2^64-1 where it was never learned."""
@@ -117,7 +116,7 @@ class Run:
         return np.where(context == UNKNOWN, np.uint64(2**64 - 1), context), self.number
 
     def bigram_answers(self, answers) -> None:
-        self.share2, self.left2, self.node2, self.rank2 = self._spread(answers, *self.bigrams())
+        self.share2, self.left2, self.node2, self.rank2 = self._spread(answers, *self.bigrams(), True)
 
     def trigrams(self):
         """The context is the node of the bigram before, the successor the rank of the token's own bigram in its context."""
@@ -128,24 +127,39 @@ class Run:
         return np.where(self.first, never, before), self.rank2
 
     def trigram_answers(self, answers) -> None:
-        self.share3, self.left3, _, _ = self._spread(answers, *self.trigrams())
+        self.share3, self.left3, _, _ = self._spread(answers, *self.trigrams(), False)
 
-    def _spread(self, answers, context, successor):
-        """Answers to the distinct pairs, laid out over the tokens."""
+    def _spread(self, answers, context, successor, nodes: bool):
+        """Answers to the distinct pairs, laid out over the tokens; the last two only if ``nodes`` are wanted."""
         import numpy as np
 
         n = len(context)
-        share, left = np.zeros(n), np.ones(n)
-        node, rank = np.full(n, 2**64 - 1, np.uint64), np.full(n, UNKNOWN, np.uint64)
+        share, left = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        node, rank = (np.full(n, 2**64 - 1, np.uint64), np.full(n, UNKNOWN, np.uint64)) if nodes else (None, None)
         asked, pairs, inverse = distinct_pairs(context, successor)
+        del pairs
         if len(asked):
-            parts = [unpack(a["found"]) for a in sorted(answers, key=lambda a: a["share"])]
-            gather = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts])
-            share[asked], lefts = restore(gather("share_code"))[inverse], gather("left_code")
-            left[asked] = np.where(lefts > 0, restore(lefts), 1.0)[inverse]
-            node[asked], rank[asked] = gather("node")[inverse], gather("rank")[inverse]
+            ordered = sorted(answers, key=lambda a: a["share"])
+            parts = [unpack_columns(a["found"]) for a in ordered]
+            gather = lambda c: np.concatenate([p[c] for p in parts])
+            share[asked], left[asked] = gather("share_code")[inverse], gather("left_code")[inverse]
+            if nodes:
+                places = gather("rank")
+                base = np.repeat(np.array([a["share"] << RANK_BITS for a in ordered], np.int64), [len(p["rank"]) for p in parts])
+                named = np.where(places >= 0, (base + gather("start") + places + 1).astype(np.uint64), np.uint64(2**64 - 1))
+                node[asked] = named[inverse]
+                rank[asked] = np.where(places >= 0, places.astype(np.uint64), np.uint64(UNKNOWN))[inverse]
         return share, left, node, rank
 
+    def probabilities(self, learned: int, vocabulary: int):
+        """(unigram, interpolated trigram) probability of each token. A context that was never learned leaves everything."""
+        import numpy as np
+
+        left = restore(np.arange(256))
+        left[0] = 1.0
+        p1 = (self.count + 0.5) / (learned + 0.5 * (vocabulary + 1))
+        return p1, restore(self.share3) + left[self.left3] * (restore(self.share2) + left[self.left2] * p1)
+
 
 def distinct_pairs(context, successor):
     """(places that ask, (contexts, successors) sorted and distinct, which of them each place asks)."""
@@ -182,7 +196,7 @@ def word_questions(runs: DataFrame, parts: int) -> DataFrame:
                 yield pa.record_batch([
                     pa.array(own, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(own), pa.int64()),
                     pa.array([squeeze(run.hashes[cuts[p] : cuts[p + 1]]) for p in own], pa.binary()),
-                    pa.array([pack(pa.table({"n": counts[cuts[p] : cuts[p + 1]].astype(np.int32)})) for p in own], pa.binary())],
+                    pa.array([pack_columns(n=counts[cuts[p] : cuts[p + 1]].astype(np.int32)) for p in own], pa.binary())],
                     ["share", "run", "hashes", "counts"])
 
     return runs.select("run", "docs", "tokens", "hashes").mapInArrow(ask, "share int, run long, hashes binary, counts binary")
@@ -191,17 +205,16 @@ def word_questions(runs: DataFrame, parts: int) -> DataFrame:
 def word_answers(group: pd.DataFrame) -> pd.DataFrame:
     """Total counts and numbers of a share's words; the first run's answer also tells how many words were learned."""
     import numpy as np
-    import pyarrow as pa
 
     share = int(group["share"].iloc[0])
     lists = [unsqueeze(x) for x in group["hashes"]]
-    counts = np.concatenate([unpack(x).column("n").to_numpy() for x in group["counts"]])
+    counts = np.concatenate([unpack_columns(x)["n"] for x in group["counts"]])
     words, inverse = np.unique(np.concatenate(lists), return_inverse=True)
     total = np.bincount(inverse, weights=counts).astype(np.int64)
     learned = total > 0
     number = np.where(learned, np.uint64(share << RANK_BITS) + np.cumsum(learned).astype(np.uint64), np.uint64(UNKNOWN))
     cuts = np.cumsum([len(x) for x in lists])[:-1]
-    found = [pack(pa.table({"count": total[i], "number": number[i]})) for i in np.split(inverse, cuts)]
+    found = [pack_columns(count=total[i], number=number[i]) for i in np.split(inverse, cuts)]
     return pd.DataFrame({"run": group["run"], "share": group["share"], "found": found,
                          "learned": [int(learned.sum())] + [0] * (len(group) - 1)})
 
@@ -214,6 +227,7 @@ def pair_questions(asking: DataFrame, order: int, parts: int) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
+                free()
                 run = answered(batch, i, order - 1)
                 asked, (context, successor), inverse = distinct_pairs(*(run.bigrams() if order == 2 else run.trigrams()))
                 counts = np.bincount(inverse, weights=run.learn[asked], minlength=len(context)).astype(np.int32)
@@ -226,8 +240,8 @@ def pair_questions(asking: DataFrame, order: int, parts: int) -> DataFrame:
                     rows.append((squeeze(context[a:b][new]), np.diff(np.append(new, b - a)).astype(np.int32), squeeze(successor[a:b]), counts[a:b]))
                 yield pa.record_batch([
                     pa.array(own, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(own), pa.int64()),
-                    pa.array([r[0] for r in rows], pa.binary()), pa.array([pack(pa.table({"n": r[1]})) for r in rows], pa.binary()),
-                    pa.array([r[2] for r in rows], pa.binary()), pa.array([pack(pa.table({"n": r[3]})) for r in rows], pa.binary())],
+                    pa.array([r[0] for r in rows], pa.binary()), pa.array([pack_columns(n=r[1]) for r in rows], pa.binary()),
+                    pa.array([r[2] for r in rows], pa.binary()), pa.array([pack_columns(n=r[3]) for r in rows], pa.binary())],
                     ["share", "run", "contexts", "sizes", "successors", "counts"])
 
     return asking.mapInArrow(ask, "share int, run long, contexts binary, sizes binary, successors binary, counts binary")
@@ -237,13 +251,11 @@ def pair_answers(least: int, discount: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Build the share's part of the trie and answer every run from it."""
         import numpy as np
-        import pyarrow as pa
 
-        share = int(group["share"].iloc[0])
-        sizes = [unpack(x).column("n").to_numpy() for x in group["sizes"]]
+        sizes = [unpack_columns(x)["n"] for x in group["sizes"]]
         context = np.concatenate([np.repeat(unsqueeze(x), n) for x, n in zip(group["contexts"], sizes)])
         successor = np.concatenate([unsqueeze(x) for x in group["successors"]])
-        counts = np.concatenate([unpack(x).column("n").to_numpy() for x in group["counts"]])
+        counts = np.concatenate([unpack_columns(x)["n"] for x in group["counts"]])
         order = np.lexsort((successor, context))
         new = np.concatenate([[True], (context[order[1:]] != context[order[:-1]]) | (successor[order[1:]] != successor[order[:-1]])])
         pair = np.empty(len(order), np.int64)
@@ -255,11 +267,10 @@ def pair_answers(least: int, discount: float):
         number, left, start = (x[owner] for x in level.contexts_of(context[first]))
         node = level.nodes_of(number, successor)
         codes, many = level.values_of(node)
-        named = np.where(many, np.uint64(share << RANK_BITS) + (node + 1).astype(np.uint64), np.uint64(2**64 - 1))
-        rank = np.where(many, (node - start).astype(np.uint64), np.uint64(UNKNOWN))
+        rank = np.where(many, node - start, -1).astype(np.int32)
         found = []
         for part in np.split(pair, np.cumsum([int(n.sum()) for n in sizes])[:-1]):
-            found.append(pack(pa.table({"share_code": codes[part], "left_code": left[part], "node": named[part], "rank": rank[part]})))
+            found.append(pack_columns(share_code=codes[part], left_code=left[part], start=start[part], rank=rank[part]))
         return pd.DataFrame({"run": group["run"], "share": group["share"], "found": found})
 
     return run
@@ -310,9 +321,9 @@ def _scorer(learned: int, vocabulary: int, schema):
 
         for batch in batches:
             for i in range(batch.num_rows):
+                free()
                 run = answered(batch, i, 3)
-                p1 = (run.count + 0.5) / (learned + 0.5 * (vocabulary + 1))
-                p = run.share3 + run.left3 * (run.share2 + run.left2 * p1)
+                p1, p = run.probabilities(learned, vocabulary)
                 ends = np.cumsum(run.sizes)
                 add = lambda x: np.add.reduceat(x, ends - run.sizes)
                 yield pa.record_batch([run.docs.column(0).combine_chunks(), pa.array(run.sizes), pa.array(add((run.count > 0).astype(np.int64))),
