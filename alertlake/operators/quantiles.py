@@ -20,8 +20,20 @@ NARROWING_PASSES = 2
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row with a column per entry of ``wanted`` = {alias: (column, probability)}; NULL and NaN are skipped."""
-    return _narrowed(df, wanted)
+    """One row with a column per entry of ``wanted`` = {alias: (column, probability)}; NULL and NaN are skipped.
+
+    Runs a job per pass at once. What comes to the driver are two bounds for each of the two ranks of a quantile.
+    """
+    columns = sorted({column for column, _ in wanted.values()})
+    # Two ranks per wanted quantile: the neighbours between which it is interpolated.
+    orders = [(alias, side, columns.index(column), float(p)) for alias, (column, p) in wanted.items() for side in (0, 1)]
+    targets = _first_pass(df, columns, orders)
+    for last in (False,) * NARROWING_PASSES + (True,):
+        if any(t["low"] < t["high"] for t in targets):
+            targets = _pass(df, columns, targets, last)
+    found = {(t["alias"], t["side"]): t for t in targets}
+    row = [_interpolate(found.get((alias, 0)), found.get((alias, 1))) for alias in wanted]
+    return df.sparkSession.createDataFrame([row], ", ".join(f"`{alias}` double" for alias in wanted))
 
 
 def approximate_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accuracy: int = 10000) -> DataFrame:
@@ -47,66 +59,52 @@ def _even_range(v: Column, low: Column, high: Column) -> Column:
     return F.when(width > 0, F.least(F.floor((v - low) / width * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0).cast("bigint"))
 
 
-def _narrowed(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    columns = sorted({column for column, _ in wanted.values()})
-    values = (
-        df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("c"), _number(column).alias("v")) for i, column in enumerate(columns)
-        ])).alias("e"))
-        .select("e.c", "e.v").where(F.col("v").isNotNull())
-    )
-    # Two ranks per wanted quantile: the neighbours between which it is interpolated.
-    orders = F.array(*[
-        F.struct(F.lit(alias).alias("alias"), F.lit(columns.index(column)).alias("c"), F.lit(float(p)).alias("p"),
-                 F.lit(side).alias("side"))
-        for alias, (column, p) in wanted.items() for side in (0, 1)
-    ])
-    histogram = values.groupBy("c", _log_range(F.col("v")).alias("r")).agg(
+def _first_pass(df: DataFrame, columns: list[str], orders: list[tuple]) -> list[dict]:
+    """The logarithmic range that holds each wanted rank."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), _number(c).alias("v")) for i, c in enumerate(columns)])).alias("e"))
+    histogram = values.select("e.*").where(F.col("v").isNotNull()).groupBy("t", _log_range(F.col("v")).alias("r")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    by_column = Window.partitionBy("c")
+    of_column = Window.partitionBy("t")
+    asked = F.array(*[F.struct(F.lit(alias).alias("alias"), F.lit(side).alias("side"), F.lit(c).alias("c"), F.lit(p).alias("p"))
+                      for alias, side, c, p in orders])
     position = F.col("o.p") * (F.col("total") - 1)
-    ranked = (
-        histogram.withColumn("total", F.sum("n").over(by_column))
-        .withColumn("below", F.sum("n").over(by_column.orderBy("r")) - F.col("n"))
-        .withColumn("o", F.explode(orders)).where(F.col("o.c") == F.col("c"))
-        .withColumn("rank", F.when(F.col("o.side") == 0, F.floor(position)).otherwise(F.ceil(position)))
-    )
-    targets = _holding(ranked).select(
-        F.col("o.alias").alias("alias"), F.col("o.side").alias("side"), "c", position.alias("position"),
-        F.col("rank").alias("full_rank"), (F.col("rank") - F.col("below")).alias("rank"), "low", "high")
-
-    keys = ["alias", "side", "c", "position", "full_rank", "rank"]
-    by_target = Window.partitionBy("alias", "side")
-    for _ in range(NARROWING_PASSES):
-        inside = _inside(values, targets)
-        counted = inside.groupBy(*keys, _even_range(F.col("v"), F.col("low"), F.col("high")).alias("r")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        counted = counted.withColumn("below", F.sum("n").over(by_target.orderBy("r")) - F.col("n"))
-        targets = _holding(counted).select(
-            "alias", "side", "c", "position", "full_rank", (F.col("rank") - F.col("below")).alias("rank"), "low", "high")
-
-    counted = _inside(values, targets).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    found = _holding(counted.withColumn("below", F.sum("n").over(by_target.orderBy("v")) - F.col("n")))
-    pick = {
-        (alias, side): F.max(F.when((F.col("alias") == alias) & (F.col("side") == side), F.struct("v", "position", "full_rank")))
-        for alias in wanted for side in (0, 1)
-    }
-    row = found.agg(*[agg.alias(f"{alias}__{side}") for (alias, side), agg in pick.items()])
-    return row.select(*[_interpolate(alias).alias(alias) for alias in wanted])
+    ranked = (histogram.withColumn("total", F.sum("n").over(of_column))
+              .withColumn("below", F.sum("n").over(of_column.orderBy("r")) - F.col("n"))
+              .withColumn("o", F.explode(asked)).where(F.col("o.c") == F.col("t"))
+              .withColumn("rank", F.when(F.col("o.side") == 0, F.floor(position)).otherwise(F.ceil(position))))
+    rows = _holding(ranked).select("o.alias", "o.side", "t", position.alias("position"), F.col("rank").alias("full_rank"),
+                                   (F.col("rank") - F.col("below")).alias("rank"), "low", "high").collect()
+    return [r.asDict() for r in rows]
+
+
+def _pass(df: DataFrame, columns: list[str], targets: list[dict], last: bool) -> list[dict]:
+    """Cut every target's range evenly and take the piece that holds its rank; in the last pass every value is a piece.
+
+    The ranges are literals, so rows outside all of them end in the scan.
+    """
+    ranges = sorted({(t["t"], t["low"], t["high"]) for t in targets if t["low"] < t["high"]})
+    inside = F.array_compact(F.array(*[
+        F.when(_number(columns[c]).between(low, high), F.struct(F.lit(i).alias("t"), _number(columns[c]).alias("v")))
+        for i, (c, low, high) in enumerate(ranges)]))
+    values = df.select(F.explode(inside).alias("e")).select("e.*")
+    bound = lambda k: F.array(*[F.lit(r[k]) for r in ranges])[F.col("t")]
+    piece = F.col("v") if last else _even_range(F.col("v"), bound(1), bound(2))
+    counted = values.groupBy("t", piece.alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(ranges.index((t["t"], t["low"], t["high"]))).alias("t"), F.lit(t["rank"]).alias("rank"))
+                      for k, t in enumerate(targets) if t["low"] < t["high"]])
+    ranked = (counted.withColumn("below", F.sum("n").over(Window.partitionBy("t").orderBy("r")) - F.col("n"))
+              .withColumn("o", F.explode(asked)).where(F.col("o.t") == F.col("t")).withColumn("rank", F.col("o.rank")))
+    found = {r["k"]: r for r in _holding(ranked).select("o.k", (F.col("rank") - F.col("below")).alias("rank"), "low", "high").collect()}
+    return [{**t, **{c: found[k][c] for c in ("rank", "low", "high")}} if k in found else t for k, t in enumerate(targets)]
 
 
 def _holding(ranges: DataFrame) -> DataFrame:
     return ranges.where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
 
 
-def _inside(values: DataFrame, targets: DataFrame) -> DataFrame:
-    # targets has two rows per wanted quantile, so its broadcast size is fixed by the call, not by the data.
-    bounds = F.broadcast(targets)
-    return values.join(bounds, "c").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
-
-
-def _interpolate(alias: str) -> Column:
-    low, high = F.col(f"{alias}__0"), F.col(f"{alias}__1")
-    position, floor_rank, ceil_rank = low["position"], low["full_rank"], high["full_rank"]
-    return F.when(floor_rank == ceil_rank, low["v"]).otherwise(
-        (ceil_rank - position) * low["v"] + (position - floor_rank) * high["v"])
+def _interpolate(low: dict | None, high: dict | None) -> float | None:
+    if low is None or high is None:
+        return None
+    if low["full_rank"] == high["full_rank"]:
+        return low["low"]
+    return (high["full_rank"] - low["position"]) * low["low"] + (low["position"] - low["full_rank"]) * high["low"]
