@@ -32,11 +32,29 @@ class Window:
     hold: int = 1 << 21
 
 
-class WordIds(dict):
-    """Token ids of blank-separated words, as bytes of little-endian 32-bit numbers, found once per worker.
+class Recent(dict):
+    """Found once, then remembered: the latest ``CACHED`` to twice as many entries. ``find`` makes what is missing."""
+
+    def __init__(self, find):
+        self.find, self.older = find, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordIds:
+    """Token ids of texts, as little-endian 32-bit numbers, by way of their blank-separated words.
 
     The tokenizer never joins text over an ASCII blank, so the ids of a text are those of its words. Printable words go piece by
-    piece through the vocabulary's merges, which saves building a whole encoding for each; all others through the tokenizer.
+    piece through the vocabulary's merges, which saves building a whole encoding for each; all others through the tokenizer. Both
+    words and pieces are remembered.
     """
 
     def __init__(self, source: str):
@@ -51,21 +69,30 @@ class WordIds(dict):
         # The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next free code above 255.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.stand_in = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.words, self.pieces = Recent(self._word), Recent(self._piece)
 
-    def __missing__(self, word: bytes) -> bytes:
-        import numpy as np
+    def _piece(self, piece: str) -> bytes:
+        from array import array
+
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.stand_in)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        import sys
+        from unicodedata import is_normalized
 
         text = word.decode("utf-8", "replace")
-        if text.isprintable():
-            lower = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
-            merge = self.tokenizer.model.tokenize
-            ids = [t.id for p in self.split(lower) for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(self.stand_in))]
+        if sys.byteorder != "little" or not text.isprintable():
+            return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if text.isascii() or is_normalized("NFC", text) and "\u03a3" not in text:  # lower() treats a final sigma in its own way
+            text = text.lower()
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self) >= CACHED:
-            self.clear()
-        found = self[word] = np.array(ids, "<u4").tobytes()
-        return found
+            text = self.tokenizer.normalizer.normalize_str(text)
+        if text.isalpha():
+            return self.pieces[text]
+        if text[:-1].isalpha() and not (text[-1].isalpha() or text[-1].isnumeric()):
+            return self.pieces[text[:-1]] + self.pieces[text[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def of(self, data: bytes):
         """Ids of a text."""
@@ -73,7 +100,7 @@ class WordIds(dict):
 
         if b"<|" in data and self.special(data.decode("utf-8", "replace")):
             return np.array(self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, data.split())), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")
 
 
 def word_ids(source: str) -> WordIds:
