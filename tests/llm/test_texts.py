@@ -559,6 +559,30 @@ def test_quality(spark):
     assert all(r["kept"] != r["base_failed"] for r in quality.quality_rules(table, none).collect())
 
 
+def test_toxic_words_reject_good_prose(spark):
+    """One toxic word among forty good ones, in other case and with a comma; the word is learned from labels, and half are unlabelled."""
+    rng = random.Random(26)
+    prose = lambda: [rng.choice(["stone", "river", "cloud", "lamp", "tree", "road"]) + rng.choice("abcdefgh") for _ in range(40)]
+    made = []
+    for i in range(600):
+        words = prose()
+        if i % 10 == 0:
+            words[rng.randrange(40)] = rng.choice(["Scoundrel,", "scoundrel", "SCOUNDREL."])
+        made.append(" ".join(words))
+    table = frame(spark, made)
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = quality.fit(table, labels)
+    rows = {r["doc_id"]: r for r in quality.quality_rules(table, model).collect()}
+    calm = [i for i in rows if i % 10 and not rows[i]["base_failed"]]
+    assert not any(rows[i]["kept"] for i in range(0, 600, 10))
+    assert sum(rows[i]["kept"] for i in calm) >= 0.98 * len(calm)
+    assert {r["doc_id"] for r in quality.kept_documents(table, model).collect()} == {i for i in rows if rows[i]["kept"]}
+    # Without trusted documents the toxic words still speak.
+    alone = quality.fit(table, labels.withColumn("quality", F.lit(0)))
+    assert alone.threshold is None and not any(r["kept"] for r in quality.quality_rules(table, alone).collect() if r["doc_id"] % 10 == 0)
+    assert quality.words_of("Été, l'ÉTÉ don’t X-1".encode()) == {"Été".encode(), b"l", "ÉtÉ".encode(), "don’t".encode(), b"x", b"1"}
+
+
 def test_ngrams_stay_inside_texts():
     import numpy as np
 
