@@ -216,33 +216,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, method: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``fp`` (signed long) and ``component_id``, the smallest id that links reach."""
+    return _rooted(docs, method, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, method: SimHash, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, component_id, root): the root is the smallest fingerprint of the component and tells components apart."""
     fps = store(fingerprints(docs, method, id_col, text_col), "fingerprints")
     distinct = store(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     nodes = components(store(links(distinct.select("fp"), method.max_bits), "links"))
     named = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return fps.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    names = named.select("fp", "root").join(lowest, "root").select("fp", "component_id", "root")
+    return fps.join(names, "fp").select("id", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, method: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component: the one that names it. Of rows with one id in one component, one stays.
+    """The documents, one of each component: the one that names it. Of several rows that name it, the smallest text hash stays.
 
     What goes is joined to the documents rather than what stays, as it is less. The id alone tells the rows apart, unless ids repeat;
     then a hash of the text does too.
     """
-    found = store(simhash_components(docs, method, id_col, text_col).withColumnRenamed(id_col, "id"), "components")
+    found = store(_rooted(docs, method, id_col, text_col), "components")
     named = F.col("id").eqNullSafe(F.col("component_id"))
     if not found.groupBy("id").count().where("count > 1").limit(1).count():
         gone = store(found.where(~named).select("id"), "gone")
         return docs.join(gone, docs[id_col].eqNullSafe(gone["id"]), "left_anti")
     text = F.col(text_col).cast("string")
     prints = store(fingerprints(docs, method, id_col, text_col, F.xxhash64(text).alias("print")).join(
-        found.select("fp", "component_id").distinct(), "fp"), "prints")
-    first = prints.where(named).groupBy("id").agg(F.min("print").alias("print"))
+        found.select("fp", "component_id", "root").distinct(), "fp"), "prints")
+    # Rows with one id and one text are in one component, so these two name a component's row.
+    first = prints.where(named).groupBy("root").agg(F.min(F.struct("id", "print")).alias("first")).select("first.id", "first.print")
     keyed = docs.select("*", F.xxhash64(text).alias("_print"))
     kept = keyed.join(first, keyed[id_col].eqNullSafe(first["id"]) & (keyed["_print"] == first["print"]), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*docs.columns)
+    return kept.dropDuplicates([id_col, "_print"]).select(*docs.columns)
 
 
 def hex_fingerprint(fp):

@@ -223,6 +223,16 @@ def test_simhash_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(mixed).collect()) == [(3, "other words stand here"), (5, "one two three four")]
 
 
+def test_one_of_each_keeps_every_component(spark):
+    """An id on texts of two components that it names both, and several null ids on different texts."""
+    one, other, third = "one two three four", "other words stand here", "nothing like the rest of them"
+    some = frame(spark, [one, other, one, one], ids=[5, 5, 9, 5])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(some).collect()) == [(5, one), (5, other)]
+    nulls = frame(spark, [one, other, third, one, other], ids=[None, None, None, None, 8])
+    got = sorted((r["text"], r["doc_id"]) for r in simhash.one_of_each(nulls).collect())
+    assert got == [(third, None), (one, None), (other, 8)]
+
+
 @pytest.mark.parametrize("block", [4, 4096])
 def test_links_connect_all_close_fingerprints(spark, monkeypatch, block):
     """Chains, crowded postings, and every way to differ in three bits; with long postings split too."""
