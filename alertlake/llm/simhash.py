@@ -145,7 +145,13 @@ def forest(fps, groups, max_bits: int):
     for g in np.flatnonzero(size > BLOCK):
         own = np.flatnonzero(groups == g)
         octets = fps[own].view(np.uint8).reshape(-1, BYTES)
-        for position in np.flatnonzero((octets != octets[0]).any(axis=0)):  # a close pair shares one more byte at least
+        varies = np.flatnonzero((octets != octets[0]).any(axis=0))
+        if len(varies) < BYTES - 4:  # a further byte is the same in all, so it may be the only one that a pair shares
+            a, b = flipped_pairs(fps[own], max_bits)
+            left.append(own[a])
+            right.append(own[b])
+            continue
+        for position in varies:  # a close pair shares one more byte at least
             order = np.argsort(octets[:, position], kind="stable")
             values = octets[order, position].astype(np.int64)
             many = np.bincount(values, minlength=256)

@@ -264,6 +264,29 @@ def test_links_connect_all_close_fingerprints(spark, monkeypatch, block):
         assert all((int(a) ^ int(b)).bit_count() <= 64 for a, b in zip(u, v)) and len(u) == sum(len(x) - 1 for x in want.values())
 
 
+@pytest.mark.parametrize("places", [(1, 6), (0, 3, 5)])
+def test_links_of_a_long_posting_with_few_bytes_that_vary(spark, monkeypatch, places):
+    """Pairs that differ in each of the two or three bytes that vary at all, in a posting longer than BLOCK."""
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    rng = random.Random(27)
+    base = rng.getrandbits(64)
+    fps = set()
+    while len(fps) < 40:
+        f = base ^ sum(rng.getrandbits(8) << 8 * p for p in places)
+        fps |= {f, f ^ sum(1 << 8 * p + rng.randrange(8) for p in places)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = simhash.components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), 3)).collect()
+    root = {r["node"]: r["root"] for r in found}
+    ours = defaultdict(set)
+    for i, s in enumerate(signed):
+        ours[root.get(s, s)].add(i)
+    want = defaultdict(set)
+    for i, r in enumerate(slow_components(fps)):
+        want[r].add(i)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, want.values()))
+
+
 def test_flipped_pairs():
     import numpy as np
 
