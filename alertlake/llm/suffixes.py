@@ -195,7 +195,7 @@ def common(a: bytes, b: bytes, at: int) -> int:
 
 def prefixes(ordered: list[bytes]) -> list[int]:
     """Common prefix of each string with the one before."""
-    return [0] + [common(a, b, 0) for a, b in zip(ordered, ordered[1:])]
+    return [0, *(common(a, b, 0) for a, b in zip(ordered, ordered[1:]))][: len(ordered)]
 
 
 def front_code(entries: list[tuple[bytes, bytes]], shared: list[int], many: list[int]) -> bytes:

@@ -102,6 +102,17 @@ def test_repeats_of_random_letters(spark):
     assert suffixes.remove_repeats(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["none", "short", "one clean run"])
+def test_runs_without_repeats(spark, kind):
+    """No anchor repeats anywhere, no text is as long as the window, or one run is clean among others that aren't."""
+    rng = random.Random(11)
+    long = lambda n: "".join(rng.choice(string.ascii_letters) for _ in range(n))
+    shared = long(400)
+    made = {"none": [long(700), long(900)], "short": ["ab", "ab", "", None],
+            "one clean run": [long(1500), long(1500), shared, long(30) + shared, long(1500)]}[kind]
+    check_repeats(suffixes.remove_repeats(frame(spark, made).coalesce(1), suffixes.Repeats(200, run_bytes=1200)).collect(), made, 200)
+
+
 def test_repeats_segments(monkeypatch):
     """Anchors don't depend on how a long text is cut."""
     import numpy as np
@@ -119,6 +130,7 @@ def test_merge_order():
     rng = random.Random(2)
     runs = [sorted(bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(0, 30))) for _ in range(7)]
     found = list(suffixes.merge([(r, suffixes.prefixes(r)) for r in runs]))
+    assert suffixes.prefixes([]) == []
     merged = [runs[r][i] for r, i, _ in found]
     assert merged == sorted(x for r in runs for x in r)
     assert [s for _, _, s in found][1:] == suffixes.prefixes(merged)[1:]
