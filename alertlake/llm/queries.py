@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import decontaminate, language, license_scan, lines, ngram_lm, packing, quality, secret_scan, simhash, suffixes
+from alertlake.llm import collocations, decontaminate, language, license_scan, lines, ngram_lm, packing, quality, secret_scan, sharding, simhash, suffixes
 from alertlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,47 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, read_table(spark, folder, "labels")))
 
 
+@query("op12_sharding")
+def sharded(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.shuffle_into_shards(read_table(spark, folder, "documents"), 40, in_place=True)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return found.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT row_number() OVER () AS p, lang, string_split_regex(piece, '[\x20\x09]+') AS w FROM pieces),
+words AS (SELECT p, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lists),
+rows AS (SELECT lang, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS d
+         FROM words WHERE word <> '' WINDOW o AS (PARTITION BY p ORDER BY i)),
+counts AS (SELECT lang, 1 AS words, a AS phrase, count(*) AS f FROM rows GROUP BY ALL
+           UNION ALL SELECT lang, 2, a || ' ' || b, count(*) FROM rows WHERE b IS NOT NULL GROUP BY ALL
+           UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c, count(*) FROM rows WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+           UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d, count(*) FROM rows WHERE d IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE words = 1 GROUP BY lang),
+cand AS (SELECT lang, words, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE words > 1 AND f >= 30),
+keyed AS MATERIALIZED (SELECT lang || chr(1) || phrase AS key, f FROM counts),
+halves AS MATERIALIZED (SELECT lang, phrase, f, k, lang || chr(1) || array_to_string(w[1 : k], ' ') AS lkey,
+                               lang || chr(1) || array_to_string(w[k + 1 : words], ' ') AS rkey
+                        FROM cand CROSS JOIN (VALUES (1), (2), (3)) AS places(k) WHERE k < words),
+cuts AS (SELECT h.lang, h.phrase, h.f AS a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * h.f) // (l.f + r.f) AS score
+         FROM halves h JOIN keyed l ON l.key = h.lkey JOIN keyed r ON r.key = h.rkey),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, f, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM cand
+          CROSS JOIN (VALUES (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) AS places(i, size) WHERE size < words AND i + size - 1 <= words),
+gone AS (SELECT DISTINCT lang, phrase FROM parts JOIN cand USING (lang, phrase) WHERE 100 * parts.f >= 80 * cand.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best JOIN totals USING (lang) ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
