@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.llm import collocations, decontaminate, language, license_scan, lines, ngram_lm, packing, quality, secret_scan, sharding, simhash, suffixes
+from alertlake.llm import collocations, decontaminate, language, lexical, license_scan, lines, ngram_lm, packing, quality, secret_scan, sharding, simhash, suffixes
 from alertlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,26 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, read_table(spark, folder, "labels")))
 
 
+SEARCH_SQL = r"""
+WITH terms AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS d FROM documents),
+docs AS (SELECT d, doc_id, len(w) AS n, w FROM terms WHERE len(w) > 0),
+sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM docs),
+asked AS (SELECT i, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text,
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+found AS (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, sums GROUP BY term, docs),
+shares AS (SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))) AS s FROM found JOIN weights USING (term), sums),
+scores AS (SELECT i, item_id, d, doc_id, CAST(sum(q * s) AS BIGINT) AS score FROM asked JOIN shares USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def searched(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 @query("op12_sharding")
 def sharded(spark: SparkSession, folder: str) -> DataFrame:
     found = sharding.shuffle_into_shards(read_table(spark, folder, "documents"), 40, in_place=True)
