@@ -35,7 +35,7 @@ CELLS = 1 << 23
 BLOCK, SKETCH = 24, 64
 #: Bytes of item texts, and items, of one search over the index.
 ITEM_BYTES, ITEMS = 1 << 20, 1024
-#: Shards that are searched first for starting scores.
+#: Shards that are searched first for starting scores: the first one of as many tasks.
 FIRST = 8
 
 KEPT = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
@@ -301,7 +301,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = 10, id_col: str = "doc_
         index = build_index(docs, stats, [own for own, _ in asked], id_col, text_col, **sizes)
         least = np.zeros(len(block), np.int64)
         # Any documents' scores are below the best ones', so the top-th best of a few shards is a floor for all.
-        few = search_index(index.limit(first), asked, len(stats.terms), least, id_type, top)
+        few = search_index(index.where(F.col("shard").isin([task << 32 for task in range(first)])), asked, len(stats.terms), least, id_type, top)
         for row in ranked(few, top).where(F.col("rank") == top).collect():
             least[row["item"]] = row["score"]
         hits = ranked(search_index(index, asked, len(stats.terms), least, id_type, top), top)
