@@ -24,11 +24,13 @@ from alertlake.llm import quotient_filter as Q
 from alertlake.llm.common import id_and_text, slices, store
 
 LONGEST = 4
-RUN_BYTES = 4 << 20
+RUN_BYTES = 16 << 20
 #: Entries that a task holds before it sends them, and that a share gets to merge, as expected.
 ENTRIES = 1 << 21
 #: Bits by which one round of merging may cut finer.
 FAN = 10
+#: Parts of a language that are ranked apart first.
+PARTS = 16
 #: Words per bucket of the numbering.
 BUCKET = 1 << 16
 
@@ -247,7 +249,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, percent: int
     phrases, words, totals = phrase_counts(docs, least, lang_col, text_col, run_bytes, room)
     found = scored(phrases).join(absorbed(phrases, percent), ["lang", "w"], "left_anti")
     order = [F.desc("score"), F.desc("a")]
-    found = found.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= top)
+    # Parts of a language first, so that the task that ranks the whole gets a bounded number of rows besides ties.
+    for key in (["lang", F.pmod(F.xxhash64("w"), F.lit(PARTS))], ["lang"]):
+        found = found.withColumn("place", F.rank().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("place") <= top)
     spelt = (found.select("lang", "w", F.posexplode("w").alias("at", "id")).join(words, "id").groupBy("lang", "w")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase")))
     found = found.drop("place").join(spelt, ["lang", "w"]).join(totals, "lang")
