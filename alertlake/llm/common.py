@@ -18,7 +18,7 @@ from alertlake.workspace import new_folder, store
 
 ROWS_AT_ONCE = 256
 
-__all__ = ["bucketed", "id_and_text", "per_gigabyte", "read_table", "slices", "store", "with_id"]
+__all__ = ["bucketed", "id_and_text", "per_gigabyte", "read_table", "slices", "store", "unused", "with_id"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def slices(batches: Iterator, rows: int = ROWS_AT_ONCE) -> Iterator[tuple[object
             yield part, part.column(1).cast(pa.binary()).to_pylist()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def per_gigabyte(total_bytes: int, bytes_each: int, least: int = 1) -> int:
     """How many parts of about ``bytes_each`` hold ``total_bytes``."""
     return max(least, math.ceil(total_bytes / bytes_each))

@@ -10,7 +10,8 @@ ASCII blank as a space, which keeps positions.
 Items are matched in blocks of about ``block_bytes`` of item text, so what a task holds is bounded however long the benchmark is;
 every block sees all documents.
 
-Defined cases: null and empty texts and items match nothing; items shorter than ``min_chars`` are no evidence and are left out;
+Defined cases: null and empty texts and items match nothing; items shorter than ``min_chars`` have
+to stand in the text exactly (but for case and blanks) and at word edges;
 equal items are one, under their smallest id, and ``n_items`` says how many; of places of one item in one text the one with the
 least distance is given, the first of equals; repeated rows are matched one by one.
 """
@@ -86,13 +87,20 @@ def best_place(pattern: str, text: str) -> tuple[int, int, int]:
     return distance, end - back, end
 
 
+def at_edges(text: str, start: int, end: int) -> bool:
+    """Whether no word of the text goes on beyond the range."""
+    joined = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not joined(start) and not joined(end)
+
+
 class Matcher:
     """The pieces of a block of items, ready to search texts."""
 
     def __init__(self, items: list[str], method: EditMatch):
         import ahocorasick
 
-        self.items, self.budgets = items, [int(len(x) * method.max_error) for x in items]
+        self.items, self.least = items, method.min_chars
+        self.budgets = [int(len(x) * method.max_error) if len(x) >= method.min_chars else 0 for x in items]
         found: dict[str, list[tuple[int, int]]] = {}
         #: Ranges that a hit of a piece has to pass, smallest first: (start, end, budget).
         self.ranges: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -144,8 +152,13 @@ class Matcher:
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, distance, start, end) of each item that the text holds."""
         windows: dict[int, list[list[int]]] = {}
+        short: dict[int, int] = {}
         for end, uses in self.automaton.iter(text):
             for item, at in uses:
+                if len(self.items[item]) < self.least:
+                    if item not in short and at_edges(text, end + 1 - at, end + 1):
+                        short[item] = end + 1
+                    continue
                 first = end + 1 - at - self.budgets[item]
                 stop = first + len(self.items[item]) + 2 * self.budgets[item]
                 known = windows.setdefault(item, [])
@@ -153,6 +166,8 @@ class Matcher:
                     known[-1][0], known[-1][1] = min(known[-1][0], first), max(known[-1][1], stop)
                 elif self._confirmed(item, at, end + 1, text):
                     known.append([first, stop])
+        for item, end in sorted(short.items()):
+            yield item, 0, end - len(self.items[item]), end
         for item, spans in sorted(windows.items()):
             best = None
             for first, stop in spans:
@@ -168,7 +183,7 @@ def item_blocks(items: DataFrame, method: EditMatch, id_col: str, text_col: str)
     """Blocks of (item id, items of this text, folded text); each is collected alone and its size is bounded."""
     text = F.col(text_col).cast("string")
     alike = (items.where(text.isNotNull()).groupBy(text.alias("text")).agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
-             .where(F.length("text") >= method.min_chars))
+             .where(F.length(F.btrim("text", F.lit(BLANKS.decode() + " "))) > 0))
     n = per_gigabyte(alike.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], method.block_bytes)
     for block in range(n):
         part = alike.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block) if n > 1 else alike

@@ -68,7 +68,7 @@ def boilerplate_places(docs: DataFrame, spread: Spread = Spread(), id_col: str =
 
 def dedup_lines(docs: DataFrame, spread: Spread = Spread(), id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
                 n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
-    """The documents with boilerplate lines cut out of the text, and two counts."""
+    """The documents with boilerplate lines cut out of the text, and two counts. A column named like a count gives way to it."""
     removed = store(boilerplate_places(docs, spread, id_col, text_col, site_col).groupBy("r1", "r2")
                     .agg(F.collect_set("pos").alias("cut")), "lines-removed")
     text = F.col(text_col).cast("string")
@@ -79,6 +79,7 @@ def dedup_lines(docs: DataFrame, spread: Spread = Spread(), id_col: str = "doc_i
     kept = F.transform(F.array_except(F.sequence(F.lit(0), last), F.col("cut")), lambda i: F.get(lines, i))
     counted = rows.select("row", "body", "cut", F.when(F.col("body").isNull(), 0).otherwise(F.size(lines)).alias("all"),
                           F.when(F.col("cut").isNull(), F.col("body")).otherwise(F.array_join(kept, "\n")).alias("new"))
-    others = [F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    others = [F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns
+              if c.lower() not in (n_lines.lower(), n_removed.lower())]
     return counted.select(*others, F.col("all").cast("long").alias(n_lines),
                           F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias(n_removed))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlake.llm.common import id_and_text, slices, store, with_id
+from alertlake.llm.common import id_and_text, slices, store, unused, with_id
 
 SEED = 42
 BYTES = 8
@@ -252,9 +252,10 @@ def one_of_each(docs: DataFrame, method: SimHash = SimHash(), id_col: str = "doc
         found.select("fp", "component_id", "root").distinct(), "fp"), "prints")
     # Rows with one id and one text are in one component, so these two name a component's row.
     first = prints.where(named).groupBy("root").agg(F.min(F.struct("id", "print")).alias("first")).select("first.id", "first.print")
-    keyed = docs.select("*", F.xxhash64(text).alias("_print"))
-    kept = keyed.join(first, keyed[id_col].eqNullSafe(first["id"]) & (keyed["_print"] == first["print"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_print"]).select(*docs.columns)
+    own = unused(docs, "_print")
+    keyed = docs.select("*", F.xxhash64(text).alias(own))
+    kept = keyed.join(first, keyed[id_col].eqNullSafe(first["id"]) & (keyed[own] == first["print"]), "left_semi")
+    return kept.dropDuplicates([id_col, own]).select(*docs.columns)
 
 
 def hex_fingerprint(fp):

@@ -266,3 +266,50 @@ def test_numbering_is_dense(spark, monkeypatch):
     rows = collocations.numbered(spark.createDataFrame([(f"w{i}",) for i in range(500)], "word string")).collect()
     ids = [r["id"] for r in rows]
     assert len(set(ids)) == 500 and min(ids) >= 1 and max(ids) < 500 * 4
+
+
+# ---- names that clash, and short benchmark items
+
+CLASH = "n_lines string, n_removed string, _print string, row string, body string, cut string, r1 string, r2 string, id string, fp string, component_id string"
+
+
+def clashing(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    foot = "a footer line that stands on every site"
+    rows = [(i // 2 if i < 8 else i, " ".join(rng.choice(words) for _ in range(40)) + "\n" + foot, "en", f"s{i % 7}", 1, *["x"] * (CLASH.count(",") + 1))
+            for i in range(40)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}")
+
+
+def test_stages_with_clashing_names(spark):
+    import corpus_pipeline
+
+    docs = clashing(spark)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) == 40 and {r["n_lines"] for r in rows} == {"x"}
+        if name == "line dedup":
+            assert sum("footer" in r["text"] for r in rows) == 2 and all(r["n_chars"] == len(r["text"]) for r in rows if "footer" not in r["text"])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs.limit(0), FOLDER).collect() == [] or name == ""
+
+
+def test_line_counts_replace_columns(spark):
+    from alertlake.llm import lines
+
+    found = lines.dedup_lines(clashing(spark))
+    assert found.columns.count("n_lines") == 1 and found.schema["n_lines"].dataType.simpleString() == "bigint"
+
+
+def test_short_items_stand_at_word_edges(spark):
+    from alertlake.llm import decontaminate
+
+    items = spark.createDataFrame([(1, "Tiny item"), (2, " \n"), (3, "x1")], "item_id int, text string")
+    made = ["a tiny\titem.", "a tiny items list", "destiny item", "x1", "ax1 x12", "tiny item", " ", "x1,x1", "tinyitem"]
+    docs = frame(spark, made)
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(0, 1, 0, 2, 11), (3, 3, 0, 0, 2), (5, 1, 0, 0, 9), (7, 3, 0, 0, 2)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect()) == [1, 2, 4, 6, 8]
