@@ -66,7 +66,7 @@ def _distances(documents: np.ndarray, questions: np.ndarray, metric: str) -> np.
     if metric == "cosine":
         norms = np.sqrt((documents * documents).sum(axis=1))[:, None] * np.sqrt((questions * questions).sum(axis=1))[None, :]
         similarity = documents @ questions.T
-        return np.round(1.0 - np.divide(similarity, norms, out=np.zeros_like(similarity), where=norms > 0), DISTANCE_DIGITS)
+        return np.round(1.0 - np.divide(similarity, norms, out=np.zeros_like(similarity), where=norms > 0), DISTANCE_DIGITS) + 0.0
     squares = (documents * documents).sum(axis=1)[:, None] + (questions * questions).sum(axis=1)[None, :]
     return np.round(np.sqrt(np.maximum(squares - 2.0 * (documents @ questions.T), 0.0)), DISTANCE_DIGITS)
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import summary_metadata, summary_text, transaction_metadata, transaction_text
@@ -15,7 +16,7 @@ from alertlake.operators.clean import backfill_fraud_flag, backfill_ids, clean,
 from alertlake.operators.features import LARGE_QUANTILE, row_features
 from alertlake.operators.quantiles import quantiles
 from alertlake.operators.summary import daily_summaries
-from alertlake.schema import DATE_COLUMNS, existing, pick
+from alertlake.schema import DATE_COLUMNS, existing, pick, quoted
 from alertlake.sources.readers import LIMIT_PREFIX, read_datasets, read_transactions_csv, with_large_flag
 from alertlake.sources.sinks import new_only, save_alerts, save_embeddings, save_processed
 from alertlake.workspace import read_or_empty, store
@@ -94,10 +95,32 @@ def read_version(spark: SparkSession, folder: str, version: str) -> DataFrame:
     return with_large_flag(spark, f"{folder.rstrip('/')}/version={version}", "transactions", D.union_all(frames))
 
 
-def _row_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    """128 bits of hash of a row's values; columns a part lacks count as NULL, which hashes like absence."""
-    values = [F.col(f"`{c}`") for c in columns if c in df.columns]
-    return df.withColumns({"_k1": F.xxhash64(*values), "_k2": F.xxhash64(F.lit("second"), *values)})
+KEYS = ["_k1", "_k2"]
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """Add 128 bits that name a row: each value is hashed with its column's name, and the hashes are combined in any order.
+
+    A NULL adds nothing, so a row keeps its key when its table gets another column, and a value tells in which column it stands.
+    """
+    def key(salt: str) -> Column:
+        parts = [F.when(quoted(c).isNull(), 0).otherwise(F.xxhash64(F.lit(salt), F.lit(c), quoted(c))) for c in df.columns]
+        return reduce(lambda a, b: a.bitwiseXOR(b), parts, F.lit(0).cast("long"))
+
+    return df.withColumns({"_k1": key("first"), "_k2": key("second")})
+
+
+def keys_path(part: str) -> str:
+    """The keys of a part's rows, beside the part."""
+    return f"{part.rstrip('/').rsplit('/', 1)[0]}/keys.parquet"
+
+
+def unknown_rows(keyed: DataFrame, parts: list[str]) -> DataFrame:
+    """The rows whose keys no part holds. Parts are not read, only their keys, 16 bytes a row; these are reduced to the ones asked for
+    before anything is sent back, so that they stay in place when the new rows are few."""
+    spark, asked = keyed.sparkSession, keyed.select(*KEYS)
+    held = D.union_all([spark.read.parquet(keys_path(p)) for p in parts]).join(asked, KEYS, "left_semi")
+    return keyed.join(held, KEYS, "left_anti")
 
 
 def ingest(existing: DataFrame | str | None, new: DataFrame, folder: str, version: str, run_id: str, credit: str = "Credit",
@@ -115,11 +138,10 @@ def ingest(existing: DataFrame | str | None, new: DataFrame, folder: str, versio
     parts = version_parts(spark, base, existing) if isinstance(existing, str) else []
     merged = existing.unionByName(new, allowMissingColumns=True) if isinstance(existing, DataFrame) else new
     cleaned = clean(merged)
-    if parts:
-        columns = sorted(cleaned.columns)
-        stored = D.union_all([_row_keys(spark.read.parquet(path), columns).select("_k1", "_k2") for path in parts])
-        cleaned = _row_keys(cleaned, columns).join(stored, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
-    parts.append(save_processed(row_features(cleaned, credit), target, "transactions"))
+    keyed = row_keys(cleaned)
+    keyed = store(unknown_rows(keyed, parts) if parts else keyed, "new-rows")
+    parts.append(save_processed(row_features(keyed.drop(*KEYS), credit), target, "transactions"))
+    keyed.select(*KEYS).write.parquet(keys_path(parts[-1]))
     spark.createDataFrame(list(enumerate(parts)), "number int, path string").coalesce(1).write.parquet(f"{target}/{PARTS}")
     rows = read_version(spark, base, version)
     if "TransactionAmount" in rows.columns:

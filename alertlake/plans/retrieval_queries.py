@@ -1,15 +1,15 @@
-"""Registered queries of vectors, retrieval, contexts and prompts. Questions are the mean vectors of all labels."""
+"""Registered queries of vectors, retrieval, contexts and prompts. Questions are all vectors whose id is divisible by 100."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import PROMPTS
 from alertlake.functions.vectors import byte_sum, dot, hash_embedding
+from alertlake.operators import cells as C
 from alertlake.operators import drift
 from alertlake.operators import retrieval as R
+from alertlake.operators import text_search as X
 from alertlake.plans import jobs
 from alertlake.plans.catalog import query
 from alertlake.plans.views import order_summaries, table, txn_events
@@ -18,8 +18,6 @@ from alertlake.operators.summary import daily_summaries
 from alertlake.sources import sinks
 from alertlake.workspace import new_folder, store
 
-DIMENSIONS = 64
-
 
 def documents(spark, folder):
     """Every document with text and metadata, and one of the vectors: there are fewer vectors, which repeat in the order of the ids."""
@@ -36,15 +34,15 @@ def documents(spark, folder):
 
 
 def questions(spark, folder):
-    """One question per label: the mean of its vectors, a place, a second place and a period."""
-    mean = vector_to_array(Summarizer.mean(array_to_vector("embedding")))
-    place = F.when(F.col("label") % 2 == 0, "en").otherwise("de")
-    other = F.when(F.col("label") % 3 == 0, "fr").otherwise("es")
-    start = F.date_add(F.lit("2024-01-01").cast("date"), F.col("label"))
-    return table(spark, folder, "embeddings").groupBy("label").agg(mean.alias("embedding")).select(
-        F.col("label").cast("string").alias("query_id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("query"),
+    """Every vector whose id is divisible by 100 as a question, with a place, a second place and a period."""
+    number = F.expr("vec_id div 100")
+    place = F.when(number % 2 == 0, "en").otherwise("de")
+    other = F.when(number % 3 == 0, "fr").otherwise("es")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (number % 20).cast("int"))
+    return table(spark, folder, "embeddings").where(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").cast("string").alias("query_id"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("query"),
         "embedding", place.alias("branch"), other.alias("compare_with"), start.alias("start_date"), F.date_add(start, 10).alias("end_date"),
-        F.element_at(F.array(*[F.lit(k) for k in ("general", "branch", "fraud", "comparison", "trend")]), F.col("label") % 5 + 1).alias("alert_type"),
+        F.element_at(F.array(*[F.lit(k) for k in ("general", "branch", "fraud", "comparison", "trend")]), (number % 5).cast("int") + 1).alias("alert_type"),
         F.lit("last month").alias("timeframe"))
 
 
@@ -54,14 +52,11 @@ DOCUMENTS = """(
            source, n_chars, label
     FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT max(vec_id) + 1 FROM embeddings))"""
 QUESTIONS = """(
-    SELECT CAST(label AS VARCHAR) AS query_id, 'label ' || label AS query, embedding,
-           CASE WHEN label % 2 = 0 THEN 'en' ELSE 'de' END AS branch, CASE WHEN label % 3 = 0 THEN 'fr' ELSE 'es' END AS compare_with,
-           CAST(DATE '2024-01-01' + label AS DATE) AS start_date, CAST(DATE '2024-01-01' + label + 10 AS DATE) AS end_date,
-           label % 5 AS kind
-    FROM (SELECT label, list(m ORDER BY i) AS embedding FROM (
-              SELECT label, i, AVG(v) AS m FROM (
-                  SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)
-              GROUP BY label, i) GROUP BY label))"""
+    SELECT CAST(vec_id AS VARCHAR) AS query_id, 'vector ' || vec_id AS query, CAST(embedding AS DOUBLE[]) AS embedding,
+           CASE WHEN n % 2 = 0 THEN 'en' ELSE 'de' END AS branch, CASE WHEN n % 3 = 0 THEN 'fr' ELSE 'es' END AS compare_with,
+           CAST(DATE '2024-01-01' + CAST(n % 20 AS INTEGER) AS DATE) AS start_date, CAST(DATE '2024-01-01' + CAST(n % 20 AS INTEGER) + 10 AS DATE) AS end_date,
+           n % 5 AS kind
+    FROM (SELECT *, vec_id // 100 AS n FROM embeddings WHERE vec_id % 100 = 0))"""
 
 
 def hits_sql(k, where="true", side="branch", only="true"):
@@ -188,16 +183,52 @@ def knn_l2(spark, folder):
     return hit_rows(hits).drop("collection")
 
 
-@query("knn_lsh", f"SELECT query_id, TRUE AS recalled FROM {QUESTIONS} q")
+@query("knn_lsh", f"""
+    SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(distance, 5) AS distance FROM (
+        SELECT q.query_id, d.id, list_cosine_distance(q.embedding, d.embedding) AS distance, ROW_NUMBER() OVER (PARTITION BY q.query_id
+               ORDER BY round(list_cosine_distance(q.embedding, d.embedding), 9), d.id) AS rank FROM {QUESTIONS} q, {DOCUMENTS} d)
+    WHERE rank <= 5""")
 def knn_lsh(spark, folder):
-    """Approximate search among documents that share a projection bucket with the question: whether it finds at least four of five."""
-    asked, known = questions(spark, folder).select("query_id", "embedding"), documents(spark, folder).drop("collection")
-    exact = R.nearest(asked, known).select("query_id", "distance", "rank")
-    near = R.nearest_hashed(asked, known, DIMENSIONS).select("query_id", "distance", "rank")
-    # Documents may share a vector, so the distances at each rank are compared, not the ids.
-    hit = exact.alias("e").join(near.alias("n"), (F.col("e.query_id") == F.col("n.query_id")) & (F.col("e.rank") == F.col("n.rank"))
-                                & (F.abs(F.col("e.distance") - F.col("n.distance")) < 1e-6), "left")
-    return hit.groupBy(F.col("e.query_id").alias("query_id")).agg((F.avg(F.col("n.rank").isNotNull().cast("int")) >= 0.8).alias("recalled"))
+    """Hits from cells: documents are written by their nearest centroid, and a question reads the cells that can hold one of its five nearest."""
+    index = C.build_cells(documents(spark, folder).select("id", "embedding"), new_folder(spark, "cells"))
+    hits = C.search_cells(spark, index, questions(spark, folder).select("query_id", "embedding")).hits
+    return hits.select("query_id", "id", "rank", F.round("distance", 5).alias("distance"))
+
+
+WEIGHTS = f"""
+    WITH c AS (SELECT doc_id, word, COUNT(*) AS n FROM {WORDS} WHERE word <> '' GROUP BY 1, 2),
+         d AS (SELECT word, COUNT(*) AS d FROM c GROUP BY 1),
+         x AS (SELECT doc_id, word, n * ln(((SELECT COUNT(*) FROM documents) + 1) / (d + 1)) AS x FROM c JOIN d USING (word)),
+         l AS (SELECT doc_id, sqrt(SUM(x * x)) AS l FROM x GROUP BY 1),
+         w AS (SELECT doc_id, word, x / l AS w FROM x JOIN l USING (doc_id) WHERE l > 0),
+         s AS (SELECT q.doc_id AS query_id, t.doc_id AS id, round(SUM(q.w * t.w), 9) AS score FROM w q JOIN w t USING (word) WHERE q.doc_id % 100 = 0 GROUP BY 1, 2),
+         r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank FROM s WHERE score > 0)"""
+
+
+def text_questions(spark, folder):
+    """The whole texts of documents whose id is divisible by 100."""
+    docs = table(spark, folder, "documents")
+    return docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"), docs.select(F.col("doc_id").alias("id"), "text")
+
+
+@query("knn_text", f"""{WEIGHTS} SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(id AS VARCHAR) AS id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score
+    FROM r WHERE rank <= 5""")
+def knn_text(spark, folder):
+    """The five documents most similar to each text question by term weights, itself included."""
+    return X.nearest_texts(*text_questions(spark, folder)).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+
+
+@query("ctx_text", f"""{WEIGHTS}, t AS (SELECT query_id, list(substring(text, 1, 2000) ORDER BY rank) AS texts FROM r JOIN documents ON doc_id = id
+        WHERE rank <= 5 AND regexp_matches(text, '\S') GROUP BY 1)
+    SELECT CAST(doc_id AS VARCHAR) AS query_id, '### RETRIEVED CONTEXT:' || chr(10) || chr(10) || {{NUMBERED}} || chr(10) || chr(10) AS context
+    FROM (SELECT doc_id, COALESCE(texts, ['{R.NOTHING_FOUND}']) AS texts FROM documents LEFT JOIN t ON query_id = doc_id WHERE doc_id % 100 = 0)""".replace(
+        "{NUMBERED}", "array_to_string(list_transform(range(1, len(texts) + 1), lambda i: 'Document ' || i || ':' || chr(10) || texts[i]), chr(10) || chr(10))"))
+def ctx_text(spark, folder):
+    """The context of every text question."""
+    asked, docs = text_questions(spark, folder)
+    hits = X.nearest_texts(asked, docs).withColumn("collection", F.lit(R.COLLECTIONS[0]))
+    found = R.retrieved_texts(asked.select(F.col("query_id").cast("string").alias("query_id")), R.with_documents(hits, docs))
+    return found.select("query_id", R.query_context(F.col("texts")).alias("context"))
 
 
 PLACE = "d.location = q.branch"

@@ -174,3 +174,19 @@ def ingest_twice(spark, folder):
                              F.max(F.when(F.col("type") == "general_insight", F.col("anomaly.count"))).alias("judged"))
     parts = len(jobs.version_parts(spark, root, "v2.0.0"))
     return seen.select("rows", "large", days.alias("days"), judged.select("judged").scalar().alias("judged"), judged.select("runs").scalar().alias("runs"), F.lit(parts).alias("parts"))
+
+
+@query("ingest_sparse", """
+    SELECT o_orderpriority AS value, COUNT(*) AS described, COUNT(*) AS on_device FROM orders GROUP BY 1""")
+def ingest_sparse(spark, folder):
+    """Orders with a value in one column, then the same orders with it in the next, which are other rows, and the first ones again."""
+    rows, root = txn_orders(spark, folder), new_folder(spark, "ingest-sparse")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("TransactionID"), F.col("o_orderpriority").alias("value"))
+    rows = rows.select(F.col("TransactionID").cast("string").alias("TransactionID"), "TransactionDate", "TransactionAmount", "Location").join(orders, "TransactionID")
+    empty = F.lit(None).cast("string")
+    first = rows.withColumns({"Description": F.col("value"), "DeviceID": empty}).drop("value")
+    other = rows.withColumns({"Description": empty, "DeviceID": F.col("value")}).drop("value")
+    jobs.ingest(None, first, root, "v1.0.0", "20240130000000", CREDIT)
+    done = jobs.ingest("v1.0.0", other.unionByName(first), root, "v2.0.0", RUN_ID, CREDIT)
+    return done.transactions.groupBy(F.coalesce("Description", "DeviceID").alias("value")).agg(
+        F.count("Description").alias("described"), F.count("DeviceID").alias("on_device"))
