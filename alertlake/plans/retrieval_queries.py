@@ -10,6 +10,7 @@ from alertlake.operators import cells as C
 from alertlake.operators import drift
 from alertlake.operators import retrieval as R
 from alertlake.operators import text_search as X
+from alertlake.operators import text_vectors as V
 from alertlake.plans import jobs
 from alertlake.plans.catalog import query
 from alertlake.plans.views import order_summaries, table, txn_events
@@ -231,6 +232,16 @@ def ctx_text(spark, folder):
     return found.select("query_id", R.query_context(F.col("texts")).alias("context"))
 
 
+@query("knn_text_dense")
+def knn_text_dense(spark, folder):
+    """The five texts nearest to each text question by dense vectors of all texts, found through cells."""
+    asked, docs = text_questions(spark, folder)
+    vectors = store(V.text_vectors(X.text_index(docs)[0]), "dense")
+    index = C.build_cells(vectors, new_folder(spark, "dense-cells"))
+    questions_ = vectors.join(asked.select(F.col("query_id").cast("string").alias("id")), "id").withColumnRenamed("id", "query_id")
+    return C.search_cells(spark, index, questions_).hits.select("query_id", "id", "rank", F.round("distance", 3).alias("distance"))
+
+
 PLACE = "d.location = q.branch"
 PERIOD = "d.date BETWEEN q.start_date AND q.end_date"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from alertlake.operators import cells as C
 from alertlake.operators import retrieval as R
 from alertlake.operators import text_search as X
+from alertlake.operators import text_vectors as V
 from alertlake.plans import jobs
 from alertlake.workspace import new_folder
 
@@ -132,6 +133,29 @@ def test_text_questions_without_documents(spark):
     assert X.nearest_texts(asked.limit(0), spark.createDataFrame([("d", "word")], "id string, text string")).collect() == []
 
 
+@pytest.mark.parametrize("documents", [2048, 9])
+def test_text_vectors_span_the_leading_directions(spark, documents):
+    """Against NumPy's decomposition of the whole matrix: singular values, and dot products of the best approximation."""
+    rng = random.Random(3)
+    topics = [[f"t{k}w{i}" for i in range(25)] for k in range(6)]
+    texts = [" ".join(rng.choice(topics[i % 6]) if rng.random() < 0.9 else rng.choice(topics[rng.randint(0, 5)]) for _ in range(rng.randint(10, 50))) for i in range(120)]
+    texts += ["", None]
+    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string").repartition(3)
+    index, _, _ = X.text_index(frame, shard_documents=documents)
+    found = {r["id"]: r["embedding"] for r in V.text_vectors(index, 6, iterations=3).collect()}
+    assert len(found) == len(texts) and not np.any(found["120"]) and not np.any(found["121"])
+    weights = R.term_weights(frame, "id").collect()
+    words = {w: i for i, w in enumerate(sorted({r["word"] for r in weights}))}
+    matrix = np.zeros((len(texts), len(words)))
+    for r in weights:
+        matrix[int(r["id"]), words[r["word"]]] = r["weight"]
+    u, s, _ = np.linalg.svd(matrix, full_matrices=False)
+    got = np.array([found[str(i)] for i in range(len(texts))], np.float64)
+    assert np.allclose(np.linalg.norm(got, axis=0), s[:6], rtol=2e-3)
+    best = u[:, :6] * s[:6]
+    assert np.abs(got @ got.T - best @ best.T).max() < 0.02
+
+
 # ---- ingest
 
 ROWS = "TransactionID string, TransactionDate string, TransactionAmount double, Location string, Description string, DeviceID string"
