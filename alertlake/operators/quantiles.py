@@ -19,15 +19,15 @@ RANGES_PER_OCTAVE = 32
 NARROWING_PASSES = 2
 
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], below: int = 0) -> DataFrame:
     """One row with a column per entry of ``wanted`` = {alias: (column, probability)}; NULL and NaN are skipped.
 
-    Runs a job per pass at once. What comes to the driver are two bounds for each of the two ranks of a quantile.
+    ``below`` says how many more values there are, all known to be less than those of ``df``; the wanted ranks must lie in ``df``. Runs a job per pass at once. What comes to the driver are two bounds for each of the two ranks of a quantile.
     """
     columns = sorted({column for column, _ in wanted.values()})
     # Two ranks per wanted quantile: the neighbours between which it is interpolated.
     orders = [(alias, side, columns.index(column), float(p)) for alias, (column, p) in wanted.items() for side in (0, 1)]
-    targets = _first_pass(df, columns, orders)
+    targets = _first_pass(df, columns, orders, below)
     for last in (False,) * NARROWING_PASSES + (True,):
         if any(t["low"] < t["high"] for t in targets):
             targets = _pass(df, columns, targets, last)
@@ -59,7 +59,7 @@ def _even_range(v: Column, low: Column, high: Column) -> Column:
     return F.when(width > 0, F.least(F.floor((v - low) / width * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0).cast("bigint"))
 
 
-def _first_pass(df: DataFrame, columns: list[str], orders: list[tuple]) -> list[dict]:
+def _first_pass(df: DataFrame, columns: list[str], orders: list[tuple], below: int = 0) -> list[dict]:
     """The logarithmic range that holds each wanted rank."""
     values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), _number(c).alias("v")) for i, c in enumerate(columns)])).alias("e"))
     histogram = values.select("e.*").where(F.col("v").isNotNull()).groupBy("t", _log_range(F.col("v")).alias("r")).agg(
@@ -67,7 +67,7 @@ def _first_pass(df: DataFrame, columns: list[str], orders: list[tuple]) -> list[
     of_column = Window.partitionBy("t")
     asked = F.array(*[F.struct(F.lit(alias).alias("alias"), F.lit(side).alias("side"), F.lit(c).alias("c"), F.lit(p).alias("p"))
                       for alias, side, c, p in orders])
-    position = F.col("o.p") * (F.col("total") - 1)
+    position = F.col("o.p") * (F.col("total") + (below - 1)) - below
     ranked = (histogram.withColumn("total", F.sum("n").over(of_column))
               .withColumn("below", F.sum("n").over(of_column.orderBy("r")) - F.col("n"))
               .withColumn("o", F.explode(asked)).where(F.col("o.c") == F.col("t"))

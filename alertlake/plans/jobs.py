@@ -12,12 +12,13 @@ from alertlake.functions.text import summary_metadata, summary_text, transaction
 from alertlake.functions.vectors import hash_embedding
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
+from alertlake.operators import history as H
 from alertlake.operators.clean import backfill_fraud_flag, backfill_ids, clean, standardise
 from alertlake.operators.features import LARGE_QUANTILE, row_features
 from alertlake.operators.quantiles import quantiles
 from alertlake.operators.summary import daily_summaries
 from alertlake.schema import DATE_COLUMNS, existing, pick, quoted
-from alertlake.sources.readers import LIMIT_PREFIX, read_datasets, read_transactions_csv, with_large_flag
+from alertlake.sources.readers import LIMIT_PREFIX, list_files, read_datasets, read_transactions_csv, with_large_flag
 from alertlake.sources.sinks import new_only, save_alerts, save_embeddings, save_processed
 from alertlake.workspace import read_or_empty, store
 
@@ -143,17 +144,49 @@ def ingest(existing: DataFrame | str | None, new: DataFrame, folder: str, versio
     parts.append(save_processed(row_features(keyed.drop(*KEYS), credit), target, "transactions"))
     keyed.select(*KEYS).write.parquet(keys_path(parts[-1]))
     spark.createDataFrame(list(enumerate(parts)), "number int, path string").coalesce(1).write.parquet(f"{target}/{PARTS}")
-    rows = read_version(spark, base, version)
-    if "TransactionAmount" in rows.columns:
-        save_limit(rows, target, "transactions")
-        rows = read_version(spark, base, version)
-    save_processed(daily_summaries(rows), target, "branch_summaries")
+    rows = sum_up(spark, base, version, existing if isinstance(existing, str) else None, parts)
     alerts = upload_alerts(backfill_ids(new, order) if order else new, run_id, limits)
     save_alerts(alerts, f"{base}/alerts")
     saved = spark.read.schema(alerts.schema).json(f"{base}/alerts").where(F.col("run_id") == run_id)
     return Ingest(rows, spark.read.parquet(f"{target}/branch_summaries.parquet"), saved)
 
 
+STATES = "daily_states.parquet"
+
+
+def sum_up(spark: SparkSession, base: str, version: str, before: str | None, parts: list[str]) -> DataFrame:
+    """Write the limit of large amounts and the daily summaries of a version whose last part is new; returns the version's rows.
+
+    States and tails of the parts are merged, and only the new part's rows are read. All rows are read if the columns for branch and day
+    have changed since, if the version before has no states, or if the limit lies below the tails.
+    """
+    target, rows = f"{base}/version={version}", read_version(spark, base, version)
+    branch, day = pick(rows, "Location", "BranchID"), pick(rows, *DATE_COLUMNS)
+    if branch is None or day is None or "TransactionAmount" not in rows.columns:
+        raise ValueError("summaries need a branch, a date and an amount")
+    new = spark.read.parquet(parts[-1])
+    lacking = {c: F.lit(None).cast(rows.schema[c].dataType) for c in (branch, day, "TransactionAmount") if c not in new.columns}
+    new = new.withColumns(lacking)
+    H.save_part(new, parts[-1], branch, day)
+    held = before is None or bool(list_files(spark, f"{base}/version={before}", STATES))
+    found = None
+    if held and H.part_columns(spark, parts) == {(branch, day)}:
+        earlier = [] if before is None else [spark.read.parquet(f"{base}/version={before}/{STATES}")]
+        H.merge_states([*earlier, H.daily_states(new, branch, day)]).write.parquet(f"{target}/{STATES}")
+        found = H.tail_limit(spark, parts, LARGE_QUANTILE)
+    if found is None:
+        save_limit(rows, target, "transactions")
+        rows = read_version(spark, base, version)
+        save_processed(daily_summaries(rows), target, "branch_summaries")
+        return rows
+    limit, tails = found
+    limit.write.parquet(f"{target}/{LIMIT_PREFIX}transactions.parquet")
+    rows = read_version(spark, base, version)
+    large = H.large_counts(tails, spark.read.schema("limit double").parquet(f"{target}/{LIMIT_PREFIX}transactions.parquet").scalar())
+    save_processed(H.summaries_of(spark.read.parquet(f"{target}/{STATES}"), large), target, "branch_summaries")
+    return rows
+
+
 def embedding_rows(transactions: DataFrame, summaries: DataFrame) -> DataFrame:
     """Text and metadata of both collections, without vectors."""
     rows = transactions.select(

@@ -190,3 +190,19 @@ def ingest_sparse(spark, folder):
     done = jobs.ingest("v1.0.0", other.unionByName(first), root, "v2.0.0", RUN_ID, CREDIT)
     return done.transactions.groupBy(F.coalesce("Description", "DeviceID").alias("value")).agg(
         F.count("Description").alias("described"), F.count("DeviceID").alias("on_device"))
+
+
+@query("ingest_summaries", f"""
+    SELECT Location, CAST(TransactionDate AS DATE) AS Date, COUNT(*) AS TransactionCount, round(SUM(TransactionAmount), 2) AS TotalAmount,
+           CAST(round(stddev_samp(TransactionAmount), 1) AS FLOAT) AS AmountStdDev,
+           CAST(COUNT(*) FILTER (WHERE TransactionAmount > (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)) AS BIGINT) AS LargeTransactionCount
+    FROM {TXN_ORDERS} GROUP BY 1, 2""")
+def ingest_summaries(spark, folder):
+    """Daily summaries of three versions of growing data, merged from what each part keeps beside its rows."""
+    rows, root = txn_orders(spark, folder), new_folder(spark, "ingest-summaries")
+    parts = [rows.where(F.pmod(F.xxhash64("TransactionID"), F.lit(3)) == i) for i in range(3)]
+    done = None
+    for i, part in enumerate(parts):
+        done = jobs.ingest(f"v{i}.0.0" if i else None, part, root, f"v{i + 1}.0.0", f"2024013000000{i}", CREDIT)
+    return done.summaries.select("Location", "Date", "TransactionCount", F.round("TotalAmount", 2).alias("TotalAmount"),
+                                 F.round("AmountStdDev", 1).cast("float").alias("AmountStdDev"), "LargeTransactionCount")
