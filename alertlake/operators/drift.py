@@ -93,8 +93,9 @@ def sample(df: DataFrame, size: int = SAMPLE_LIMIT, seed: int = 0, key: str = "i
 
 
 def save_sample(df: DataFrame, path: str, taken: str, size: int = SAMPLE_LIMIT, key: str = "id") -> None:
-    """Keep a sample under the time it was taken."""
-    sample(df, size, key=key).withColumn("taken", F.lit(taken)).write.mode("append").partitionBy("taken").parquet(path)
+    """Keep a sample under the time it was taken. One that is saved again replaces itself and no other."""
+    kept = sample(df, size, key=key).withColumn("taken", F.lit(taken))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("taken").parquet(path)
 
 
 def load_sample(spark: SparkSession, path: str) -> DataFrame:

@@ -121,7 +121,7 @@ def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Log lines of one kind with their time parsed; an absent folder gives an empty frame with the same columns."""
     schema = LOG_SCHEMAS[kind]
     lines = read_or_empty(spark, lambda: spark.read.schema(schema).json(path), schema)
-    return lines.withColumn("timestamp", parse_time(F.col("timestamp")))
+    return lines.drop("run_id").withColumn("timestamp", parse_time(F.col("timestamp")))
 
 
 def latest_run(alerts: DataFrame) -> DataFrame:

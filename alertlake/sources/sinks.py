@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from alertlake.schema import LOG_SCHEMAS
 
 
-def append_log(df: DataFrame, path: str, kind: str) -> None:
+def append_log(df: DataFrame, path: str, kind: str, run_id: str | None = None) -> None:
     """Append log records of one kind as JSON lines, one folder per day.
 
-    Rebalancing by day keeps each day in few files of even size; adaptive execution splits a day that is much larger.
+    With ``run_id`` they go to the run's folder of each day; a run that is repeated replaces its own lines, so a job that is started again
+    doesn't log twice. A log takes lines with runs or lines without, not both. Rebalancing by day keeps each day in few files of even size; adaptive execution splits a day that is much larger.
     """
     fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
               for f in LOG_SCHEMAS[kind].fields if f.name != "timestamp"]
     text = F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
     lines = df.select(text, *fields, F.to_date("timestamp").alias("log_date"))
-    lines.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").json(path)
+    if run_id is None:
+        lines.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").json(path)
+        return
+    lines = lines.withColumn("run_id", F.lit(run_id)).hint("rebalance", "log_date")
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "run_id").json(path)
 
 
 def usage_records(df: DataFrame) -> DataFrame:

@@ -79,3 +79,11 @@ def test_all_checks_and_samples(spark, sides):
     latest = M.load_sample(spark, path)
     assert latest.count() == 10 and latest.agg(F.min("id")).first()[0] >= 100
     assert sorted(r["id"] for r in M.sample(frames[0], 7).collect()) == sorted(r["id"] for r in M.sample(frames[0].repartition(5), 7).collect())
+
+
+def test_a_repeated_sample_replaces_itself(spark):
+    path = new_folder(spark, "test-sample")
+    rows = spark.range(100)
+    for day in ("2024-01-01", "2024-01-02", "2024-01-02"):
+        M.save_sample(rows, path, day, 10)
+    assert M.load_sample(spark, path).count() == 10 and spark.read.parquet(path).count() == 20

@@ -158,3 +158,14 @@ def test_shared_folder(spark):
     assert new_folder(spark, "x").startswith(shared_root(spark))
     kept = store(spark.range(3), "numbers")
     assert kept.count() == 3 and "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_repeated_log_run_replaces_its_lines(spark):
+    folder = new_folder(spark, "test-log-runs")
+    rows = spark.createDataFrame([("2024-01-01 10:00:00", "q1", 10, 5), ("2024-01-02 10:00:00", "q2", 1, 2)],
+                                 "timestamp string, query_id string, tokens_prompt long, tokens_completion long").withColumn("timestamp", F.to_timestamp("timestamp"))
+    for run in ("1", "2", "1"):
+        sinks.append_log(sinks.usage_records(rows), f"{folder}/usage", "usage", run)
+    found = R.read_log(spark, f"{folder}/usage", "usage")
+    assert found.count() == 4 and "run_id" not in found.columns
+    assert found.agg(F.sum("tokens_total")).first()[0] == 36
