@@ -220,7 +220,7 @@ def knn_text(spark, folder):
 
 
 @query("ctx_text", f"""{WEIGHTS}, t AS (SELECT query_id, list(substring(text, 1, 2000) ORDER BY rank) AS texts FROM r JOIN documents ON doc_id = id
-        WHERE rank <= 5 AND regexp_matches(text, '\S') GROUP BY 1)
+        WHERE rank <= 5 AND regexp_matches(text, '\\S') GROUP BY 1)
     SELECT CAST(doc_id AS VARCHAR) AS query_id, '### RETRIEVED CONTEXT:' || chr(10) || chr(10) || {{NUMBERED}} || chr(10) || chr(10) AS context
     FROM (SELECT doc_id, COALESCE(texts, ['{R.NOTHING_FOUND}']) AS texts FROM documents LEFT JOIN t ON query_id = doc_id WHERE doc_id % 100 = 0)""".replace(
         "{NUMBERED}", "array_to_string(list_transform(range(1, len(texts) + 1), lambda i: 'Document ' || i || ':' || chr(10) || texts[i]), chr(10) || chr(10))"))
