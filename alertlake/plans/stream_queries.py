@@ -1,4 +1,4 @@
-"""Registered queries of the streams. The tables are written as files in time order and streamed file by file."""
+"""Registered queries of the streams. The tables are written as files in order of time or of arrival and streamed file by file."""
 
 from __future__ import annotations
 
@@ -103,3 +103,60 @@ def stream_sliding_counts(spark, folder):
     finish(spark, folder, lambda: S.sliding_count_stream(S.file_stream(spark, f"{root}/in", schema, "parquet"), f"{root}/out", f"{root}/checkpoint"))
     counts = S.latest(spark, f"{root}/out", ["window_start"]).where(F.col("alert_count") > 340)
     return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "alert_count")
+
+
+JITTER = 6 * 3600
+
+
+def in_arrival_order(df, ts, path, files=2):
+    """The rows in thirds of their *arrival*: their time and up to six hours more. A write per third, of ``files`` files each."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    arrival = us + F.pmod(F.col("TransactionID").cast("bigint") * 7919, F.lit(JITTER)) * 1000000
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    step = (high - low) // FILES
+    third = F.least(F.floor((arrival - low) / step), F.lit(FILES - 1))
+    for i in range(FILES):
+        part = df.where(third == i).withColumn(ts, F.col(ts).cast("timestamp"))
+        part.repartition(files).write.mode("append").parquet(path)
+    return part.schema
+
+
+@query("stream_velocity_unordered", f"SELECT TransactionID, CustomerID, CAST(round(gap * 6e7) AS BIGINT) AS gap_micros FROM {GAPS} WHERE gap < 5")
+def stream_velocity_unordered(spark, folder):
+    """Transactions that arrive up to six hours after their time, file by file."""
+    root = new_folder(spark, "unordered-stream")
+    rows = txn_events(spark, folder).select("CustomerID", "TransactionID", "TransactionDate")
+    schema = in_arrival_order(rows, "TransactionDate", f"{root}/in")
+    stream = S.file_stream(spark, f"{root}/in", schema, "parquet", files_per_batch=2)
+    finish(spark, folder, lambda: S.unordered_velocity_stream(stream, f"{root}/out", f"{root}/checkpoint", late="6 hours"))
+    return S.velocity_found(spark, f"{root}/out", late="6 hours").select("TransactionID", "CustomerID", "gap_micros")
+
+
+@query("stream_late_rows", f"""
+    WITH r AS (SELECT MIN(epoch_us(ts)) AS low, (MAX(epoch_us(ts)) - MIN(epoch_us(ts))) // 3 AS step FROM events),
+    t AS (SELECT TransactionID, TransactionAmount, epoch_us(TransactionDate) AS us, TransactionDate,
+                 least((epoch_us(TransactionDate) + (CAST(TransactionID AS BIGINT) * 7919) % {JITTER} * 1000000 - low) // step, 2) AS part
+          FROM {TXN_EVENTS}, r),
+    m AS (SELECT part, MAX(MAX(us)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM t GROUP BY 1),
+    j AS (SELECT t.*, COALESCE(us < newest - 3600000000, FALSE) AS late FROM t JOIN m USING (part))
+    SELECT 'window' AS kind, CAST(date_trunc('day', TransactionDate) AS TIMESTAMP) AS window_start, COUNT(*) AS records,
+           CAST(round(SUM(TransactionAmount), 2) AS DOUBLE) AS amount FROM j WHERE NOT late GROUP BY 2
+    UNION ALL SELECT 'late', NULL, COUNT(*), round(SUM(TransactionAmount), 2) FROM j WHERE late
+    UNION ALL SELECT 'all', NULL, COUNT(*), round(SUM(TransactionAmount), 2) FROM j""")
+def stream_late_rows(spark, folder):
+    """Daily totals of rows that come up to six hours late where one hour is allowed: rows counted and rows late are all rows."""
+    root = new_folder(spark, "late-stream")
+    rows = txn_events(spark, folder).select("TransactionID", "TransactionAmount", F.col("TransactionDate").alias("timestamp"))
+    schema = in_arrival_order(rows, "timestamp", f"{root}/in")
+    stream = S.file_stream(spark, f"{root}/in", schema, "parquet", files_per_batch=2)
+    finish(spark, folder, lambda: S.counted_window_stream(stream, ["TransactionAmount"], f"{root}/out", f"{root}/checkpoint"))
+    days = S.window_totals(spark, f"{root}/out").select(
+        F.lit("window").alias("kind"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), "records",
+        (F.col("average_TransactionAmount") * F.col("records")).alias("amount"))
+    late = S.late_rows(spark, f"{root}/out").agg(F.count(F.lit(1)).alias("records"), F.sum("TransactionAmount").alias("amount"))
+    both = days.drop("kind", "window_start").unionByName(late).agg(F.sum("records").alias("records"), F.sum("amount").alias("amount"))
+    blank = F.lit(None).cast("timestamp_ntz")
+    told = S.clock(spark, f"{root}/out").agg(F.sum("rows").alias("rows"))
+    both = both.join(told, F.col("records") == F.col("rows")).select("records", "amount")  # a row only if they agree
+    rest = [df.select(F.lit(kind).alias("kind"), blank.alias("window_start"), "records", "amount") for kind, df in (("late", late), ("all", both))]
+    return days.unionByName(rest[0]).unionByName(rest[1]).withColumn("amount", F.round("amount", 2))

@@ -169,3 +169,59 @@ def test_a_repeated_log_run_replaces_its_lines(spark):
     found = R.read_log(spark, f"{folder}/usage", "usage")
     assert found.count() == 4 and "run_id" not in found.columns
     assert found.agg(F.sum("tokens_total")).first()[0] == 36
+
+
+STREAM_ROW = "CustomerID string, TransactionID string, TransactionDate timestamp"
+
+
+def put_batches(spark, folder, batches):
+    base = dt.datetime(2024, 1, 1, 9, 58)
+    for rows in batches:
+        spark.createDataFrame([(c, i, None if m is None else base + dt.timedelta(minutes=m)) for c, i, m in rows], STREAM_ROW) \
+            .coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return S.file_stream(spark, f"{folder}/in", STREAM_ROW, "parquet")
+
+
+UNORDERED = [[("a", "3", 4.9), ("b", "2", 1), ("a", "6", 30)], [("a", "1", 21), ("b", "4", 22.5), ("a", "7", 24)],
+             [("a", "5", 25.9), (None, "8", 60), ("a", "late", 3), ("a", "timeless", None)], [("a", "9", 61), ("a", "10", 62)]]
+
+
+def test_velocity_of_rows_out_of_order(spark):
+    folder = new_folder(spark, "test-unordered")
+    stream = put_batches(spark, folder, UNORDERED)
+    S.unordered_velocity_stream(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    in_time = spark.read.parquet(f"{folder}/in").where("TransactionID not in ('late', 'timeless')")
+    expected = sorted(r["TransactionID"] for r in D.rapid_rows(in_time).collect())
+    assert expected == ["10", "5", "6", "7"]
+    assert sorted(r["TransactionID"] for r in S.velocity_found(spark, f"{folder}/out").collect()) == expected
+    assert sorted(r["TransactionID"] for r in S.velocity_found(spark, f"{folder}/out", held=False).collect()) == ["5", "6", "7"]
+    assert sorted(r["TransactionID"] for r in S.late_rows(spark, f"{folder}/out").collect()) == ["late", "timeless"]
+    assert S.clock(spark, f"{folder}/out").agg(F.sum("rows")).first()[0] == 12
+
+
+def test_velocity_goes_on_and_repeats(spark):
+    folder = new_folder(spark, "test-unordered-again")
+    for batches in (UNORDERED[:2], UNORDERED[2:]):  # two starts with one checkpoint
+        stream = put_batches(spark, folder, batches)
+        S.unordered_velocity_stream(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    S.unordered_velocity_stream(stream, f"{folder}/out", f"{folder}/other").awaitTermination()  # all batches once more, same folders
+    found = S.velocity_found(spark, f"{folder}/out")
+    assert sorted(r["TransactionID"] for r in found.collect()) == ["10", "5", "6", "7"]
+    assert found.where("TransactionID = '6'").first()["gap_micros"] == 246_000_000
+
+
+def test_rows_in_are_rows_counted_and_rows_late(spark):
+    folder = new_folder(spark, "test-counted")
+    stream = put_batches(spark, folder, UNORDERED).withColumn("x", F.col("TransactionID").try_cast("int"))
+    S.counted_window_stream(stream, ["x"], f"{folder}/out", f"{folder}/checkpoint", "10 minutes", "5 minutes", "10 minutes", "TransactionDate").awaitTermination()
+    rows = {r["window_start"].strftime("%H:%M"): r for r in S.window_totals(spark, f"{folder}/out").collect()}
+    assert rows["10:20"]["records"] == 4 and rows["10:20"]["average_x"] == (7 + 5 + 6 + 4) / 4
+    assert S.late_rows(spark, f"{folder}/out").count() == 2
+    assert sum(r["records"] for r in rows.values()) == 2 * 10  # two windows hold each row
+
+
+def test_a_stream_of_rows_without_time(spark):
+    folder = new_folder(spark, "test-timeless")
+    stream = put_batches(spark, folder, [[("a", "1", None)], [("a", "2", None)]])
+    S.unordered_velocity_stream(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    assert S.velocity_found(spark, f"{folder}/out").count() == 0 and S.late_rows(spark, f"{folder}/out").count() == 2
