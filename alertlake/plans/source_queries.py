@@ -12,6 +12,7 @@ from alertlake.plans.alert_queries import ANOMALIES, alerts
 from alertlake.plans.catalog import query
 from alertlake.plans.views import (DAILY_ALERT_COUNTS, METRIC_LOGS, ORDER_SUMMARIES, RUN_ID, TXN_EVENTS, daily_alert_counts,
                                    metric_logs, order_summaries, table, txn_events, txn_orders)
+from alertlake.sources import quarantine as Q
 from alertlake.sources import readers as R
 from alertlake.sources import sinks
 from alertlake.workspace import new_folder, store
@@ -42,14 +43,51 @@ def src_mixed_headers(spark, folder):
     return R.read_transactions_csv(spark, path).select("TransactionID", "CustomerID", "TransactionAmount", "Location", "Channel")
 
 
-@query("src_unreadable", "SELECT * FROM (VALUES ('broken')) v(dataset)")
+@query("src_unreadable", """
+    SELECT 'orders' AS dataset, o_orderstatus AS part, COUNT(*) AS records FROM orders GROUP BY 2
+    UNION ALL SELECT 'events', NULL, NULL""")
 def src_unreadable(spark, folder):
-    """Datasets of a folder that cannot be read are told, beside those that can."""
+    """Datasets of a folder that cannot be read are told, beside the rows of those that can."""
     path = new_folder(spark, "unreadable")
-    table(spark, folder, "nation").write.parquet(f"{path}/processed_nation.parquet")
-    table(spark, folder, "region").write.option("header", True).csv(f"{path}/processed_broken.parquet")
+    table(spark, folder, "orders").write.parquet(f"{path}/processed_orders.parquet")
+    table(spark, folder, "events").write.option("header", True).csv(f"{path}/processed_events.parquet")
     found, failed = R.scan_datasets(spark, path, ".parquet")
-    return failed.select("dataset") if sorted(found) == ["nation"] else failed.select("dataset").limit(0)
+    counted = [df.groupBy(F.lit(name).alias("dataset"), F.col("o_orderstatus").alias("part")).agg(F.count(F.lit(1)).alias("records"))
+               for name, df in found.items()]
+    return D.union_all([*counted, failed.select("dataset", F.lit(None).cast("string").alias("part"), F.lit(None).cast("bigint").alias("records"))])
+
+
+ORDER_LINE = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate date, o_orderstatus string"
+
+
+@query("src_quarantine", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN round(o_totalprice, 2) END AS o_totalprice,
+           CASE WHEN o_orderkey % 11 = 0 THEN 'cells' WHEN o_orderkey % 35 = 0 THEN 'o_totalprice,o_orderdate'
+                WHEN o_orderkey % 7 = 0 THEN 'o_totalprice' WHEN o_orderkey % 5 = 0 THEN 'o_orderdate' END AS reason FROM orders""")
+def src_quarantine(spark, folder):
+    """Orders as lines, some with cells that aren't numbers or dates and some cut short: good rows and the quarantine, each row once."""
+    path, key = new_folder(spark, "quarantine"), F.col("o_orderkey")
+    price = F.when(key % 7 == 0, "n/a").otherwise(F.round("o_totalprice", 2).cast("string"))
+    day = F.when(key % 5 == 0, "soon").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    whole = F.concat_ws(",", key, "o_custkey", price, day, "o_orderstatus")
+    lines = F.when(key % 11 == 0, F.concat_ws(",", key, "o_custkey")).otherwise(whole)
+    table(spark, folder, "orders").select(lines.alias("value")).write.text(path)
+    good, broken = Q.sorted_out(spark, path, spark.createDataFrame([], ORDER_LINE).schema, header=False)
+    return good.select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), F.lit(None).cast("string").alias("reason")).unionByName(
+        broken.select(F.split_part("record", F.lit(","), F.lit(1)).cast("bigint").alias("o_orderkey"), F.lit(None).cast("double").alias("o_totalprice"), "reason"))
+
+
+@query("src_broken_files", """
+    SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice, CAST(NULL AS VARCHAR) AS reason FROM orders WHERE o_orderstatus <> 'P'
+    UNION ALL SELECT NULL, NULL, 'footer' FROM (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus = 'P')""")
+def src_broken_files(spark, folder):
+    """A folder in which one file isn't what its place says: the rows of the whole files, and the broken file."""
+    path, orders = new_folder(spark, "broken"), table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    orders.where("o_orderstatus <> 'P'").write.parquet(path)
+    orders.where("o_orderstatus = 'P'").groupBy("o_orderstatus").count().coalesce(1).write.mode("append").csv(path)
+    rows, broken = Q.read_whole_files(spark, path, orders.schema, store(Q.checked_files(spark, path, orders.schema), "checked-files"))
+    return rows.select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), F.lit(None).cast("string").alias("reason")).unionByName(
+        broken.select(F.lit(None).cast("bigint").alias("o_orderkey"), F.lit(None).cast("double").alias("o_totalprice"), "reason"))
 
 
 @query("src_dataset_catalog", f"""

@@ -9,6 +9,7 @@ from alertlake.operators import detectors as D
 from alertlake.operators import versions as V
 from alertlake.operators.clean import clean
 from alertlake.plans.jobs import alert_run, analyze_csv, ingest, process_datasets, refresh, upload_alerts
+from alertlake.sources import quarantine as Q
 from alertlake.sources import readers as R
 from alertlake.sources import sinks
 from alertlake.streaming import streams as S
@@ -225,3 +226,44 @@ def test_a_stream_of_rows_without_time(spark):
     stream = put_batches(spark, folder, [[("a", "1", None)], [("a", "2", None)]])
     S.unordered_velocity_stream(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     assert S.velocity_found(spark, f"{folder}/out").count() == 0 and S.late_rows(spark, f"{folder}/out").count() == 2
+
+
+LINE = "id string, amount double, day date"
+
+
+def test_broken_lines_go_to_quarantine(spark):
+    folder = new_folder(spark, "test-quarantine")
+    schema = spark.createDataFrame([], LINE).schema
+    put(spark, folder, "in/a", "id,amount,day\n1,2.5,2024-01-01\n2,x,2024-01-02\n3,4\n4,null,null\n5,y,z\n6,1,2024-01-01,more")
+    put(spark, folder, "in/b", "id,amount,day\n7,3,2024-02-30\n8,3,2024-02-29")
+    good, broken = Q.sorted_out(spark, f"{folder}/in/*", schema)
+    assert dict(good.dtypes) == {"id": "string", "amount": "double", "day": "date"}
+    for columns in (["id"], ["id", "day"], ["id", "amount", "day"]):  # whatever is asked for, the same rows are good
+        assert sorted(r["id"] for r in good.select(*columns).collect()) == ["1", "4", "8"]
+    found = {r["record"].split(",")[0]: r for r in broken.collect()}
+    assert {k: r["reason"] for k, r in found.items()} == {"2": "amount", "3": "cells", "5": "amount,day", "6": "cells", "7": "day"}
+    assert found["3"]["record"] == "3,4" and found["2"]["record"] == "2,x,2024-01-02" and "/in/b" in found["7"]["file"]
+    assert good.count() + broken.count() == 8
+    with pytest.raises(ValueError):
+        Q.sorted_out(spark, f"{folder}/in", spark.createDataFrame([], "file string").schema)
+
+
+def test_files_that_break_while_read(spark):
+    from pathlib import Path
+
+    folder = new_folder(spark, "test-broken-files")
+    rows = spark.range(40_000).withColumn("x", F.xxhash64("id"))
+    rows.repartition(4, "id").write.parquet(folder)
+    files = sorted(Path(folder).glob("part-*.parquet"))
+    lost = spark.read.parquet(str(files[1])).count()
+    middle = bytearray(files[1].read_bytes())
+    middle[len(middle) // 2] ^= 0xFF  # a single byte of a page; its footer stays
+    for file, data in ((files[1], bytes(middle)), (files[2], files[2].read_bytes()[:1000])):
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(data)
+    kept = sum(spark.read.parquet(str(files[i])).count() for i in (0, 3))
+    good, broken = Q.read_whole_files(spark, folder, rows.schema)
+    found = {Path(r["file"]).name: r for r in broken.collect()}
+    assert {k: r["reason"] for k, r in found.items()} == {files[1].name: "pages", files[2].name: "footer"}
+    assert found[files[1].name]["rows_expected"] == lost and found[files[2].name]["bytes"] == 1000
+    assert good.count() == kept and good.where(F.col("x") != F.xxhash64("id")).count() == 0
