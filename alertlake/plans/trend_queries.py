@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from alertlake.functions.scalars import elapsed_minutes
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
+from alertlake.operators import investigation as I
 from alertlake.operators import patterns as P
 from alertlake.operators import summary as S
-from alertlake.operators.skew import DAY, with_previous
+from alertlake.operators.skew import DAY, HOUR, with_previous
 from alertlake.plans import pattern_queries  # noqa: F401  its SQL is used below
 from alertlake.plans.catalog import CATALOG, query
 from alertlake.plans.views import (DAILY_ALERT_COUNTS, TXN_EVENTS, TXN_ORDERS, daily_alert_counts, order_amounts, table,
                                    txn_events, txn_orders)
+from alertlake.workspace import new_folder
 
 MIS = f"""(
     SELECT Location AS branch, CAST(date_trunc('week', TransactionDate) AS DATE) AS week, SUM(TransactionAmount) AS revenue,
@@ -156,7 +158,7 @@ def of_rows(name, sql):
     return f"SELECT TransactionID, '{name}' AS anomaly_type FROM ({sql})"
 
 
-@query("txn_investigate", f"""
+INVESTIGATED = f"""
     WITH tags AS (
         SELECT TransactionID, anomaly_type FROM {RULE_ROWS}
         UNION SELECT TransactionID, 'velocity_anomaly' FROM {GAP_ROWS} WHERE gap < 5
@@ -166,7 +168,10 @@ def of_rows(name, sql):
         UNION {of_rows('long_session', SQL_OF['pat_session'])} UNION {of_rows('cross_border', SQL_OF['pat_cross_border'])}
         UNION {of_rows('takeover', SQL_OF['pat_takeover'])} UNION {of_rows('customer_deviation', SQL_OF['pat_customer_z'])}),
     broken AS (SELECT TransactionID, string_agg(anomaly_type, ',' ORDER BY anomaly_type) AS rules FROM tags GROUP BY 1)
-    SELECT t.TransactionID, t.TransactionAmount, COALESCE(rules, '') AS broken_rules FROM {TXN_EVENTS} t LEFT JOIN broken USING (TransactionID)
+    SELECT t.TransactionID, t.TransactionAmount, COALESCE(rules, '') AS broken_rules FROM {TXN_EVENTS} t LEFT JOIN broken USING (TransactionID)"""
+
+
+@query("txn_investigate", INVESTIGATED + f"""
     WHERE t.TransactionID IN (SELECT TransactionID FROM {GAP_ROWS} WHERE gap < 5)""")
 def txn_investigate(spark, folder):
     """Investigate the transactions that came in rapid succession: the row rules, succession itself, and every pattern."""
@@ -177,6 +182,24 @@ def txn_investigate(spark, folder):
     return found.select("TransactionID", "TransactionAmount", F.array_join("broken_rules", ",").alias("broken_rules"))
 
 
+def looks():
+    """The rules of ``found_patterns`` with the time each of them looks back."""
+    back = {"burst": HOUR, "location_jump": 6 * HOUR, "takeover": 24 * HOUR, "long_session": 0, "cross_border": 0}
+    names = ("night_activity", "burst", "structuring", "round_amounts", "location_jump", "new_account", "long_session", "cross_border",
+             "takeover", "customer_deviation")
+    return {name: I.Look(lambda rows, name=name: found_patterns(rows)[name], back.get(name)) for name in names}
+
+
+@query("txn_investigate_ids", INVESTIGATED + f"""
+    WHERE t.TransactionID IN (SELECT TransactionID FROM {TXN_EVENTS} ORDER BY TransactionAmount DESC, TransactionID LIMIT 20)""")
+def txn_investigate_ids(spark, folder):
+    """Investigate the twenty largest transactions by their ids: each rule reads the rows of their customers it can look back to."""
+    path = I.write_snapshot(txn_events(spark, folder), new_folder(spark, "snapshot"))
+    largest = txn_events(spark, folder).orderBy(F.desc("TransactionAmount"), "TransactionID").select("TransactionID").limit(20)
+    found = I.investigate_ids(spark, path, [r[0] for r in largest.collect()], looks())
+    return found.select("TransactionID", "TransactionAmount", F.array_join("broken_rules", ",").alias("broken_rules"))
+
+
 @query("join_semi_related", f"""
     SELECT TransactionID, CustomerID, Location FROM {TXN_EVENTS} WHERE TransactionID IN (SELECT TransactionID FROM {GAP_ROWS} WHERE gap < 5)""")
 def join_semi_related(spark, folder):
