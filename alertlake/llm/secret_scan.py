@@ -9,6 +9,10 @@ from the upper half of p, and the threshold is the smallest p above which the es
 ``max_false``. Short strings, where the tests have little power, thus need a higher p. The estimate uses every distinct candidate
 of the corpus, counted in bins, so only a small table is gathered. Everything is made of DataFrame functions.
 
+A class with fewer than ``enough`` candidates in the upper half borrows those of the nearest classes until it has enough. What others tell of
+the share of random strings needn't hold for it, so its threshold is then at least ``max_false``: the battery itself must not reject the string
+at that level. Where all classes together have too few and give no threshold, that level alone decides.
+
 Defined cases: a null text is empty and has no span; positions are code points; equal candidates share their p; random spans that
 overlap a span of a known pattern are left out, and known patterns always stay; rows are judged one by one.
 """
@@ -43,6 +47,7 @@ LEAST = 1e-6
 class Battery:
     max_false: float = 0.05
     bins: int = 200
+    enough: int = 10
 
 
 def running_sums(values: Column) -> Column:
@@ -134,17 +139,38 @@ def thresholds(docs: DataFrame, battery: Battery = Battery(), id_col: str = "doc
     for row in counts:
         by_class.setdefault(row["class"], [0] * battery.bins)[row["bin"]] += row["count"]
     found = {}
-    for name, bins in by_class.items():
-        random = 2 * sum(bins[battery.bins // 2 :])
-        left = sum(bins)
-        for i, count in enumerate(bins):
-            if left and random and 1 - random * (1 - i / battery.bins) / left <= battery.max_false:
-                found[name] = i / battery.bins
-                break
-            left -= count
+    for name in by_class:
+        bins, settled = pooled(by_class, name, battery)
+        least = least_p(bins, battery)
+        if bins == by_class[name] and settled:
+            if least is not None:
+                found[name] = least
+        elif least is not None or not settled:
+            found[name] = max(battery.max_false, least or 0.0)
     return found
 
 
+def pooled(by_class: dict[int, list[int]], name: int, battery: Battery) -> tuple[list[int], bool]:
+    """The bins of a class and of as many of its nearest classes as it takes to have enough in the upper half, and whether it has."""
+    bins, half = [0] * battery.bins, battery.bins // 2
+    for distance in range(max(by_class) - min(by_class) + 1):
+        for other in {name - distance, name + distance} & by_class.keys():
+            bins = [a + b for a, b in zip(bins, by_class[other])]
+        if sum(bins[half:]) >= battery.enough:
+            return bins, True
+    return bins, False
+
+
+def least_p(bins: list[int], battery: Battery) -> float | None:
+    """The smallest p above which the estimated share of false discoveries is at most ``max_false``."""
+    random, left = 2 * sum(bins[battery.bins // 2 :]), sum(bins)
+    for i, count in enumerate(bins):
+        if left and random and 1 - random * (1 - i / battery.bins) / left <= battery.max_false:
+            return i / battery.bins
+        left -= count
+    return None
+
+
 def scan(docs: DataFrame, least: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``base`` (spans of the known kinds) and ``random`` (further spans); a span is (start, rank, end, kind)."""
     rows = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
