@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from alertlake.llm.common import id_and_text, slices, with_id
 
+#: Parts of a language whose least hashes are found before those of the whole.
+SALTS = 64
 UNKNOWN = "und"
 
 
@@ -84,9 +86,13 @@ def subwords(texts: list[bytes | None], method: LanguageMethod, letters) -> list
 def training_sample(docs: DataFrame, train: Column, method: LanguageMethod, id_col: str, text_col: str, lang_col: str):
     """(language, buckets, counts) of the sampled texts; bounded by per_language x languages x buckets."""
     known = docs.where(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "chosen"))
-    chosen = (known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("chosen"), F.xxhash64(F.col(id_col)).alias("order"))
-              .withColumn("rank", rank).where(F.col("rank") <= method.per_language).select("chosen").distinct())
+    salted = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("chosen"), F.xxhash64(F.col(id_col)).alias("order"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(SALTS)))
+    # First the least of each salt, then of the language: what meets in one task doesn't grow with the number of tasks before.
+    for parts in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*parts).orderBy("order", "chosen"))
+        salted = salted.withColumn("rank", rank).where(F.col("rank") <= method.per_language).drop("rank")
+    chosen = salted.select("chosen").distinct()
     picked = (id_and_text(known, id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
               .join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi").select("lang", "text"))
 
