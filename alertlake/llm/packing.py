@@ -20,8 +20,19 @@ from pyspark.sql import DataFrame
 from alertlake.llm.common import id_and_text, slices, with_id
 
 END = 1
-CACHED = 300_000
+#: Bytes that one of a worker's memories may take, and the longest key that is remembered.
+CACHED = 64 << 20
+LONGEST = 64
+ENTRY = 200
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: The settings under which a text's ids are those of its words and a word's those of its pieces.
+KNOWN_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None}
 
 
 @dataclass(frozen=True)
@@ -33,17 +44,23 @@ class Window:
 
 
 class Recent(dict):
-    """Found once, then remembered: the latest ``CACHED`` to twice as many entries. ``find`` makes what is missing."""
+    """Found once, then remembered: the latest entries, up to ``CACHED`` bytes with their overhead. ``find`` makes what is missing.
+
+    Long keys are found anew each time; they are rare, and one of them could take more than all others.
+    """
 
     def __init__(self, find):
-        self.find, self.older = find, {}
+        self.find, self.older, self.bytes = find, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.find(key)
-        if len(self) >= CACHED:
-            self.older = dict(self)
+        if len(key) > LONGEST:
+            return value
+        self.bytes += len(key) + len(value) + ENTRY
+        if self.bytes >= CACHED // 2:
+            self.older, self.bytes = dict(self), 0
             self.clear()
         self[key] = value
         return value
@@ -54,16 +71,19 @@ class WordIds:
 
     The tokenizer never joins text over an ASCII blank, so the ids of a text are those of its words. Printable words go piece by
     piece through the vocabulary's merges, which saves building a whole encoding for each; all others through the tokenizer. Both
-    words and pieces are remembered.
+    words and pieces are remembered. A tokenizer with other settings than ``KNOWN_SETTINGS`` gets whole texts instead.
     """
 
     def __init__(self, source: str):
+        import json
         import re
 
         import regex
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(source)
+        settings = json.loads(source)
+        self.by_word = all(settings.get(k) == v for k, v in KNOWN_SETTINGS.items())
         self.split = regex.compile(WORD).findall
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         # The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next free code above 255.
@@ -98,7 +118,7 @@ class WordIds:
         """Ids of a text."""
         import numpy as np
 
-        if b"<|" in data and self.special(data.decode("utf-8", "replace")):
+        if not self.by_word or b"<|" in data and self.special(data.decode("utf-8", "replace")):
             return np.array(self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")
 
