@@ -21,7 +21,7 @@ from alertlake.llm.common import id_and_text, slices, with_id
 
 END = 1
 #: Bytes that one of a worker's memories may take, and the longest key that is remembered.
-CACHED = 64 << 20
+CACHED = 160 << 20
 LONGEST = 64
 ENTRY = 200
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
