@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from alertlake.llm.common import id_and_text, slices, with_id
 
 END = 1
-#: Bytes that one of a worker's memories may take, and the longest key that is remembered.
-CACHED = 160 << 20
+#: Bytes that one of a worker's two memories may take, the longest key that is remembered, and what an entry takes besides its bytes.
+CACHED = 256 << 20
 LONGEST = 64
-ENTRY = 200
+ENTRY = 240
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: The settings under which a text's ids are those of its words and a word's those of its pieces.
 KNOWN_SETTINGS = {
