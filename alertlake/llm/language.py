@@ -88,9 +88,9 @@ def training_sample(docs: DataFrame, train: Column, method: LanguageMethod, id_c
     known = docs.where(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     salted = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("chosen"), F.xxhash64(F.col(id_col)).alias("order"))
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(SALTS)))
-    # First the least of each salt, then of the language: what meets in one task doesn't grow with the number of tasks before.
-    for parts in (["lang", "salt"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*parts).orderBy("order", "chosen"))
+    # First the least of each salt, then of every eighth salt, then of the language: at most eight times the sample meets in a last task.
+    for salt in (F.col("salt"), F.col("salt") % 8, F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("lang", salt).orderBy("order", "chosen"))
         salted = salted.withColumn("rank", rank).where(F.col("rank") <= method.per_language).drop("rank")
     chosen = salted.select("chosen").distinct()
     picked = (id_and_text(known, id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
