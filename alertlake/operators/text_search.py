@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertlake.workspace import store
 
@@ -27,7 +28,8 @@ BLOCK = 64
 #: Questions, and distinct words of theirs, that go to the tasks at once (one question always goes).
 QUESTIONS_AT_ONCE, WORDS_AT_ONCE = 1024, 1_000_000
 SCORE_DIGITS = 9
-SHARDS = "shard long, ids array<string>, words array<string>, spread array<long>, doc binary, word binary, n binary"
+ENTRIES_AT_ONCE = 1 << 16
+SHARDS = "shard long, ids array<{id}>, words array<string>, spread array<long>, doc binary, word binary, n binary"
 INDEX = "shard long, ids array<string>, words array<string>, doc binary, word binary, weight binary"
 HITS = "query_id string, id string, score double"
 
@@ -36,72 +38,108 @@ def split_words(text: str) -> Column:
     return F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"\s+")
 
 
-def shards_of(texts: DataFrame, key: str, text: str = "text", shard_documents: int = SHARD_DOCUMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Shards: ids, distinct words, in how many documents of the shard each stands, and (document, word, count) as numbers."""
+def shards_of(texts: DataFrame, key: str, text: str = "text", shard_documents: int = SHARD_DOCUMENTS, shard_words: int = SHARD_WORDS,
+              id_type: str = "string", grouped: bool = False, words: Column | None = None) -> DataFrame:
+    """Shards: ids, distinct words, in how many documents of the shard each stands, and (document, word, count) as numbers.
+
+    With ``grouped``, rows that follow each other under one id are one document. ``words`` stands for the words of the text, blanks at its ends included.
+    """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        ids, held, size = [], [], 0
+        ids, held, size, kind = [], [], 0, pa.string()
 
         def row() -> pa.RecordBatch:
             place = {w: i for i, w in enumerate(dict.fromkeys(w for own in held for w in own))}
             doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(own) for own in held])
             word = np.fromiter((place[w] for own in held for w in own), np.int32, len(doc))
-            n = np.fromiter((c for own in held for c in own.values()), np.int64, len(doc))
+            n = np.fromiter((c for own in held for c in own.values()), np.int32, len(doc))
             return pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.string())), pa.array([list(place)], pa.list_(pa.string())),
+                pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([list(place)], pa.list_(pa.string())),
                 pa.array([np.bincount(word, minlength=len(place)).tolist()], pa.list_(pa.int64())), pa.array([doc.tobytes()], pa.binary()),
                 pa.array([word.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())],
                 names=["shard", "ids", "words", "spread", "doc", "word", "n"])
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for id_, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = Counter(found.as_py())
+                if not (grouped and ids and ids[-1] == id_):
+                    if len(ids) >= shard_documents or size >= shard_words:
+                        yield row()
+                        number, ids, held, size = number + 1, [], [], 0
+                    ids.append(id_)
+                    held.append(Counter())
+                own, before = held[-1], len(held[-1])
+                own.update(found.as_py())
                 own.pop("", None)
-                ids.append(id_)
-                held.append(own)
-                size += len(own)
-                if len(ids) >= shard_documents or size >= shard_words:
-                    yield row()
-                    number, ids, held, size = number + 1, [], [], 0
+                size += len(own) - before
         if ids:
             yield row()
 
-    return texts.select(F.col(key).cast("string").alias("id"), split_words(text).alias("w")).mapInArrow(gather, SHARDS)
+    words = split_words(text) if words is None else words
+    return texts.select(F.col(key).cast(id_type).alias("id"), words.alias("w")).mapInArrow(gather, SHARDS.format(id=id_type))
 
 
 def weigh(shards: DataFrame, spread: DataFrame, total: int) -> DataFrame:
-    """The index of shards whose words stand in ``spread`` = (word, d): posting lists by falling weight. A word that isn't there counts with d = 0."""
-    asked = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    answers = asked.join(spread, "word").groupBy("shard").agg(F.collect_list(F.struct("place", "d")).alias("answers"))
+    """The index of shards whose words stand in ``spread`` = (word, d): posting lists by falling weight. A word that isn't there counts with d = 0.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, answers = batch.column(2)[i], batch.column(6)[i]
-                doc, word = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in (3, 4))
-                d = np.zeros(len(words), np.float64)
-                if answers.is_valid and len(answers):
-                    d[answers.values.field("place").to_numpy()] = answers.values.field("d").to_numpy()
-                weight = np.frombuffer(batch.column(5)[i].as_py(), np.int64) * np.log((total + 1) / (d + 1))[word]
-                length = np.sqrt(np.bincount(doc, weights=weight * weight, minlength=len(batch.column(1)[i])))[doc]
-                weight = np.divide(weight, length, out=np.zeros_like(weight), where=length > 0)
-                order = np.lexsort((doc, -weight, word))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1) for c in (0, 1, 2)], *[pa.array([x[order].tobytes()], pa.binary()) for x in (doc, word, weight)]],
-                                                 names=["shard", "ids", "words", "doc", "word", "weight"])
-
-    rows = shards.select("shard", "ids", "words", "doc", "word", "n").join(answers, "shard", "left")
-    return rows.mapInArrow(run, INDEX)
+    A shard meets its answers as a cogroup, so a task holds those of one shard, and not lists of all shards it sees.
+    """
+    answers = asked_words(shards).join(spread, "word").select("asking", "place", "d")
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        for i in range(rows.num_rows):
+            d = np.zeros(len(rows.column("words")[i]), np.float64)
+            d[answers.column("place").to_numpy()] = answers.column("d").to_numpy()
+            doc, word, n = (np.frombuffer(rows.column(c)[i].as_py(), np.int32) for c in ("doc", "word", "n"))
+            weight = n * np.log((total + 1) / (d + 1))[word]
+            length = np.sqrt(np.bincount(doc, weights=weight * weight, minlength=len(rows.column("ids")[i])))[doc]
+            weight = np.divide(weight, length, out=np.zeros_like(weight), where=length > 0)
+            order = np.lexsort((doc, -weight, word))
+            made.append([x[order].tobytes() for x in (doc, word, weight)])
+        parts = zip(*made) if made else ([], [], [])
+        return pa.table([*[rows.column(c) for c in ("shard", "ids", "words")], *[pa.array(list(c), pa.binary()) for c in parts]],
+                        names=["shard", "ids", "words", "doc", "word", "weight"])
+
+    rows = shards.select("shard", "ids", "words", "doc", "word", "n")
+    ids = rows.schema["ids"].dataType.simpleString()
+    return rows.groupBy("shard").cogroup(answers.groupBy("asking")).applyInArrow(run, INDEX.replace("ids array<string>", f"ids {ids}"))
+
+
+def in_how_many(shards: DataFrame) -> DataFrame:
+    """(word, d): in how many documents of all shards a word stands. Written, since every shard asks it."""
+    pairs = shards.select(F.explode(F.arrays_zip("words", "spread")).alias("w"))
+    return store(pairs.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.spread").alias("d")), "text-spread")
+
+
+def asked_words(shards: DataFrame) -> DataFrame:
+    """(asking, place, word): every shard's distinct words."""
+    return shards.select(F.col("shard").alias("asking"), F.posexplode("words").alias("place", "word"))
 
 
 def text_index(documents: DataFrame, key: str = "id", text: str = "text", **sizes) -> tuple[DataFrame, DataFrame, int]:
     """(index, spread, number of documents): the written index, and in how many documents every word stands. Repeated ids are documents apart."""
-    shards = store(shards_of(documents, key, text, **sizes), "text-shards")
-    spread = store(shards.select(F.explode(F.arrays_zip("words", "spread")).alias("w")).groupBy(F.col("w.words").alias("word"))
-                   .agg(F.sum("w.spread").alias("d")), "text-spread")
+    shards = store(shards_of(documents, key, text, **sizes), "text-shards", True)
+    spread = in_how_many(shards)
     total = shards.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    return store(weigh(shards, spread, total), "text-index"), spread, total
+    return store(weigh(shards, spread, total), "text-index", True), spread, total
+
+
+def entries(index: DataFrame, key: str, name: str, at_once: int = ENTRIES_AT_ONCE) -> DataFrame:
+    """(key, name, weight): the entries of an index as rows; ``name`` is the column of the words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, words = batch.column(0)[i].values, batch.column(1)[i].values
+                doc, word, weight = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((2, np.int32), (3, np.int32), (4, np.float64)))
+                for at in range(0, len(doc), at_once):
+                    part = slice(at, at + at_once)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[part])), words.take(pa.array(word[part])), pa.array(weight[part])], names=[key, name, "weight"])
+
+    schema = T.StructType([T.StructField(key, index.schema["ids"].dataType.elementType), T.StructField(name, T.StringType()), T.StructField("weight", T.DoubleType())])
+    return index.select("ids", "words", "doc", "word", "weight").mapInArrow(run, schema)
 
 
 class Shard:
@@ -185,7 +223,7 @@ def search_texts(queries: DataFrame, index: DataFrame, spread: DataFrame, total:
     """``nearest_texts`` with an index that is there already. Questions are weighed as documents are, by the documents' statistics."""
     spark = queries.sparkSession
     sizes = {"shard_documents": at_once, "shard_words": WORDS_AT_ONCE, **sizes}
-    asked = store(weigh(store(shards_of(queries, "query_id", **sizes), "question-shards"), spread, total), "questions")
+    asked = store(weigh(store(shards_of(queries, "query_id", **sizes), "question-shards", True), spread, total), "questions", True)
     hits = spark.createDataFrame([], HITS)
     for row in asked.toLocalIterator():  # a shard of questions is bounded as a shard of documents is
         doc, word, weight = (np.frombuffer(row[c], t) for c, t in (("doc", np.int32), ("word", np.int32), ("weight", np.float64)))
@@ -201,8 +239,8 @@ def _scan(index: DataFrame, questions: list[tuple[str, list[str], list[float]]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list] = [[] for _ in shared.value]
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row["ids"], row["words"], row["doc"], row["word"], row["weight"], block)
+            for i in range(batch.num_rows):
+                shard = Shard(*[column[i].as_py() for column in batch.columns], block)
                 for heap, (_, words, weights) in zip(best, shared.value):
                     shard.search(words, weights, heap, k)
         rows = [(q[0], e[1].id, e[0]) for q, heap in zip(shared.value, best) for e in heap]
