@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertlake.operators.text_search import INDEX, asked_words
 from alertlake.workspace import store
 
 DIMENSIONS, EXTRA, ITERATIONS = 32, 8, 2
@@ -52,39 +53,45 @@ def sums_by(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray, vectors:
     return out
 
 
+def lists_of(vectors: np.ndarray) -> pa.ListArray:
+    """A column with a list for every row of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.ravel()))
+
+
 def _shard(row: dict, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(documents, words, weights, Y) of a shard."""
     doc, word, weight = np.frombuffer(row["doc"], np.int32), np.frombuffer(row["word"], np.int32), np.frombuffer(row["weight"], np.float64)
-    if "answers" not in row:
-        vectors = random_vectors(row["words"], width, seed) if row["words"] else np.zeros((0, width))
-    else:
-        vectors = np.zeros((len(row["words"]), width))
-        if row["answers"] is not None:
-            vectors[row["answers"].field("place").to_numpy()] = row["answers"].field("v").flatten().to_numpy().reshape(-1, width)
+    if "y" in row:
+        return doc, word, weight, np.frombuffer(row["y"], np.float64).reshape(-1, width)
+    vectors = random_vectors(row["words"], width, seed) if row["words"] else np.zeros((0, width))
     return doc, word, weight, sums_by(doc, word, weight, vectors, len(row["ids"]))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """A batch's rows; the vectors stay as Arrow holds them."""
+    """A batch's rows, one at a time; the vectors stay as Arrow holds them."""
     names = batch.schema.names
-    plain = {c: batch.column(c).to_pylist() for c in names if c not in ("answers", "v")}
     for i in range(batch.num_rows):
-        row = {c: values[i] for c, values in plain.items()}
-        if "answers" in names:
-            answers = batch.column("answers")[i]
-            row["answers"] = answers.values if answers.is_valid and len(answers) else None
+        row = {c: batch.column(c)[i].as_py() for c in names if c != "v"}
         if "v" in names:
             row["v"] = batch.column("v")[i].values.to_numpy()
         yield row
 
 
-def _with_vectors(index: DataFrame, table: DataFrame | None) -> DataFrame:
-    """The shards, each with the vectors of its words."""
-    if table is None:
-        return index
-    asked = index.select("shard", F.posexplode("words").alias("place", "word"))
-    answers = asked.join(table, "word").groupBy("shard").agg(F.collect_list(F.struct("place", "v")).alias("answers"))
-    return index.join(answers, "shard", "left")
+def _with_products(index: DataFrame, table: DataFrame, width: int) -> DataFrame:
+    """The shards, each with ``y``, the product with the vectors of its words. These reach a task for one shard at a time, and aren't kept."""
+    answers = asked_words(index).join(table, "word").select("asking", "place", "v")
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        for i in range(rows.num_rows):
+            vectors = np.zeros((len(rows.column("words")[i]), width))
+            for part in answers.select(["place", "v"]).to_batches():
+                vectors[part.column(0).to_numpy()] = part.column(1).flatten().to_numpy().reshape(-1, width)
+            doc, word, weight = (np.frombuffer(rows.column(c)[i].as_py(), t) for c, t in (("doc", np.int32), ("word", np.int32), ("weight", np.float64)))
+            made.append(sums_by(doc, word, weight, vectors, len(rows.column("ids")[i])).tobytes())
+        return rows.append_column("y", pa.array(made, pa.binary()))
+
+    return index.groupBy("shard").cogroup(answers.groupBy("asking")).applyInArrow(run, f"{INDEX}, y binary")
 
 
 def _gram(rows: DataFrame, width: int, make) -> np.ndarray:
@@ -117,7 +124,7 @@ def _word_table(rows: DataFrame, width: int, seed: int, root: np.ndarray) -> Dat
             for row in _rows(batch):
                 doc, word, weight, y = _shard(row, width, seed)
                 z = sums_by(word, doc, weight, y @ root, len(row["words"]))
-                yield pa.RecordBatch.from_arrays([pa.array(row["words"], pa.string()), pa.array(z.tolist(), pa.list_(pa.float64()))], names=["word", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["words"], pa.string()), lists_of(z)], names=["word", "v"])
 
     parts = rows.mapInArrow(run, "word string, v array<double>")
     sums = parts.groupBy("word").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width)])
@@ -131,10 +138,9 @@ def text_vectors(index: DataFrame, dimensions: int = DIMENSIONS, iterations: int
     weights as the dimensions grow. The same index and seed give the same vectors, but for the order of sums.
     """
     width, table = dimensions + extra, None
-    columns = ["shard", "ids", "words", "doc", "word", "weight"]
-    index = index.select(*columns)
+    index = index.select("shard", "ids", "words", "doc", "word", "weight")
     for _ in range(iterations + 1):
-        rows = store(_with_vectors(index, table), "text-vectors") if table is not None else index
+        rows = store(_with_products(index, table, width), "text-vectors", True) if table is not None else index
         root = _inverse_root(_gram(rows, width, lambda row: _shard(row, width, seed)[3]))
         table = _word_table(rows, width, seed, root)
     values, vectors = np.linalg.eigh(_gram(table, width, lambda row: row["v"][None, :]))
@@ -146,6 +152,6 @@ def text_vectors(index: DataFrame, dimensions: int = DIMENSIONS, iterations: int
         for batch in batches:
             for row in _rows(batch):
                 made = (_shard(row, width, seed)[3] @ last).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.string()), pa.array(made.tolist(), pa.list_(pa.float32()))], names=["id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.string()), lists_of(made)], names=["id", "embedding"])
 
     return rows.mapInArrow(run, "id string, embedding array<float>")

@@ -32,3 +32,14 @@ def test_shards_have_row_groups_of_their_own(texts):
     files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")) for f in index.inputFiles()]
     assert total == 60 and sum(f.metadata.num_rows for f in files) == index.count() >= 15
     assert all(f.metadata.num_row_groups == f.metadata.num_rows for f in files)
+
+
+def test_answers_reach_one_shard_at_a_time(spark, texts):
+    """No list of all answers of a shard, and no stored copy of the vectors of its words."""
+    shards = X.shards_of(texts, "id")
+    spread = spark.createDataFrame([("common", 60)], "word string, d long")
+    index = X.weigh(shards, spread, 60)
+    assert "collect_list" not in plan_of(index)
+    table = spark.createDataFrame([("common", [1.0, 2.0])], "word string, v array<double>")
+    made = V._with_products(index, table, 2)
+    assert "collect_list" not in plan_of(made) and made.columns == ["shard", "ids", "words", "doc", "word", "weight", "y"]
