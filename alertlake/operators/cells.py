@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.operators.retrieval import DISTANCE_DIGITS, HIT_SCHEMA, QUESTIONS_AT_ONCE, _ranked
+from alertlake.operators.retrieval import CELLS_AT_ONCE, DISTANCE_DIGITS, HIT_SCHEMA, QUESTIONS_AT_ONCE, _ranked
 from alertlake.workspace import store
 
 #: Documents of the sample that fits the centroids, and cells at most: both bound what the driver and every task hold.
@@ -50,8 +50,21 @@ def unit(vectors: np.ndarray, metric: str) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+    squares, products = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :], a @ b.T
+    products *= 2.0
+    squares -= products
+    return np.sqrt(np.maximum(squares, 0.0, out=squares), out=squares)
+
+
+def nearest_centroids(vectors: np.ndarray, centroids: np.ndarray, at_once: int = CELLS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """(number, distance) of the centroid nearest to every vector, some distances at a time."""
+    near, apart = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    step = max(1, at_once // max(1, len(centroids)))
+    for at in range(0, len(vectors), step):
+        part = distances(vectors[at : at + step], centroids)
+        near[at : at + step] = own = np.argmin(part, axis=1)
+        apart[at : at + step] = part[np.arange(len(own)), own]
+    return near, apart
 
 
 def fit_centroids(documents: DataFrame, cells: int, metric: str = "cosine", sample: int = SAMPLE) -> np.ndarray:
@@ -64,7 +77,7 @@ def fit_centroids(documents: DataFrame, cells: int, metric: str = "cosine", samp
     distinct = np.unique(vectors, axis=0)
     centroids = distinct[np.random.default_rng(5).permutation(len(distinct))[:cells]]
     for _ in range(ITERATIONS):
-        near = np.argmin(distances(vectors, centroids), axis=1)
+        near, _ = nearest_centroids(vectors, centroids)
         counts = np.bincount(near, minlength=len(centroids))
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, vectors)
@@ -90,10 +103,10 @@ def build_cells(documents: DataFrame, path: str, metric: str = "cosine", cells:
             if batch.num_rows:
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
                 vectors = unit(flat.reshape(batch.num_rows, -1).astype(np.float64), metric)
-                apart = distances(vectors, centroids)
-                cell = np.argmin(apart, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0), pa.array(flat.reshape(batch.num_rows, -1).tolist(), pa.list_(pa.float32())),
-                                                  pa.array(apart[np.arange(len(cell)), cell])], names=["cell", "id", "vector", "apart"])
+                cell, apart = nearest_centroids(vectors, centroids)
+                ends = pa.array(np.arange(batch.num_rows + 1) * vectors.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(apart)],
+                                                 names=["cell", "id", "vector", "apart"])
 
     size = F.when(F.size("embedding") == centroids.shape[1], F.col("embedding")).otherwise(
         F.raise_error(F.lit(f"a vector hasn't {centroids.shape[1]} dimensions")).cast("array<float>"))
@@ -163,7 +176,7 @@ def _search_block(spark, index: Cells, ids: list[str], vectors: np.ndarray, k: i
 def _probe(spark, index: Cells, wanted: dict[int, list[int]], ids: list[str], vectors: np.ndarray, k: int) -> DataFrame:
     """Each task's k best documents for every question that wants a cell of the task."""
     metric = index.metric
-    shared = spark.sparkContext.broadcast((wanted, ids, vectors))
+    shared = spark.sparkContext.broadcast(({c: np.array(q, np.int32) for c, q in wanted.items()}, ids, vectors))
     in_cells: Column = F.col("cell").isin(sorted(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,15 +187,18 @@ def _probe(spark, index: Cells, wanted: dict[int, list[int]], ids: list[str], ve
             known = batch.column(1).to_pylist()
             own = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             for cell in np.unique(cells):
-                rows, asked = np.flatnonzero(cells == cell), np.array(wanted[int(cell)])
-                found = _metric(own[rows], vectors[asked], metric)
-                for j, q in enumerate(asked.tolist()):
-                    held = best.get(q, [])
-                    limit = held[-1][0] if len(held) == k else np.inf
-                    near = np.flatnonzero(found[:, j] <= limit)
-                    if len(near) > k:
-                        near = near[found[near, j] <= np.partition(found[near, j], k - 1)[k - 1]]
-                    best[q] = sorted(held + [(float(found[i, j]), known[rows[i]]) for i in near])[:k]
+                rows, all_asked = np.flatnonzero(cells == cell), wanted[int(cell)]
+                step = max(1, CELLS_AT_ONCE // len(rows))
+                for at in range(0, len(all_asked), step):  # some distances at a time
+                    asked = all_asked[at : at + step]
+                    found = _metric(own[rows], vectors[asked], metric)
+                    for j, q in enumerate(asked.tolist()):
+                        held = best.get(q, [])
+                        limit = held[-1][0] if len(held) == k else np.inf
+                        near = np.flatnonzero(found[:, j] <= limit)
+                        if len(near) > k:
+                            near = near[found[near, j] <= np.partition(found[near, j], k - 1)[k - 1]]
+                        best[q] = sorted(held + [(float(found[i, j]), known[rows[i]]) for i in near])[:k]
         out = [(ids[q], "", i, d) for q, held in best.items() for d, i in held]
         columns = list(zip(*out)) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:3]], pa.array(columns[3], pa.float64())],

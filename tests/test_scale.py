@@ -43,3 +43,18 @@ def test_answers_reach_one_shard_at_a_time(spark, texts):
     table = spark.createDataFrame([("common", [1.0, 2.0])], "word string, v array<double>")
     made = V._with_products(index, table, 2)
     assert "collect_list" not in plan_of(made) and made.columns == ["shard", "ids", "words", "doc", "word", "weight", "y"]
+
+
+def test_cells_are_found_some_distances_at_a_time(monkeypatch):
+    held, distances = [], C.distances
+
+    def watched(a, b):
+        held.append(len(a) * len(b))
+        return distances(a, b)
+
+    monkeypatch.setattr(C, "distances", watched)
+    rng = np.random.default_rng(2)
+    vectors, centroids = rng.normal(size=(500, 8)), rng.normal(size=(40, 8))
+    near, apart = C.nearest_centroids(vectors, centroids, 1000)
+    whole = np.linalg.norm(vectors[:, None] - centroids[None], axis=2)
+    assert (near == whole.argmin(axis=1)).all() and np.allclose(apart, whole.min(axis=1)) and max(held) <= 1000
