@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from alertlake.functions.text import prompt_text, usable_text
 from alertlake.functions.vectors import cosine_distance, euclidean_distance
 from alertlake.operators.sizing import spread_small
+from alertlake.operators.text_search import entries, in_how_many, shards_of, split_words, weigh
 from alertlake.workspace import store
 
 QUESTIONS_AT_ONCE = 8192
@@ -254,18 +255,20 @@ def embed_with(df: DataFrame, embed: Callable[[list[str]], list], text: str = "t
 def term_weights(df: DataFrame, key: str, text: str = "text", places: int | None = None) -> DataFrame:
     """(key, word, weight) of every distinct blank-separated word of a text: term count times ln((n + 1) / (documents + 1)), each
     text's weights scaled to length 1. With ``places``, words are hashed to so many places and ``place`` stands for the word; the
-    rows are then the filled places of a sparse vector."""
+    rows are then the filled places of a sparse vector.
+
+    Rows of one key are one text; a NULL key's words count as those of a text, without rows of their own. Texts move once, to the other rows
+    of their key, and become shards, which ask once for each of their words in how many texts it stands: no row per text and word is shuffled.
+    """
     name = "word" if places is None else "place"
-    texts = df.select(F.col(key).alias(key), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+").alias("_w"))
-    words = texts.select(key, F.explode("_w").alias("word")).where(F.col("word") != "")
+    texts = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).repartition("_key").sortWithinPartitions("_key")
+    words = split_words("_text")
     if places is not None:
-        words = words.select(key, F.pmod(F.xxhash64("word"), F.lit(places)).cast("int").alias("place"))
-    counts = words.groupBy(key, name).agg(F.count(F.lit(1)).alias("_n"))
-    spread = counts.groupBy(name).agg(F.count(F.lit(1)).alias("_d"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    weighted = counts.join(spread, name).select(key, name, (F.col("_n") * F.ln((total + 1) / (F.col("_d") + 1))).alias("_x"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_l"))
-    return weighted.join(norms, key).select(key, name, F.when(F.col("_l") > 0, F.col("_x") / F.col("_l")).otherwise(0.0).alias("weight"))
+        known = F.filter(words, lambda w: w != "")
+        words = F.transform(known, lambda w: F.pmod(F.xxhash64(w), F.lit(places)).cast("string"))
+    shards = store(shards_of(texts, "_key", id_type=df.schema[key].dataType.simpleString(), grouped=True, words=words), "term-shards", True)
+    found = entries(weigh(shards, in_how_many(shards), df.count()), key, name).where(F.col(key).isNotNull())
+    return found if places is None else found.withColumn(name, F.col(name).cast("int"))
 
 
 # ---- contexts -------------------------------------------------------------------------------------------------------

@@ -45,6 +45,22 @@ def test_answers_reach_one_shard_at_a_time(spark, texts):
     assert "collect_list" not in plan_of(made) and made.columns == ["shard", "ids", "words", "doc", "word", "weight", "y"]
 
 
+def test_term_weights_move_texts_and_not_their_words(spark):
+    rows = [(1, "a b a"), (2, None), (1, "b c"), (None, "c d"), (None, "c e"), (3, "  "), (4, "Ä d d")]
+    weights = R.term_weights(spark.createDataFrame(rows, "i int, text string"), "i")
+    own = {}
+    for i, text in rows:
+        own.setdefault(i, Counter()).update((text or "").lower().split())
+    spread, want = Counter(w for c in own.values() for w in c), set()
+    for i, counts in own.items():
+        x = {w: n * math.log((len(rows) + 1) / (spread[w] + 1)) for w, n in counts.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        want |= {(i, w, round(v / length, 9)) for w, v in x.items() if i is not None}
+    assert weights.dtypes == [("i", "int"), ("word", "string"), ("weight", "double")]
+    assert {(r["i"], r["word"], round(r["weight"], 9)) for r in weights.collect()} == want
+    assert "Aggregate [i" not in plan_of(weights) and "Aggregate [_key" not in plan_of(weights)
+
+
 def test_cells_are_found_some_distances_at_a_time(monkeypatch):
     held, distances = [], C.distances
 
