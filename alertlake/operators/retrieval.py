@@ -27,7 +27,8 @@ from alertlake.workspace import store
 
 QUESTIONS_AT_ONCE = 8192
 DISTANCE_DIGITS = 9
-CELLS_AT_ONCE = 4_000_000
+#: Distances that a task holds at once.
+CELLS_AT_ONCE = 1_000_000
 COLLECTIONS = ("transactions", "summaries")
 #: Texts go into a retrieved context up to this many characters; None keeps them whole.
 MAX_CHARS = 2000
@@ -66,10 +67,20 @@ def _questions(rows: pd.DataFrame) -> Questions:
 def _distances(documents: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         norms = np.sqrt((documents * documents).sum(axis=1))[:, None] * np.sqrt((questions * questions).sum(axis=1))[None, :]
-        similarity = documents @ questions.T
-        return np.round(1.0 - np.divide(similarity, norms, out=np.zeros_like(similarity), where=norms > 0), DISTANCE_DIGITS) + 0.0
+        found = documents @ questions.T
+        known = norms > 0
+        np.divide(found, norms, out=found, where=known)
+        found[~known] = 0.0
+        np.subtract(1.0, found, out=found)
+        np.round(found, DISTANCE_DIGITS, out=found)
+        found += 0.0
+        return found
     squares = (documents * documents).sum(axis=1)[:, None] + (questions * questions).sum(axis=1)[None, :]
-    return np.round(np.sqrt(np.maximum(squares - 2.0 * (documents @ questions.T), 0.0)), DISTANCE_DIGITS)
+    products = documents @ questions.T
+    products *= 2.0
+    squares -= products
+    np.sqrt(np.maximum(squares, 0.0, out=squares), out=squares)
+    return np.round(squares, DISTANCE_DIGITS, out=squares)
 
 
 class _Best:
@@ -80,13 +91,14 @@ class _Best:
         self.found: dict[int, list[tuple[float, str]]] = {}
         self.limits = np.full(len(questions.ids), np.inf)
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, allowed: np.ndarray | None) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, places: np.ndarray | None, days: np.ndarray | None) -> None:
         step = max(1, CELLS_AT_ONCE // max(1, len(self.questions.ids)))
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
             distances = _distances(vectors[part], self.questions.vectors, self.metric)
+            allowed = _allowed(self.questions, None if places is None else places[part], None if days is None else days[part])
             if allowed is not None:
-                distances[~allowed[part]] = np.inf
+                distances[~allowed] = np.inf
             limits = self.limits
             if len(distances) >= self.k:
                 limits = np.minimum(limits, np.partition(distances, self.k - 1, axis=0)[self.k - 1])
@@ -106,7 +118,7 @@ class _Best:
 def _allowed(questions: Questions, places, days) -> np.ndarray | None:
     """Which (document, question) cells pass the questions' filters."""
     allowed = None
-    if any(p is not None for p in questions.locations):
+    if places is not None and any(p is not None for p in questions.locations):
         codes = {p: i for i, p in enumerate(dict.fromkeys(p for p in questions.locations if p is not None))}
         wanted = np.array([-1 if p is None else codes[p] for p in questions.locations])
         have = np.array([codes.get(p, -2) for p in places])
@@ -117,17 +129,19 @@ def _allowed(questions: Questions, places, days) -> np.ndarray | None:
     return allowed
 
 
-def _consume(best: dict[str, _Best], make: Callable[[], _Best], batch: pa.RecordBatch, questions: Questions, dimensions: int) -> None:
+def _consume(best: dict[str, list[_Best]], make: Callable[[], list[_Best]], batch: pa.RecordBatch, dimensions: int) -> None:
     names = batch.schema.names
     vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
     ids = np.array(batch.column("id").to_pylist(), dtype=object)
     collections = np.array(batch.column("collection").to_pylist(), dtype=object)
-    places = batch.column("location").to_pylist() if "location" in names else [None] * len(ids)
+    places = np.array(batch.column("location").to_pylist(), dtype=object) if "location" in names else None
     days = batch.column("date").to_numpy(zero_copy_only=False).astype("datetime64[D]") if "date" in names else None
-    allowed = _allowed(questions, places, days)
     for collection in pd.unique(collections):
         mine = collections == collection
-        best.setdefault(collection, make()).add(ids[mine], vectors[mine], None if allowed is None else allowed[mine])
+        if collection not in best:
+            best[collection] = make()
+        for part in best[collection]:
+            part.add(ids[mine], vectors[mine], None if places is None else places[mine], None if days is None else days[mine])
 
 
 def _record(rows: list[tuple[str, str, str, float]]) -> pa.RecordBatch:
@@ -141,8 +155,9 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 5, metric: str =
     """The k nearest documents per question and collection, with ``rank`` from 1.
 
     ``queries``: query_id, embedding and optionally location, start_date, end_date, which filter the documents before ranking.
-    ``documents``: id, embedding and optionally collection, location, date. Every further ``at_once`` questions cost one more scan
-    of the documents; all blocks go the same way. A vector whose length differs from the questions' is reported as an error.
+    ``documents``: id, embedding and optionally collection, location, date. A scan of the documents answers ``QUESTIONS_AT_ONCE`` questions
+    or ``at_once``, whichever are more, and compares them with a batch ``at_once`` at a time. A vector whose length differs from the
+    questions' is reported as an error.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric must be cosine or l2")
@@ -167,11 +182,11 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int = 5, metric: str =
     elif shortest != longest:
         raise ValueError(f"questions have from {shortest} to {longest} dimensions")
     else:
-        blocks = math.ceil(total / at_once)
+        blocks = math.ceil(total / max(at_once, QUESTIONS_AT_ONCE))
         number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
         hits = None
         for block in range(blocks):
-            part = _scan((asked.where(number == block) if blocks > 1 else asked).toPandas(), scanned, k, metric, filters)
+            part = _scan((asked.where(number == block) if blocks > 1 else asked).toPandas(), scanned, k, metric, filters, at_once)
             hits = part if hits is None else hits.unionByName(part)
     return _ranked(hits, k)
 
@@ -181,7 +196,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan(local: pd.DataFrame, scanned: DataFrame, k: int, metric: str, filters: list[str]) -> DataFrame:
+def _scan(local: pd.DataFrame, scanned: DataFrame, k: int, metric: str, filters: list[str], at_once: int) -> DataFrame:
     if local.empty:
         return scanned.sparkSession.createDataFrame([], HIT_SCHEMA)
     questions = _questions(local)
@@ -192,12 +207,13 @@ def _scan(local: pd.DataFrame, scanned: DataFrame, k: int, metric: str, filters:
     shared = scanned.sparkSession.sparkContext.broadcast(asdict(questions))
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = Questions(**shared.value)
-        best: dict[str, _Best] = {}
+        parts = [Questions(**{name: values[at : at + at_once] for name, values in shared.value.items()})
+                 for at in range(0, len(shared.value["ids"]), at_once)]
+        best: dict[str, list[_Best]] = {}
         for batch in batches:
             if batch.num_rows:
-                _consume(best, lambda: _Best(asked, k, metric), batch, asked, dimensions)
-        yield _record([row for name, b in best.items() for row in b.rows(name)])
+                _consume(best, lambda: [_Best(asked, k, metric) for asked in parts], batch, dimensions)
+        yield _record([row for name, of in best.items() for b in of for row in b.rows(name)])
 
     return _of_length(scanned, dimensions).mapInArrow(best_of_partition, HIT_SCHEMA)
 

@@ -61,6 +61,39 @@ def test_term_weights_move_texts_and_not_their_words(spark):
     assert "Aggregate [i" not in plan_of(weights) and "Aggregate [_key" not in plan_of(weights)
 
 
+def test_blocks_of_questions_share_a_scan(spark):
+    vectors = [(str(i), [float(i % 5), float(i % 7), 1.0]) for i in range(40)]
+    documents = spark.createDataFrame(vectors, "id string, embedding array<float>")
+    asked = documents.select(F.col("id").alias("query_id"), "embedding")
+    for metric in ("l2", "cosine"):
+        together, apart = (R.nearest(asked, documents, 3, metric, n) for n in (100, 3))
+        assert plan_of(apart).count("MapInArrow") == 1
+        assert sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_filters_are_judged_some_cells_at_a_time(monkeypatch):
+    held, allowed = [], R._allowed
+
+    def watched(questions, places, days):
+        held.append(len(places) * len(questions.ids))
+        return allowed(questions, places, days)
+
+    monkeypatch.setattr(R, "CELLS_AT_ONCE", 100)
+    monkeypatch.setattr(R, "_allowed", watched)
+    rng = np.random.default_rng(1)
+    vectors, places = rng.normal(size=(200, 4)), np.array(["en", "de"] * 100, dtype=object)
+    asked = R.Questions([str(i) for i in range(10)], vectors[:10], ["en", "de"] * 5, np.full(10, np.datetime64("0001-01-01")), np.full(10, np.datetime64("9999-12-31")))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(200)]), pa.array(["c"] * 200), pa.array(vectors.tolist(), pa.list_(pa.float64())),
+                                        pa.array(places.tolist())], names=["id", "collection", "embedding", "location"])
+    best = {}
+    R._consume(best, lambda: [R._Best(asked, 3, "l2")], batch, 4)
+    assert max(held) <= 100 and sum(held) == 2000
+    found = {(q, i) for q, _, i, _ in best["c"][0].rows("c")}
+    for q in range(10):
+        own = [i for i in np.argsort(np.linalg.norm(vectors - vectors[q], axis=1), kind="stable") if places[i] == places[q]][:3]
+        assert {(str(q), str(i)) for i in own} <= found and len(found) == 30
+
+
 def test_cells_are_found_some_distances_at_a_time(monkeypatch):
     held, distances = [], C.distances
 
