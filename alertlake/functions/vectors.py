@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 384
+BYTES_AT_ONCE = 1 << 16
 
 
-@F.pandas_udf(T.LongType())
-def byte_sum(texts: pd.Series) -> pd.Series:
-    """Sum of the UTF-8 bytes of each whole text; NULL for a NULL text. The texts of a batch are summed as one buffer."""
-    data = pa.array(texts, pa.large_binary() if texts.map(type).eq(bytes).any() else pa.large_string()).cast(pa.large_binary())
+@F.arrow_udf(T.LongType())
+def byte_sum(texts: pa.Array) -> pa.Array:
+    """Sum of the UTF-8 bytes of each whole text; NULL for a NULL text. The bytes are summed where Arrow holds them, without a copy."""
+    data = texts.cast(pa.large_binary())
     offsets = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, data.offset * 8)
-    sums = np.concatenate([[0], np.cumsum(np.frombuffer(data.buffers()[2] or b"", np.uint8)[: offsets[-1]], dtype=np.int64)])
-    found = sums[offsets[1:]] - sums[offsets[:-1]]
-    return pd.Series(found, dtype="Int64").mask(texts.isna().to_numpy())
+    found, filled = np.zeros(len(data), np.int64), np.flatnonzero(np.diff(offsets))
+    # NumPy widens what it adds up at once, so only some bytes at a time, or one text.
+    starts = offsets[filled]
+    cuts = np.append(np.flatnonzero(np.diff(starts // BYTES_AT_ONCE, prepend=-1)), len(filled))
+    content = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    for first, after in zip(cuts[:-1], cuts[1:]):
+        own = starts[first:after]
+        if len(own) == 1:
+            found[filled[first]] = content[own[0] : offsets[filled[first] + 1]].sum(dtype=np.int64)
+        else:
+            found[filled[first:after]] = np.add.reduceat(content[own[0] : offsets[filled[after - 1] + 1]], own - own[0], dtype=np.int64)
+    return pa.array(found, mask=texts.is_null().to_numpy(zero_copy_only=False))
 
 
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:

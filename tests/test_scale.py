@@ -107,3 +107,14 @@ def test_cells_are_found_some_distances_at_a_time(monkeypatch):
     near, apart = C.nearest_centroids(vectors, centroids, 1000)
     whole = np.linalg.norm(vectors[:, None] - centroids[None], axis=2)
     assert (near == whole.argmin(axis=1)).all() and np.allclose(apart, whole.min(axis=1)) and max(held) <= 1000
+
+
+def test_bytes_are_summed_without_a_copy():
+    rows = ["", None, "aé\U0001d11e", *["x" * 2000] * 5000, ""]
+    data = pa.array(rows, pa.string())
+    tracemalloc.start()
+    found = byte_sum.func(data).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [None if t is None else sum(t.encode()) for t in rows] and peak < data.nbytes
+    assert byte_sum.func(data.slice(2, 2)).to_pylist() == [sum("aé\U0001d11e".encode()), 2000 * 120]
