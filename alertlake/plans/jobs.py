@@ -9,17 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.functions.text import summary_metadata, summary_text, transaction_metadata, transaction_text
-from alertlake.functions.vectors import hash_embedding
+from alertlake.functions.vectors import byte_sum, hash_embedding
 from alertlake.operators import alerts as A
 from alertlake.operators import detectors as D
 from alertlake.operators import history as H
 from alertlake.operators.clean import backfill_fraud_flag, backfill_ids, clean, standardise
 from alertlake.operators.features import LARGE_QUANTILE, row_features
 from alertlake.operators.quantiles import quantiles
+from alertlake.operators.retrieval import COLLECTIONS
 from alertlake.operators.summary import daily_summaries
 from alertlake.schema import DATE_COLUMNS, existing, pick, quoted
 from alertlake.sources.readers import LIMIT_PREFIX, list_files, read_datasets, read_transactions_csv, with_large_flag
-from alertlake.sources.sinks import new_only, save_alerts, save_embeddings, save_processed
+from alertlake.sources.sinks import new_only, save_alerts, save_processed
 from alertlake.workspace import read_or_empty, store
 
 
@@ -199,12 +200,19 @@ def embedding_rows(transactions: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def refresh(spark: SparkSession, stored: str, transactions: DataFrame, summaries: DataFrame, alerts_path: str, run_id: str) -> DataFrame:
-    """Embed the rows the store lacks, append them, then write the alerts of the whole data. Returns the store as it is then."""
+    """Embed the rows the store lacks, append them, then write the alerts of the whole data. Returns the store as it is then.
+
+    Collections are written one after the other, as a write of several sorts its rows, vectors included, by the collection. Rows whose
+    texts have one byte sum, and so one vector, stand together in a file, which then holds little more than one of their vectors.
+    """
     rows = embedding_rows(transactions, summaries)
     keys = "collection string, id string"
-    have = read_or_empty(spark, lambda: spark.read.parquet(stored).select("collection", "id"), keys)
-    added = new_only(have, rows).withColumn("embedding", hash_embedding(F.col("text")))
-    save_embeddings(added, stored)
+    for name in COLLECTIONS:
+        have = read_or_empty(spark, lambda: spark.read.parquet(stored).select("collection", "id"), keys)
+        added = new_only(*(df.where(F.col("collection") == name) for df in (have, rows)))
+        near = added.withColumn("_seed", byte_sum(F.col("text"))).sortWithinPartitions("_seed").drop("_seed")
+        vectors = near.withColumn("embedding", hash_embedding(F.col("text"))).drop("collection")
+        vectors.write.mode("append").parquet(f"{stored.rstrip('/')}/collection={name}")
     found = D.detect_datasets({"transactions": transactions, "branch_summaries": summaries})
     save_alerts(A.basic_alerts(found, run_id), alerts_path)
     return spark.read.parquet(stored)

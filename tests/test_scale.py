@@ -118,3 +118,25 @@ def test_bytes_are_summed_without_a_copy():
     tracemalloc.stop()
     assert found == [None if t is None else sum(t.encode()) for t in rows] and peak < data.nbytes
     assert byte_sum.func(data.slice(2, 2)).to_pylist() == [sum("aé\U0001d11e".encode()), 2000 * 120]
+
+
+def test_a_refresh_keeps_equal_vectors_together(spark):
+    """Rows with one vector follow each other in a file, and no sort moves rows with their vectors."""
+    from alertlake.operators.summary import daily_summaries
+    from alertlake.plans import jobs
+    from alertlake.workspace import new_folder
+
+    rows = spark.createDataFrame([(str(i), f"2024-01-0{1 + i % 3} 10:00:00", float(10 + i % 4), "N" * (1 + i % 2)) for i in range(200)],
+                                 "TransactionID string, TransactionDate string, TransactionAmount double, Location string")
+    rows = rows.withColumns({"TransactionDate": F.col("TransactionDate").cast("timestamp_ntz"), **{c: F.lit("x") for c in (
+        "TransactionType", "AccountID", "MerchantID", "Channel", "DeviceID", "IPAddress", "CustomerOccupation")}, **{c: F.lit(1) for c in (
+            "CustomerAge", "TransactionDuration", "LoginAttempts", "AccountBalance", "IsLargeTransaction", "IsFraud")}})
+    root = new_folder(spark, "test-refresh")
+    days = daily_summaries(rows)
+    for run in ("1", "2"):
+        stored = jobs.refresh(spark, f"{root}/vectors", rows, days, f"{root}/alerts", run)
+    assert stored.where(F.col("collection") == "transactions").count() == 200 and stored.count() == 200 + days.count()
+    for file in stored.where(F.col("collection") == "transactions").inputFiles():
+        table = pq.read_table(file.replace("%3D", "=").removeprefix("file:").replace("///", "/"), columns=["text"], partitioning=None)
+        seeds = [sum(t.encode()) for t in table.column("text").to_pylist()]
+        assert seeds == sorted(seeds)
