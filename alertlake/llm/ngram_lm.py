@@ -161,14 +161,25 @@ class Run:
         return p1, restore(self.share3) + left[self.left3] * (restore(self.share2) + left[self.left2] * p1)
 
 
+def distinct(values):
+    """(distinct numbers in order, which of them each number is): by hashing, so that only distinct numbers are sorted."""
+    import numpy as np
+
+    found, numbers = pd.factorize(values)
+    order = np.argsort(numbers)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return numbers[order], place[found]
+
+
 def distinct_pairs(context, successor):
     """(places that ask, (contexts, successors) sorted and distinct, which of them each place asks)."""
     import numpy as np
 
     asked = np.flatnonzero(context != np.uint64(2**64 - 1))
-    contexts, c = np.unique(context[asked], return_inverse=True)
-    successors, s = np.unique(successor[asked], return_inverse=True)
-    keys, inverse = np.unique(c.astype(np.uint64) * np.uint64(max(1, len(successors))) + s.astype(np.uint64), return_inverse=True)
+    contexts, c = distinct(context[asked])
+    successors, s = distinct(successor[asked])
+    keys, inverse = distinct(c.astype(np.uint64) * np.uint64(max(1, len(successors))) + s.astype(np.uint64))
     width = np.uint64(max(1, len(successors)))
     return asked, (contexts[(keys // width).astype(np.int64)], successors[(keys % width).astype(np.int64)]), inverse
 
@@ -209,7 +220,7 @@ def word_answers(group: pd.DataFrame) -> pd.DataFrame:
     share = int(group["share"].iloc[0])
     lists = [unsqueeze(x) for x in group["hashes"]]
     counts = np.concatenate([unpack_columns(x)["n"] for x in group["counts"]])
-    words, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+    words, inverse = distinct(np.concatenate(lists))
     total = np.bincount(inverse, weights=counts).astype(np.int64)
     learned = total > 0
     number = np.where(learned, np.uint64(share << RANK_BITS) + np.cumsum(learned).astype(np.uint64), np.uint64(UNKNOWN))

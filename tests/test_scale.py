@@ -140,3 +140,13 @@ def test_a_refresh_keeps_equal_vectors_together(spark):
         table = pq.read_table(file.replace("%3D", "=").removeprefix("file:").replace("///", "/"), columns=["text"], partitioning=None)
         seeds = [sum(t.encode()) for t in table.column("text").to_pylist()]
         assert seeds == sorted(seeds)
+
+
+def test_distinct_numbers_are_those_of_numpy():
+    from alertlake.llm.ngram_lm import distinct
+
+    rng = np.random.default_rng(4)
+    for values in (np.zeros(0, np.uint64), rng.integers(0, 50, 500).astype(np.uint64) << np.uint64(50), np.array([2**64 - 1, 0, 2**64 - 2, 0], np.uint64)):
+        numbers, which = distinct(values)
+        want, places = np.unique(values, return_inverse=True)
+        assert numbers.dtype == np.uint64 and (numbers == want).all() and (which == places).all()
