@@ -44,13 +44,13 @@ class Window:
 
 
 class Recent(dict):
-    """Found once, then remembered: the latest entries, up to ``CACHED`` bytes with their overhead. ``find`` makes what is missing.
+    """Found once, then remembered: the latest entries, up to ``room`` (else ``CACHED``) bytes with their overhead. ``find`` makes what is missing.
 
     Long keys are found anew each time; they are rare, and one of them could take more than all others.
     """
 
-    def __init__(self, find):
-        self.find, self.older, self.bytes = find, {}, 0
+    def __init__(self, find, room: int | None = None):
+        self.find, self.room, self.older, self.bytes = find, room, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
@@ -59,7 +59,7 @@ class Recent(dict):
         if len(key) > LONGEST:
             return value
         self.bytes += len(key) + len(value) + ENTRY
-        if self.bytes >= CACHED // 2:
+        if self.bytes >= (self.room or CACHED) // 2:
             self.older, self.bytes = dict(self), 0
             self.clear()
         self[key] = value
@@ -74,7 +74,7 @@ class WordIds:
     words and pieces are remembered. A tokenizer with other settings than ``KNOWN_SETTINGS`` gets whole texts instead.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, room: int | None = None):
         import json
         import re
 
@@ -89,7 +89,7 @@ class WordIds:
         # The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next free code above 255.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.stand_in = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.words, self.pieces = Recent(self._word), Recent(self._piece)
+        self.words, self.pieces = Recent(self._word, room), Recent(self._piece, room)
 
     def _piece(self, piece: str) -> bytes:
         from array import array
@@ -123,14 +123,14 @@ class WordIds:
         return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")
 
 
-def word_ids(source: str) -> WordIds:
+def word_ids(source: str, room: int | None = None) -> WordIds:
     """The worker's cache of this tokenizer; it outlives a task, as workers do."""
     import sys
     import zlib
 
-    name = f"_word_ids_{zlib.crc32(source.encode()):08x}"
+    name = f"_word_ids_{zlib.crc32(source.encode()):08x}" + (f"_{room}" if room else "")
     if name not in sys.modules:
-        sys.modules[name] = WordIds(source)
+        sys.modules[name] = WordIds(source, room)
     return sys.modules[name]
 
 
@@ -219,8 +219,9 @@ class Packer:
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: Window = Window(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of a document: where it comes from, its checksum and its place in a sequence."""
+def pack(docs: DataFrame, tokenizer_path: str, window: Window = Window(), id_col: str = "doc_id", text_col: str = "text",
+         room: int | None = None) -> DataFrame:
+    """One row per piece of a document: where it comes from, its checksum and its place in a sequence. Workers keep two memories of ``room`` (else ``CACHED``) bytes each."""
     schema = with_id(docs, id_col, FIELDS)
     names = schema.fieldNames()
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -233,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: Window = Window(), id_col
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids_of, packer = word_ids(source.value), Packer(window.size)
+        ids_of, packer = word_ids(source.value, room), Packer(window.size)
         base = TaskContext.get().partitionId() << 40
 
         def batch(rows: list):

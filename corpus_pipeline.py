@@ -45,9 +45,12 @@ def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of the packed sequences. A null or empty text is one end token; repeated rows are packed as often as they stand."""
-    return packing.pack(docs, word_bpe())
+    return packing.pack(docs, word_bpe(), room=ROOM)
 
 
+#: Bytes of each of packing's two memories. Workers keep them while the other stages run, so they are smaller here than where packing is alone.
+ROOM = 64 << 20
+
 STAGES = [("quality rules", good_quality), ("line dedup", without_boilerplate), ("simhash near-dedup", one_of_near_copies),
           ("benchmark decontamination", without_leaks), ("packing", packed)]
 

@@ -150,3 +150,10 @@ def test_distinct_numbers_are_those_of_numpy():
         numbers, which = distinct(values)
         want, places = np.unique(values, return_inverse=True)
         assert numbers.dtype == np.uint64 and (numbers == want).all() and (which == places).all()
+
+
+def test_memories_of_packing_have_the_room_they_are_given():
+    from alertlake.llm.packing import ENTRY, Recent
+
+    held = Recent(lambda key: key, 100 * (8 + ENTRY))
+    assert [held[b"%04d" % i] for i in range(1000)] == [b"%04d" % i for i in range(1000)] and len(held) + len(held.older) <= 101
