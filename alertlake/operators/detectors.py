@@ -138,18 +138,28 @@ def with_samples(anomalies: DataFrame, tagged: DataFrame, columns: list[str], or
     return to_anomaly(joined.withColumnRenamed("_sample", "sample"))
 
 
-def anomaly_rows(df: DataFrame, limits: Limits = UPLOAD, top: int = 3) -> DataFrame:
-    """The rows behind every anomaly of an upload: of the row rules, those in rapid succession, and those at the top locations."""
-    found = [tagged_rows(df, row_rules(df, limits))]
+def anomaly_rows(df: DataFrame, rules: list[Rule], limits: Limits = UPLOAD, top: int = 3) -> dict[str, DataFrame]:
+    """The rows behind every anomaly of an upload, by its type: of the row ``rules``, those in rapid succession, and those at the top locations."""
+    found = {rule.type: df.where(rule.holds) for rule in rules}
     when = pick(df, *DATE_COLUMNS)
     if "CustomerID" in df.columns and when is not None:
         tie = "TransactionID" if "TransactionID" in df.columns else when
         rapid = rapid_rows(df, limits.velocity_minutes, tie).withColumn(when, quoted(when).cast(df.schema[when].dataType))
-        found.append(rapid.drop("gap_minutes").withColumn("anomaly_type", F.lit("velocity_anomaly")))
+        found["velocity_anomaly"] = rapid.drop("gap_minutes")
     if "Location" in df.columns:
         best = F.broadcast(top_locations(df, top))  # ``top`` rows
-        found.append(df.join(best, df["Location"] == best["location"], "left_semi").withColumn("anomaly_type", F.lit("location_insights")))
-    return union_all(found)
+        found["location_insights"] = df.join(best, df["Location"] == best["location"], "left_semi")
+    return found
+
+
+def anomaly_places(df: DataFrame, rules: list[Rule], behind: dict[str, DataFrame]) -> DataFrame:
+    """(anomaly_type, Location) once for every location of the rows ``behind`` each anomaly. One pass finds those of all row ``rules``."""
+    types = [rule.type for rule in rules]
+    found = [rows.select(F.lit(kind).alias("anomaly_type"), "Location").distinct() for kind, rows in behind.items() if kind not in types]
+    if rules:
+        held = F.array_compact(F.array(*[F.when(F.bool_or(rule.holds), F.lit(rule.type)) for rule in rules]))
+        found.append(df.groupBy("Location").agg(held.alias("types")).select(F.explode("types").alias("anomaly_type"), "Location"))
+    return union_all(found).where(F.col("Location").isNotNull())
 
 
 def sample_columns(df: DataFrame, rule: str) -> list[str]:
@@ -365,13 +375,14 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def detect_upload(df: DataFrame, limits: Limits = UPLOAD, amounts: DataFrame | None = None) -> DataFrame:
+def detect_upload(df: DataFrame, limits: Limits = UPLOAD, amounts: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """All detectors for one new file, with the overview when nothing else fires.
 
     Any row with a location gives a location insight, so one look for such a row (a job that stops at the first) settles that
     no overview is needed and spares its scans. Give it a table, not an unwritten aggregate, so that this job stays short.
     """
-    found = [count_rules(df, row_rules(df, limits, amounts=amounts)), velocity(df, limits), location_insights(df)]
+    rules = row_rules(df, limits, amounts=amounts) if rules is None else rules
+    found = [count_rules(df, rules), velocity(df, limits), location_insights(df)]
     found += [to_anomaly(detector(df)) for detector in _REGISTRY.values()]
     if "Location" in df.columns and not df.where(F.col("Location").isNotNull()).select("Location").limit(1).isEmpty():
         return union_all(found)

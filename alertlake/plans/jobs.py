@@ -56,8 +56,9 @@ def save_limit(rows: DataFrame, folder: str, name: str) -> None:
 def upload_alerts(rows: DataFrame, run_id: str, limits: D.Limits = D.UPLOAD) -> DataFrame:
     """Alerts of one upload, with the rows behind them: the general insight and one alert per anomaly, low severity included."""
     judged = backfill_fraud_flag(rows)
-    behind = A.related_rows(judged, limits)
-    return A.basic_alerts(D.union_all([D.general_insight(judged), D.detect_upload(judged, limits)]), run_id, 0.0, behind)
+    rules = D.row_rules(judged, limits)  # once, as the limit of large amounts takes some passes
+    behind = A.related_rows(judged, limits, rules=rules)
+    return A.basic_alerts(D.union_all([D.general_insight(judged), D.detect_upload(judged, limits, rules=rules)]), run_id, 0.0, behind)
 
 
 def analyze_csv(spark: SparkSession, path: str, run_id: str, limits: D.Limits = D.UPLOAD) -> DataFrame:
@@ -98,6 +99,8 @@ def read_version(spark: SparkSession, folder: str, version: str) -> DataFrame:
 
 
 KEYS = ["_k1", "_k2"]
+#: New rows are few if the keys held are this many times as many.
+FEW = 10
 
 
 def row_keys(df: DataFrame) -> DataFrame:
@@ -117,11 +120,16 @@ def keys_path(part: str) -> str:
     return f"{part.rstrip('/').rsplit('/', 1)[0]}/keys.parquet"
 
 
-def unknown_rows(keyed: DataFrame, parts: list[str]) -> DataFrame:
-    """The rows whose keys no part holds. Parts are not read, only their keys, 16 bytes a row; these are reduced to the ones asked for
-    before anything is sent back, so that they stay in place when the new rows are few."""
+def unknown_rows(keyed: DataFrame, parts: list[str], number: int = 0) -> DataFrame:
+    """The rows whose keys no part holds. Parts are not read, only their keys, 16 bytes a row.
+
+    If the rows, at most ``number``, are few beside the keys, the keys are reduced to the ones asked for before anything is sent back, so that
+    they stay in place. Otherwise that would only add a second join of the same size.
+    """
     spark, asked = keyed.sparkSession, keyed.select(*KEYS)
-    held = D.union_all([spark.read.parquet(keys_path(p)) for p in parts]).join(asked, KEYS, "left_semi")
+    held = D.union_all([spark.read.parquet(keys_path(p)) for p in parts])
+    if number * FEW <= held.count():
+        held = held.join(asked, KEYS, "left_semi")
     return keyed.join(held, KEYS, "left_anti")
 
 
@@ -141,7 +149,7 @@ def ingest(existing: DataFrame | str | None, new: DataFrame, folder: str, versio
     merged = existing.unionByName(new, allowMissingColumns=True) if isinstance(existing, DataFrame) else new
     cleaned = clean(merged)
     keyed = row_keys(cleaned)
-    keyed = store(unknown_rows(keyed, parts) if parts else keyed, "new-rows")
+    keyed = store(unknown_rows(keyed, parts, new.count()) if parts else keyed, "new-rows")
     parts.append(save_processed(row_features(keyed.drop(*KEYS), credit), target, "transactions"))
     keyed.select(*KEYS).write.parquet(keys_path(parts[-1]))
     spark.createDataFrame(list(enumerate(parts)), "number int, path string").coalesce(1).write.parquet(f"{target}/{PARTS}")

@@ -8,7 +8,7 @@ from alertlake.operators import versions as V
 from alertlake.plans import jobs
 from alertlake.plans.catalog import query
 from alertlake.plans.views import CREDIT, RUN_ID, TXN_ORDERS, table, txn_orders
-from alertlake.workspace import new_folder
+from alertlake.workspace import new_folder, store
 
 CUTS = {"v1.0.0": "1997-01-01", "v2.0.0": "1999-01-01", "v3.0.0": "2100-01-01"}
 
@@ -183,6 +183,7 @@ def ingest_sparse(spark, folder):
     rows, root = txn_orders(spark, folder), new_folder(spark, "ingest-sparse")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("TransactionID"), F.col("o_orderpriority").alias("value"))
     rows = rows.select(F.col("TransactionID").cast("string").alias("TransactionID"), "TransactionDate", "TransactionAmount", "Location").join(orders, "TransactionID")
+    rows = store(rows, "sparse-orders")  # both versions take all of them
     empty = F.lit(None).cast("string")
     first = rows.withColumns({"Description": F.col("value"), "DeviceID": empty}).drop("value")
     other = rows.withColumns({"Description": empty, "DeviceID": F.col("value")}).drop("value")
