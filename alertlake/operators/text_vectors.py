@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.operators.text_search import INDEX, asked_words
+from alertlake.operators.text_search import INDEX, asked_words, opened
 from alertlake.workspace import store
 
 DIMENSIONS, EXTRA, ITERATIONS = 32, 8, 2
@@ -60,7 +60,7 @@ def lists_of(vectors: np.ndarray) -> pa.ListArray:
 
 def _shard(row: dict, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(documents, words, weights, Y) of a shard."""
-    doc, word, weight = np.frombuffer(row["doc"], np.int32), np.frombuffer(row["word"], np.int32), np.frombuffer(row["weight"], np.float64)
+    doc, word, weight = opened(row["doc"], row["word"], row["weight"])
     if "y" in row:
         return doc, word, weight, np.frombuffer(row["y"], np.float64).reshape(-1, width)
     vectors = random_vectors(row["words"], width, seed) if row["words"] else np.zeros((0, width))
@@ -87,7 +87,7 @@ def _with_products(index: DataFrame, table: DataFrame, width: int) -> DataFrame:
             vectors = np.zeros((len(rows.column("words")[i]), width))
             for part in answers.select(["place", "v"]).to_batches():
                 vectors[part.column(0).to_numpy()] = part.column(1).flatten().to_numpy().reshape(-1, width)
-            doc, word, weight = (np.frombuffer(rows.column(c)[i].as_py(), t) for c, t in (("doc", np.int32), ("word", np.int32), ("weight", np.float64)))
+            doc, word, weight = opened(*[rows.column(c)[i].as_py() for c in ("doc", "word", "weight")])
             made.append(sums_by(doc, word, weight, vectors, len(rows.column("ids")[i])).tobytes())
         return rows.append_column("y", pa.array(made, pa.binary()))
 

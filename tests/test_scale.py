@@ -157,3 +157,64 @@ def test_memories_of_packing_have_the_room_they_are_given():
 
     held = Recent(lambda key: key, 100 * (8 + ENTRY))
     assert [held[b"%04d" % i] for i in range(1000)] == [b"%04d" % i for i in range(1000)] and len(held) + len(held.older) <= 101
+
+
+def test_an_index_takes_few_bytes_an_entry(spark):
+    """A number of documents and words in full, and a weight of eight bytes, took 16 bytes an entry, several times the text's own size on disk."""
+    rng = np.random.default_rng(8)
+    rows = [(str(i), " ".join(f"w{n}" for n in rng.zipf(1.3, 300) if n < 20000)) for i in range(300)]
+    index, _, _ = X.text_index(spark.createDataFrame(rows, "id string, text string").coalesce(1))
+    entries = sum(len(set(t.split())) for _, t in rows)
+    assert sum(len(r[c]) for r in index.collect() for c in ("doc", "word", "weight")) < 6 * entries
+    got = {(r["i"], r["word"]): r["weight"] for r in X.entries(index, "i", "word").collect()}
+    spread = Counter(w for _, t in rows for w in set(t.split()))
+    for i, t in rows[:50]:
+        x = {w: n * math.log((len(rows) + 1) / (spread[w] + 1)) for w, n in Counter(t.split()).items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        assert all(abs(got[i, w] - v / length) < 1e-12 for w, v in x.items())
+    assert len(got) == entries
+
+
+@pytest.mark.parametrize("kind", ["<i4", "<i8"])
+def test_packed_numbers_come_back(kind):
+    for values in ([], [0], [5, -1, 0, 2**31 - 1, -(2**31)], list(range(1000))):
+        found = X.unpacked(X.packed(np.array(values, np.int64), kind), kind)
+        assert found.dtype == np.dtype(kind) and found.tolist() == values
+
+
+def test_rows_of_a_document_that_come_in_parts_are_one(spark, monkeypatch):
+    monkeypatch.setattr(X, "COUNTED_AT_ONCE", 4)
+    rows = [(1, "a b a"), (1, "c"), (1, "a  B d e f"), (2, ""), (2, None), (3, "x"), (3, "y x"), (4, "a")]
+    shards = X.shards_of(spark.createDataFrame(rows, "i int, text string").coalesce(1), "i", shard_documents=3, id_type="int", grouped=True).collect()
+    assert [r["ids"] for r in shards] == [[1, 2, 3], [4]]
+    doc, word = X.places_of(shards[0]["doc"], shards[0]["word"])
+    got = {(int(d), shards[0]["words"][w]): int(n) for d, w, n in zip(doc, word, X.unpacked(shards[0]["n"]))}
+    assert got == {(0, "a"): 3, (0, "b"): 2, (0, "c"): 1, (0, "d"): 1, (0, "e"): 1, (0, "f"): 1, (2, "x"): 2, (2, "y"): 1}
+    assert dict(zip(shards[0]["words"], shards[0]["spread"])) == dict.fromkeys("abcdefxy", 1)
+
+
+def test_questions_of_all_partitions_share_a_scan(spark, texts):
+    """A block of questions was what one partition had of them, searched question by question in every shard."""
+    index, spread, total = X.text_index(texts)
+    asked = texts.select(F.col("id").alias("query_id"), "text").repartition(12)
+    assert plan_of(X.search_texts(asked, index, spread, total)).count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize(("columns", "shared_by", "products", "documents"), [(1024, 16, 1_000_000, 512), (3, 2, 7, 4), (0, 1, 50, 64)])
+def test_products_of_many_questions(monkeypatch, columns, shared_by, products, documents):
+    for name, value in (("COLUMNS", columns), ("SHARED_BY", shared_by), ("PRODUCTS_AT_ONCE", products)):
+        monkeypatch.setattr(X, name, value)
+    rng = np.random.default_rng(3)
+    a, q = (np.where(rng.random(shape) < 0.3, rng.random(shape), 0.0) for shape in ((40, 30), (9, 30)))
+    a[20:30] = a[3]  # copies
+    question, word = np.nonzero(q)
+    asked = X.Asked([f"q{i}" for i in range(9)], [f"w{i}" for i in range(30)], question, word, q[question, word])
+    best, limits, ids = [[] for _ in range(9)], np.zeros(9), pa.array([f"d{i:02d}" for i in range(40)])
+    for at in range(0, 40, documents):
+        doc, place = np.nonzero(a[at : at + documents])
+        scores = asked.scores(doc, place, a[at : at + documents][doc, place], len(a[at : at + documents]))
+        assert np.allclose(scores, a[at : at + documents] @ q.T)
+        X._keep(best, limits, scores, ids.slice(at, documents), 5)
+    for i in range(9):
+        want = sorted((-round(float(a[d] @ q[i]), 9), f"d{d:02d}") for d in range(40) if a[d] @ q[i] > 0)[:5]
+        assert [h[1] for h in best[i]] == [h[1] for h in want] and np.allclose([h[0] for h in best[i]], [h[0] for h in want])
