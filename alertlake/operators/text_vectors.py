@@ -128,7 +128,7 @@ def _word_table(rows: DataFrame, width: int, seed: int, root: np.ndarray) -> Dat
 
     parts = rows.mapInArrow(run, "word string, v array<double>")
     sums = parts.groupBy("word").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width)])
-    return store(sums.select("word", F.array(*[F.col(f"v{i}") for i in range(width)]).alias("v")), "word-vectors")
+    return store(sums.select("word", F.array(*[F.col(f"v{i}") for i in range(width)]).alias("v")), "word-vectors", tidy=True)
 
 
 def text_vectors(index: DataFrame, dimensions: int = DIMENSIONS, iterations: int = ITERATIONS, extra: int = EXTRA, seed: int = 17) -> DataFrame:
@@ -140,7 +140,7 @@ def text_vectors(index: DataFrame, dimensions: int = DIMENSIONS, iterations: int
     width, table = dimensions + extra, None
     index = index.select("shard", "ids", "words", "doc", "word", "weight")
     for _ in range(iterations + 1):
-        rows = store(_with_products(index, table, width), "text-vectors", True) if table is not None else index
+        rows = store(_with_products(index, table, width), "text-vectors", True, True) if table is not None else index
         root = _inverse_root(_gram(rows, width, lambda row: _shard(row, width, seed)[3]))
         table = _word_table(rows, width, seed, root)
     values, vectors = np.linalg.eigh(_gram(table, width, lambda row: row["v"][None, :]))

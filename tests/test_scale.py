@@ -1,6 +1,7 @@
 """What a task holds and moves stays bounded as tables grow."""
 
 import math
+import time
 import tracemalloc
 from collections import Counter
 
@@ -218,3 +219,21 @@ def test_products_of_many_questions(monkeypatch, columns, shared_by, products, d
     for i in range(9):
         want = sorted((-round(float(a[d] @ q[i]), 9), f"d{d:02d}") for d in range(40) if a[d] @ q[i] > 0)[:5]
         assert [h[1] for h in best[i]] == [h[1] for h in want] and np.allclose([h[0] for h in best[i]], [h[0] for h in want])
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    from alertlake.workspace import CLEANUP_KEY, store
+
+    def shuffled() -> set[str]:
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "shuffle_" in f}
+
+    before, set_before = shuffled(), spark.conf.get(CLEANUP_KEY)
+    sums = spark.range(10000).groupBy((F.col("id") % 100).alias("k")).count()
+    stored = store(sums, "test-tidy", tidy=True)
+    for _ in range(100):  # they go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and len(stored.collect()) == 100
+    assert spark.conf.get(CLEANUP_KEY) == set_before and len(sums.collect()) == 100
